@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import durable, slices, utf8
+from lathe.llm.common import durable, map_arrow, slices, utf8
 
 CLASSES = 32
 CLUSTERED = 1 << 13
 BUCKETS = 512
 LEXICON = 1 << 17
-ROUNDS = 4
+ROUNDS = 3
 BLOCK = 256
 #: Weight of the class unigram in a class transition, in counts.
 BACKOFF = 8.0
@@ -73,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").transform(map_arrow, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class _Items(dict):
@@ -169,9 +169,9 @@ def _contexts(docs: DataFrame, lexicon: Lexicon, classes: np.ndarray, n_classes:
         if at is not None:
             yield pa.record_batch({"block": pa.array([at], pa.int32()), "packed": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(run, "block int, packed binary")
+    parts = docs.select("text").transform(map_arrow, run, "block int, packed binary")
     # Each block is added up as it streams by in order: a task holds one block.
-    summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, packed binary")
+    summed = parts.repartition("block").sortWithinPartitions("block").transform(map_arrow, add, "block int, packed binary")
     return durable(summed, "contexts")
 
 
@@ -195,7 +195,7 @@ def _class_bigrams(contexts: DataFrame, classes: np.ndarray, width: int) -> tupl
             yield pa.record_batch({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate((("block", pa.int32()), ("pairs", pa.binary()), ("items", pa.binary())))})
 
     pairs, items = np.zeros((width, width), np.int64), np.zeros(-(-len(classes) // BLOCK) * BLOCK, np.int64)
-    for block, p, n in contexts.mapInArrow(run, "block int, pairs binary, items binary").collect():
+    for block, p, n in contexts.transform(map_arrow, run, "block int, pairs binary, items binary").collect():
         pairs += np.frombuffer(p, np.int64).reshape(width, width)
         items[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(n, np.int64)
     return pairs, items[: len(classes)]
@@ -239,7 +239,7 @@ def _exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> np
             yield pa.record_batch({"block": batch.column(0), "classes": pa.array(new, pa.binary())})
 
     out = classes.copy()
-    for block, own in contexts.repartition("block").mapInArrow(run, "block int, classes binary").collect():
+    for block, own in contexts.repartition("block").transform(map_arrow, run, "block int, classes binary").collect():
         own = np.frombuffer(own, np.int64)
         out[block * BLOCK : block * BLOCK + len(own)] = own
     return out
@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: BrownModel) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text", "held_out").alias("key"), text.alias("text"))
-    parts = rows.mapInArrow(run, "doc_id long, key long, word binary, n int, n_tokens long, n_known long, base double, score double")
+    parts = rows.transform(map_arrow, run, "doc_id long, key long, word binary, n int, n_tokens long, n_known long, base double, score double")
     met = parts.join(model.counts, "word", "left")
     more = F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0)) * F.col("n")
     per = met.groupBy("doc_id", "key").agg(

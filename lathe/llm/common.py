@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,9 @@ GAP = r"[\x20\x09-\x0D]+"
 #: A table of at most so many rows (of a few longs each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch; texts of a few kilobytes make batches of a few megabytes.
+ARROW_ROWS = 1000
+
 #: Words hashed in one block; longer texts are hashed block by block.
 BLOCK_WORDS = 200_000
 
@@ -112,6 +115,12 @@ class WordHashes:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
 
 
+    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the words first..last of each pair of positions."""
+        starts = self._starts[first]
+        return mix((self._sums[self._ends[last]] - self._sums[starts]) * self._down[starts])
+
+
 def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     """Hashes of every run of k words of a text of any length."""
     if len(words) <= BLOCK_WORDS:
@@ -119,8 +128,17 @@ def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
     return np.concatenate([WordHashes(words[i : i + BLOCK_WORDS + k - 1]).grams(k) for i in range(0, len(words) - k + 1, BLOCK_WORDS)])
 
 
-def binary_array(items: list[bytes]) -> pa.Array:
-    return pa.array(items, pa.binary())
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows, which bounds a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import gram_hashes
+from lathe.llm.common import gram_hashes, small_batches
 
 #: Labelled rows that the list is learned from, at most.
 SAMPLE = 20_000
@@ -179,6 +179,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
+    small_batches(docs.sparkSession)
     rows = labelled_features(docs, labels, sample).toPandas().sort_values(["turn", *FEATURES], kind="stable")
     return learn(rows) if len(rows) else []
 

@@ -31,16 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import durable, mix, slices, utf8
+from lathe.llm.common import durable, map_arrow, mix, slices, utf8
 
 #: Band of document frequency, as shares of all documents.
 LOW, HIGH = 0.0005, 0.15
-#: Levels of subsets: level j keeps a term with probability 4**-j in each of 16 subsets.
+#: Levels of subsets: level j keeps a term with probability 4**-j / 2 in each of 16 subsets.
 LEVELS, SUBSETS = 6, 16
 #: A larger lexicon isn't broadcast.
 MAX_LEXICON = 1_000_000
 HELD_TERMS = 400_000
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select("text").mapInArrow(count, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select("text").transform(map_arrow, count, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def band_lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -70,31 +70,29 @@ def band_lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     return df.where((F.col("df") >= least) & (F.col("df") <= high * n)).select("term")
 
 
-def _term_hash(term: bytes) -> int:
-    return xxhash.xxh64_intdigest(term)
+_SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
 
 
 def _hashes(terms: list[bytes], lexicon: frozenset[bytes]) -> np.ndarray | None:
-    """Hash of the whole sorted list, then of every subset; zero for an empty subset."""
+    """Hash of the sorted distinct terms, then of those in every subset; zero for an empty one.
+
+    A subset's hash is the sum of its terms' mixed 64-bit hashes, which like a hash of the
+    sorted list depends on the set alone; so all subsets come from one pass.
+    """
     mine = sorted(lexicon.intersection(terms)) or sorted(set(terms))
     if not mine:
         return None
-    h = np.fromiter(map(_term_hash, mine), np.uint64, len(mine))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, mine), np.uint64, len(mine))
     out = np.zeros(1 + LEVELS * SUBSETS, np.uint32)
     out[0] = xxhash.xxh32_intdigest(h.tobytes()) | 1
-    for subset in range(SUBSETS):
-        r = mix(h ^ mix(np.full(1, subset + 1, np.uint64)))
-        kept = h
-        for level in range(LEVELS):
-            if level:  # subsets of one family are nested, each a quarter of the last
-                inside = (r & np.uint64(3)) == 0
-                r, kept = r[inside] >> np.uint64(2), kept[inside]
-            else:
-                half = (r >> np.uint64(60)) < 12
-                r, kept = r[half], kept[half]
-            if not len(kept):
-                break
-            out[1 + level * SUBSETS + subset] = xxhash.xxh32_intdigest(kept.tobytes()) | 1
+    # A term reaches level j of a subset if the low 2j + 1 bits of its hash there are zero.
+    r = mix(h[:, None] ^ _SEEDS) | np.uint64(1 << 62)
+    zeros = np.log2((r & (~r + np.uint64(1))).astype(np.float64)).astype(np.int64)
+    level = np.minimum((zeros + 1) // 2, LEVELS)  # how many levels it reaches
+    sums = np.zeros((LEVELS + 1, SUBSETS), np.uint64)
+    np.add.at(sums, (level, np.broadcast_to(np.arange(SUBSETS), level.shape)), np.broadcast_to(mix(h)[:, None], level.shape))
+    kept = np.cumsum(sums[:0:-1], axis=0, dtype=np.uint64)[::-1]  # by level: all that reach it
+    out[1:] = np.where(kept == 0, 0, (mix(kept) >> np.uint64(32)) | np.uint64(1)).astype(np.uint32).ravel()
     return out
 
 
@@ -141,7 +139,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = own.drop("rng").join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")))
     # Equal rows may share a head: one copy is enough.
     copies = copies.drop("head_id", "head_th").dropDuplicates(["rng"]).withColumn("own", F.lit(False))
-    both = own.unionByName(copies.select(own.columns)).repartition("rng")
+    both = own.unionByName(copies.select(own.columns)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng")
     return both.sortWithinPartitions("rng", F.desc("own"), *order).select("rng", "doc_id", "text", "own")
 
 
@@ -169,7 +167,7 @@ def fingerprint_digest(docs: DataFrame, low: float = LOW, high: float = HIGH) ->
             if out:
                 yield pa.record_batch({k: pa.array(c, t) for k, c, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).transform(map_arrow, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
@@ -184,7 +182,7 @@ def fingerprints(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame
             prints = [_text_of(_hashes(t.lower().split() if t else [], shared.value)) for t in utf8(batch.column(1))]
             yield pa.record_batch({"doc_id": batch.column(0), "fingerprint": pa.array(prints, pa.string())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(map_arrow, run, "doc_id long, fingerprint string")
 
 
 def fingerprints_by_join(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -210,6 +208,6 @@ def fingerprints_by_join(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         return listed.combine(every, lambda a, b: _text_of(_hashes([bytes(x) for x in (a if a is not None and len(a) else b) if len(x)], frozenset())))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
-    met = rows.mapInArrow(terms, "doc_id long, key long, term binary").join(lexicon.select("term", F.lit(True).alias("listed")), "term", "left")
+    met = rows.transform(map_arrow, terms, "doc_id long, key long, term binary").join(lexicon.select("term", F.lit(True).alias("listed")), "term", "left")
     per = met.groupBy("doc_id", "key").agg(F.collect_set(F.when(F.col("listed"), F.col("term"))).alias("listed"), F.collect_set("term").alias("every"))
     return per.select("doc_id", print_of("listed", "every").alias("fingerprint"))

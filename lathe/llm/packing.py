@@ -27,15 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import slices, utf8
+from lathe.llm.common import gram_hashes, map_arrow, slices, utf8
 
 CAPACITY = 2048
 END_ID = 1
 DIMS, GRID_BITS = 4, 8
-#: Characters of text that one range holds, about.
-RANGE_CHARS = 24_000_000
-#: Ids held before pieces are cut, so that long runs of texts stay out of memory.
-HASH_SEED = 0x5EED
+#: Characters of text that one range holds, about, and the most ranges there are.
+RANGE_CHARS = 8_000_000
+MOST_RANGES = 1024
 
 
 # --- tokens ---------------------------------------------------------------------------
@@ -121,10 +120,8 @@ def curve_point(text: bytes | None, dims: int = DIMS, bits: int = GRID_BITS) ->
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(dims, np.int64)
-    h = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    h ^= h >> np.uint32(12)
-    sums = np.array([2 * int(((h >> np.uint32(j)) & np.uint32(1)).sum()) - len(words) for j in range(dims)])
+    h = gram_hashes(words, 1)
+    sums = np.array([2 * np.count_nonzero(h & np.uint64(1 << j)) - len(words) for j in range(dims)])
     unit = np.tanh(sums / np.sqrt(len(words)) / 2) / 2 + 0.5
     return np.minimum((unit * (1 << bits)).astype(np.int64), (1 << bits) - 1)
 
@@ -139,17 +136,15 @@ def curve_keys(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "text": batch.column(1), "key": pa.array((hilbert_index(points, GRID_BITS) << 30) | low)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("low", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, text string, key long")
+    return rows.withColumn("low", F.xxhash64("doc_id", "text")).transform(map_arrow, run, "doc_id long, text string, key long")
 
 
 def curve_ranges(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """doc_id, text, key, rng: rows in ranges of the curve of about equal numbers of rows."""
     keyed = curve_keys(docs)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(-(-chars // range_chars)) or 1
-    cuts = []
-    if n > 1:
-        cuts = sorted(set(keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
+    grid = keyed.agg(F.percentile_approx("key", [i / MOST_RANGES for i in range(1, MOST_RANGES)], 20 * MOST_RANGES).alias("cuts"), F.sum(F.length("text")).alias("chars")).first()
+    n = min(MOST_RANGES, int(-(-(grid.chars or 0) // range_chars)) or 1)
+    cuts = sorted({grid.cuts[MOST_RANGES * i // n - 1] for i in range(1, n)}) if grid.cuts else []
     rng = F.lit(0)
     if cuts:  # one comparison for each power of two below the number of cuts
         rng = F.expr(f"{_search(cuts, 0, len(cuts))}")
@@ -225,5 +220,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
             yield batch_of(out)
 
     ranges = curve_ranges(docs, range_chars)
-    rows = ranges.repartition("rng").sortWithinPartitions("rng", "key", "doc_id", F.length("text"), F.xxhash64("text"))
-    return rows.select("doc_id", "text", "rng").mapInArrow(run, PIECES)
+    # A number that is asked for isn't merged by adaptive execution: a range or two a task.
+    parts = ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    rows = ranges.repartition(int(parts), "rng").sortWithinPartitions("rng", "key", "doc_id", F.length("text"), F.xxhash64("text"))
+    return rows.select("doc_id", "text", "rng").transform(map_arrow, run, PIECES)

@@ -3,23 +3,27 @@
 Seeds: of every 16 consecutive five-word grams the one with the smallest hash is an
 anchor (winnowing), so any run of 20 words that occurs twice has the same anchor at
 the same place in both. Anchors are joined by their count over all documents; those
-met once are dropped. Extend: around each repeated anchor, every 20-word window that
-contains it as its anchor is compared, by hash, with the earliest occurrence of the
-same window: this walks left and right from the seed as far as the texts agree, and
-consecutive matching windows join into one maximal repeat. Shorter agreements have no
-window and are no repeats.
-
-Nothing is paired within a bucket: a passage of m documents costs m rows. The earliest
-occurrence is a minimum (combined before the shuffle), and the join of windows with it
+met once are dropped.
+
+Extend: the 20-word windows that share one anchor follow each other, and reach up to 15
+words to its left and right. Such a stretch is compared, by hash, with the earliest
+equal stretch of the same anchor; where it is equal, all its windows repeat. Where an
+anchor has unequal stretches the match ends inside them: there the earliest copy of
+each stretch is compared window by window. Matching windows that follow each other are
+one maximal repeat; shorter agreements have no window and are no repeats.
+
+Nothing is paired within a bucket: a passage of m documents costs m rows for each anchor.
+The earliest occurrence is a minimum (combined before the shuffle), and the join with it
 is a plain equi-join, whose skewed partitions Spark splits.
 
-Between the two passes over the texts the repeated anchors are a bitmap of at most
-2**MAX_BITS bits; a collision only sends a window to the exact comparison needlessly.
+Between the passes over the texts, what to look at is a bitmap of at most 2**MAX_BITS
+bits; a collision only sends a stretch to the exact comparison needlessly.
 
 Defined results: a null or blank text has no words; rows with a null ``doc_id`` have no
 place in the order, keep all their words and remove nothing elsewhere; rows that share
 a ``doc_id`` are one document (a position that either repeats is removed in both);
-extra columns are kept or ignored as stated. Windows are compared as 64-bit hashes.
+extra columns are kept or ignored as stated. Stretches and windows are compared as
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import BLOCK_WORDS, WordHashes, durable, signed, slices, utf8
+from lathe.llm.common import BLOCK_WORDS, WordHashes, durable, map_arrow, signed, slices, small_batches, utf8
 
 WINDOW = 20
 GRAM = 5
@@ -68,80 +72,115 @@ def repeated_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch({"anchor": signed(h), "n": pa.array(n.astype(np.int32))})
 
-    counts = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "anchor long, n int")
+    counts = docs.where("doc_id IS NOT NULL").select("text").transform(map_arrow, run, "anchor long, n int")
     return counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """The anchors' top bits as 64-bit words, 16 bits for each anchor within the fixed bounds."""
-    bits = min(MAX_BITS, max(MIN_BITS, (16 * anchors.count()).bit_length()))
-    slot = F.expr(f"shiftrightunsigned(anchor, {64 - bits})")
-    rows = anchors.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("bit"))
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Top bits of the column ``key`` as 64-bit words, 16 bits for each row within the fixed bounds."""
+    bits = min(MAX_BITS, max(MIN_BITS, (16 * keys.count()).bit_length()))
+    slot = F.expr(f"shiftrightunsigned(key, {64 - bits})")
+    rows = keys.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("bit"))
     found = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(one, bit))").alias("set")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[found["word"].to_numpy()] = found["set"].to_numpy()
     return out.view(np.uint64)
 
 
-def seeded_windows(docs: DataFrame, anchors: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(window, doc_id, pos): the windows around repeated anchors."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(anchors))
+def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _occurrence(stretch: np.ndarray, doc_id: int, pos: np.ndarray) -> np.ndarray:
+    """Key of one occurrence of a stretch; as SQL it is _OCCURRENCE."""
+    return stretch ^ (np.array([doc_id], np.int64).view(np.uint64) << np.uint64(37)) ^ (pos.astype(np.uint64) << np.uint64(45))
+
+
+_OCCURRENCE = "stretch ^ shiftleft(doc_id, 37) ^ shiftleft(CAST(pos AS BIGINT), 45)"
+
+
+def _stretches(docs: DataFrame, anchors: np.ndarray, occurrences: np.ndarray | None, window: int, gram: int) -> DataFrame:
+    """(anchor, stretch, doc_id, pos, n): stretches of n windows around the anchors.
+
+    With a bitmap of occurrences: (window, doc_id, pos), the windows of those stretches.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((anchors, occurrences))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        shift = np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+        wanted, chosen = shared.value
         for batch in slices(batches):
-            out = [], [], []
+            out: tuple[list, ...] = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 words = text.split() if text else []
                 if len(words) < window:
                     continue
                 for start, block in _blocks(words, window):
                     grams = block.grams(gram)
-                    slot = grams >> shift
-                    met = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-                    at = np.flatnonzero(met[_anchor_of(grams, window - gram + 1)])
-                    out[0].append(block.grams(window)[at])
-                    out[1].append(np.full(len(at), doc_id, np.int64))
-                    out[2].append((at + start).astype(np.int32))
-            if out[0]:
-                yield pa.record_batch({"window": signed(np.concatenate(out[0])), "doc_id": pa.array(np.concatenate(out[1])), "pos": pa.array(np.concatenate(out[2]))})
+                    anchor = _anchor_of(grams, window - gram + 1)
+                    first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+                    n = np.diff(np.append(first, len(anchor)))
+                    met = _in(wanted, grams[anchor[first]])
+                    first, n = first[met], n[met]
+                    stretch, pos = block.spans(first, first + n + window - 2), first + start
+                    if chosen is not None:
+                        met = _in(chosen, _occurrence(stretch, doc_id, pos))
+                        at = np.concatenate([np.arange(f, f + m) for f, m in zip(first[met], n[met], strict=True)]) if met.any() else np.empty(0, np.int64)
+                        cols = (block.grams(window)[at], at + start)
+                    else:
+                        cols = (grams[anchor[first]], pos, stretch, n)
+                    for held, c in zip(out, cols):
+                        held.append(c)
+                    out[4].append(np.full(len(cols[0]), doc_id, np.int64))
+            if not out[0]:
+                continue
+            head, pos, *more = (np.concatenate(c) for c in out if c)
+            ids, pos = pa.array(more[-1]), pa.array(pos.astype(np.int32))
+            if chosen is not None:
+                yield pa.record_batch({"window": signed(head), "doc_id": ids, "pos": pos})
+            else:
+                yield pa.record_batch({"anchor": signed(head), "stretch": signed(more[0]), "doc_id": ids, "pos": pos, "n": pa.array(more[1].astype(np.int32))})
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "window long, doc_id long, pos int")
+    return rows.transform(map_arrow, run, "window long, doc_id long, pos int" if occurrences is not None else "anchor long, stretch long, doc_id long, pos int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, starts (sorted): where windows begin that also begin somewhere earlier."""
-    anchors = durable(repeated_anchors(docs, window, gram), "anchors")
-    windows = durable(seeded_windows(docs, anchors, window, gram), "windows")
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-    later = windows.join(first, "window").where(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    """doc_id, runs (array of pos, n): n windows from pos on begin somewhere earlier too."""
+    anchors = _bitmap(durable(repeated_anchors(docs, window, gram), "anchors").select(F.col("anchor").alias("key")))
+    found = durable(_stretches(docs, anchors, None, window, gram), "stretches")
+    first = durable(found.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies")), "first")
+    later = found.join(first.where("copies > 1").select("anchor", "stretch", "first"), ["anchor", "stretch"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", "n")
+    # Where an anchor has several stretches, their earliest copies meet window by window.
+    many = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    several = first.join(many, "anchor", "left_semi").select("stretch", "first.*").select(F.expr(_OCCURRENCE).alias("key"))
+    windows = durable(_stretches(docs, anchors, _bitmap(durable(several, "several")), window, gram), "windows")
+    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("window", "first")
+    single = windows.join(earliest, "window").where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", F.lit(1).alias("n"))
+    return later.union(single).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("runs"))
 
 
 def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, begin, end (word offsets): maximal runs of words that occur earlier."""
-    starts = repeated_windows(docs, window, gram).select("doc_id", F.explode("starts").alias("pos"))
+    runs = repeated_windows(docs, window, gram).select("doc_id", F.explode("runs").alias("r")).select("doc_id", F.col("r.pos").alias("begin"), (F.col("r.pos") + F.col("r.n") + window - 1).alias("end"))
     return (
-        starts.withColumn("gap", F.expr(f"pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > {window}"))
-        .withColumn("run", F.expr("sum(if(gap, 1, 0)) OVER (PARTITION BY doc_id ORDER BY pos)"))
-        .groupBy("doc_id", "run").agg(F.min("pos").alias("begin"), (F.max("pos") + window).alias("end")).drop("run")
+        runs.withColumn("gap", F.expr("begin > max(end) OVER (PARTITION BY doc_id ORDER BY begin, end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+        .withColumn("run", F.expr("sum(if(gap, 1, 0)) OVER (PARTITION BY doc_id ORDER BY begin, end)"))
+        .groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
     )
 
 
-def _kept(words: list[bytes], starts: list[int] | None, window: int) -> np.ndarray:
-    if not starts:
+def _kept(words: list[bytes], runs: list | None, window: int) -> np.ndarray:
+    if runs is None or not len(runs):
         return np.ones(len(words), bool)
-    edge = np.zeros(len(words) + window + 1, np.int32)
-    at = np.asarray(starts, np.int64)
-    at = at[at < len(words)]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
+    edge = np.zeros(len(words) + 1, np.int64)
+    begin, n = np.array([(r["pos"], r["n"]) for r in runs], np.int64).T
+    np.add.at(edge, np.minimum(begin, len(words)), 1)
+    np.add.at(edge, np.minimum(begin + n + window - 1, len(words)), -1)
     return np.cumsum(edge)[: len(words)] == 0
 
 
-def _with_starts(docs: DataFrame, window: int) -> DataFrame:
+def _with_runs(docs: DataFrame, window: int) -> DataFrame:
     found = repeated_windows(docs.select("doc_id", "text"), window).withColumnRenamed("doc_id", "_doc")
     return docs.join(found, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
 
@@ -152,16 +191,16 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, gone, sha = [], [], []
-            for text, starts in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split() if text else []
-                kept = _kept(words, starts, window)
+                kept = _kept(words, runs, window)
                 n.append(len(words))
                 gone.append(len(words) - int(kept.sum()))
                 sha.append(hashlib.sha256(b" ".join(w for w, k in zip(words, kept.tolist(), strict=True) if k)).hexdigest())
             yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_starts(rows, window).select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(rows, window).select("doc_id", "text", "runs").transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -172,14 +211,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def cut(text, starts):
+    def cut(text, runs):
         def one(t, s):
             if t is None or s is None or not len(s):
                 return t
             words = t.encode().split()
             return b" ".join(w for w, k in zip(words, _kept(words, list(s), window).tolist(), strict=True) if k).decode()
 
-        return text.combine(starts, one)
+        return text.combine(runs, one)
 
-    joined = _with_starts(docs, window)
-    return joined.withColumn("text", F.when(F.col("starts").isNull(), F.col("text")).otherwise(cut("text", "starts"))).select(*docs.columns)
+    small_batches(docs.sparkSession)
+    joined = _with_runs(docs, window)
+    return joined.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut("text", "runs"))).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import slices
+from lathe.llm.common import map_arrow, slices
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derived")
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
@@ -74,7 +74,7 @@ def responses(pages: DataFrame, date: str = CAPTURE_DATE) -> DataFrame:
             yield _table(out, RESPONSE)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, RESPONSE)
+    return rows.transform(map_arrow, run, RESPONSE)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -103,7 +103,7 @@ def derive(records: DataFrame) -> DataFrame:
                     out.append((page_id, kind, f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {rid}')}>", rid, url, date, content, len(data), digest(data), payload_digest, block))
             yield _table(out, DERIVED)
 
-    return records.select(*names).mapInArrow(run, DERIVED)
+    return records.select(*names).transform(map_arrow, run, DERIVED)
 
 
 def serialise(records: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def serialise(records: DataFrame) -> DataFrame:
                 out.append(f"WARC/1.1\r\n{lines}\r\n{block}\r\n\r\n".encode())
             yield pa.record_batch({"page_id": pa.array(ids, pa.int64()), "record_id": pa.array(rids, pa.string()), "record": pa.array(out, pa.binary())})
 
-    return records.select(*(f.split()[0] for f in DERIVED.split(", "))).mapInArrow(run, "page_id long, record_id string, record binary")
+    return records.select(*(f.split()[0] for f in DERIVED.split(", "))).transform(map_arrow, run, "page_id long, record_id string, record binary")
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
