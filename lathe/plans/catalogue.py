@@ -4,12 +4,278 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lathe.functions import text as T
+from lathe.operators import bom, dedup, metrics, paths, reconcile
+from lathe.streaming import tail
+from lathe.tables import load, timed_events
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+@query("""WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, value, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT event_type, day, round(max(CASE WHEN n = 1 THEN value END), 6) AS last, round(avg(value), 6) AS mean, round(max(value), 6) AS max, count(*) AS n FROM e GROUP BY ALL""")
+def series_last_mean_max(spark, d):
+    e = timed_events(spark, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    out = metrics.series_reduce(e, ["event_type", "day"], "ts", "event_id", "value")
+    return out.select("event_type", "day", *(F.round(c, 6).alias(c) for c in ("last", "mean", "max")), "n")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES))
+def row_count_ledger(spark, d):
+    out = None
+    for t in TABLES:
+        one = load(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def keep_first_exact(spark, d):
+    return dedup.keep_first(load(spark, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@query("""WITH f AS (SELECT user_id, event_type, round(value) AS v, min(event_id) AS id, count(*) AS c FROM events GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY id) AS n FROM f)
+SELECT CAST(sum(c) AS BIGINT) AS n_in, count(*) AS n_kept, CAST(sum(c) - count(*) AS BIGINT) AS n_exact, count(*) FILTER (n > 1) AS n_conflicts FROM s""")
+def dedup_counters(spark, d):
+    return dedup.dedup_counters(load(spark, d, "events").withColumn("v", F.round("value")), ["user_id", "event_type"], "v", "event_id")
+
+
+_CASED = "CASE WHEN doc_id % 2 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END"
+
+
+@query(f"SELECT md5(lower({_CASED})) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def case_variant_groups(spark, d):
+    return dedup.duplicate_groups(load(spark, d, "documents"), F.md5(F.lower(F.expr(_CASED))))
+
+
+@query("SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = lower(text) AS same FROM documents")
+def ascii_vs_unicode_lower(spark, d):
+    return load(spark, d, "documents").select("doc_id", (T.ascii_lower(F.col("text")) == F.lower("text")).alias("same"))
+
+
+@query("SELECT lang, source, count(DISTINCT sha256(text)) = 1 AS identical, count(*) AS n FROM documents GROUP BY ALL")
+def all_identical_hash(spark, d):
+    return load(spark, d, "documents").groupBy("lang", "source").agg((F.count_distinct(F.sha2("text", 256)) == 1).alias("identical"), F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, p_brand, CASE WHEN max(p_retailprice) OVER w - min(p_retailprice) OVER w > 97 THEN 'ambiguous'
+WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) = 1 THEN 'keep' ELSE 'quarantine' END AS decision FROM part WINDOW w AS (PARTITION BY p_brand)""")
+def survivor_argmax(spark, d):
+    best = [F.desc("p_size"), F.desc("p_retailprice"), F.asc("p_partkey")]
+    return dedup.survivor(load(spark, d, "part"), ["p_brand"], best, "p_retailprice", 97).select("p_partkey", "p_brand", "decision")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def anti_merge(spark, d):
+    present = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return dedup.anti_merge(load(spark, d, "orders"), present, ["o_orderkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\\.', '') AS site FROM pages")
+def host_normalise(spark, d):
+    return load(spark, d, "pages").select("page_id", T.site(F.col("url")).alias("site"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def semi_sibling(spark, d):
+    return load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("""WITH b AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), a AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1)
+SELECT l_orderkey, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, CASE WHEN a.n IS NULL THEN 'LOST' WHEN b.n IS NULL THEN 'new' WHEN a.n < b.n THEN 'SHRANK' WHEN a.n > b.n THEN 'grew' ELSE 'same' END AS verdict FROM b FULL JOIN a USING (l_orderkey)""")
+def two_sided_verdict(spark, d):
+    line = load(spark, d, "lineitem")
+    count = lambda cond: line.where(cond).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return reconcile.count_verdicts(count("l_linenumber <= 3"), count("l_linenumber >= 2"), "l_orderkey").na.fill(0, ["n_before", "n_after"])
+
+
+@query("""WITH a AS (SELECT o_custkey, o_orderstatus FROM orders), b AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice < 150000)
+SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' AS side FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def multiset_diff(spark, d):
+    o = load(spark, d, "orders")
+    return reconcile.multiset_diff(o.select("o_custkey", "o_orderstatus"), o.where("o_totalprice < 150000").select("o_custkey", "o_orderstatus"))
+
+
+@query("""WITH b AS (SELECT o_totalprice AS s, coalesce(t, 0) AS t FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)
+SELECT count(*) FILTER (s > t) AS n_larger, count(*) FILTER (s < t) AS n_smaller, count(*) FILTER (s = t) AS n_equal, round(sum(CASE WHEN s > t THEN s - t END), 2) AS surplus FROM b""")
+def size_compare_tally(spark, d):
+    lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("size"))
+    return reconcile.size_tally(load(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("size")), lines, "o_orderkey")
+
+
+@query("""SELECT n_name, r_name, CASE WHEN n_regionkey % 2 = 0 THEN 'open' ELSE 'blocked' END AS expect, CASE WHEN length(r_name) > 5 THEN 'open' ELSE 'blocked' END AS observed,
+CASE WHEN (n_regionkey % 2 = 0) = (length(r_name) > 5) THEN 'OK' ELSE 'MISMATCH' END AS verdict FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+def expectation_check(spark, d):
+    say = lambda c: F.when(c, "open").otherwise("blocked")
+    both = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    out = both.select("n_name", "r_name", say(F.col("n_regionkey") % 2 == 0).alias("expect"), say(F.length("r_name") > 5).alias("observed"))
+    return out.withColumn("verdict", F.when(F.col("expect") == F.col("observed"), "OK").otherwise("MISMATCH"))
+
+
+@query("""WITH r AS (SELECT p_brand, sum(p_retailprice) AS ref FROM part GROUP BY 1), u AS (SELECT p_brand, sum(p_retailprice / 100 * l_quantity) AS amount FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+SELECT p_brand, round(amount, 4) AS amount, round(amount / nullif(ref, 0), 6) AS share FROM u JOIN r USING (p_brand)""")
+def bom_scale_total(spark, d):
+    part = load(spark, d, "part")
+    used = load(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.sum(bom.scaled(F.col("p_retailprice"), F.col("l_quantity"))).alias("amount"))
+    ref = part.groupBy("p_brand").agg(F.sum("p_retailprice").alias("ref"))
+    return used.join(ref, "p_brand").select("p_brand", F.round("amount", 4).alias("amount"), F.round(bom.share(F.col("amount"), F.col("ref")), 6).alias("share"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice / 100 * l_quantity), 4) AS amount, CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def bom_rollup_total(spark, d):
+    out = bom.with_totals(load(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"), "l_returnflag", "l_linestatus", bom.scaled(F.col("l_extendedprice"), F.col("l_quantity")))
+    return out.withColumn("amount", F.round("amount", 4))
+
+
+@query("""SELECT l_returnflag, round(sum(l_quantity) FILTER (l_linestatus = 'F'), 2) AS F, round(sum(l_quantity) FILTER (l_linestatus = 'O'), 2) AS O FROM lineitem GROUP BY 1""")
+def bom_pivot(spark, d):
+    return load(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.sum("l_quantity"), 2))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, ts, event_id, sum(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS v FROM events),
+w AS (SELECT *, row_number() OVER k AS n, lead(v) OVER k AS v0, lead(ts) OVER k AS t0 FROM c WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC))
+SELECT user_id, event_type, round((CASE WHEN v >= v0 THEN v - v0 ELSE v END) / nullif((epoch_us(ts) - epoch_us(t0)) / 1e6, 0), 6) AS rate FROM w WHERE n = 1 AND t0 IS NOT NULL""")
+def irate_last_two(spark, d):
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    counter = timed_events(spark, d).withColumn("v", F.sum("value").over(w))
+    out = metrics.irate(counter, ["user_id", "event_type"], "ts", "event_id", "v")
+    return out.withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS n_types, round(100 * (count(DISTINCT event_type) - avg(value) / 100) / count(DISTINCT event_type), 6) AS busy FROM events GROUP BY 1")
+def busy_percent(spark, d):
+    out = load(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n_types"), F.avg("value").alias("m"))
+    return out.select("user_id", "n_types", F.round(100 * (F.col("n_types") - F.col("m") / 100) / F.col("n_types"), 6).alias("busy"))
+
+
+@query("SELECT l_returnflag, round(100 - avg(l_discount) / avg(l_tax) * 100, 6) AS ratio FROM lineitem GROUP BY 1")
+def ratio_of_means(spark, d):
+    return load(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(100 - F.avg("l_discount") / F.avg("l_tax") * 100, 6).alias("ratio"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, value, CAST(row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY value DESC, event_id) AS INTEGER) AS rank FROM events QUALIFY rank <= 25""")
+def topk_per_instant(spark, d):
+    e = timed_events(spark, d).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", "value")
+    return metrics.top_k(e, ["day"], 25, [F.desc("value"), F.asc("event_id")])
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(CASE WHEN contains(event_type, 'c') THEN -value ELSE value END), 4) AS signed_sum FROM events WHERE regexp_full_match(event_type, '[a-c].*|view') AND NOT regexp_full_match(event_type, 'c') GROUP BY 1")
+def label_matchers(spark, d):
+    t = F.col("event_type")
+    e = load(spark, d, "events").where(metrics.matches(t, "[a-c].*|view") & ~metrics.matches(t, "c"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.when(t.contains("c"), -F.col("value")).otherwise(F.col("value"))), 4).alias("signed_sum"))
+
+
+_PATH = "regexp_extract(url, '^[^:]+://([^?#]*)', 1)"
+
+
+@query(f"""WITH p AS (SELECT string_split({_PATH}, '/') AS l FROM pages), a AS (SELECT unnest(list_transform(range(1, len(l)), lambda i: array_to_string(l[1:i], '/'))) AS dir FROM p) SELECT dir, count(*) AS n FROM a GROUP BY 1""")
+def dir_prefix_counts(spark, d):
+    return paths.dir_counts(load(spark, d, "pages").select(F.expr(_PATH).alias("path")), "path")
+
+
+@query()
+def path_canonicalise(spark, d):
+    """Directories of page paths with every third host part upper-cased."""
+    path = F.when(F.col("page_id") % 3 == 0, F.upper(F.expr(_PATH))).otherwise(F.expr(_PATH))
+    return paths.canonical_dirs(load(spark, d, "pages").select(path.alias("path")), "path")
+
+
+@query("""SELECT vec_id, len(embedding) AS n, list_bool_or(list_transform(embedding, lambda x: x > 0.2)) AS any_large, len(list_filter(embedding, lambda x: x > 0)) AS n_positive FROM embeddings""")
+def array_hof(spark, d):
+    e = F.col("embedding")
+    n = lambda c: F.size(c).cast("bigint")
+    return load(spark, d, "embeddings").select("vec_id", n(e).alias("n"), F.exists(e, lambda x: x > 0.2).alias("any_large"), n(F.filter(e, lambda x: x > 0)).alias("n_positive"))
+
+
+@query("SELECT conv_id, string_agg(role || ':' || length(text), '>' ORDER BY turn) || '>' AS folded FROM conversations GROUP BY 1")
+def right_fold_text(spark, d):
+    rows = load(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("turns"))
+    fold = T.right_fold(F.col("turns"), F.lit(""), lambda x, acc: F.concat(x["role"], F.lit(":"), x["n"].cast("string"), F.lit(">"), acc))
+    return rows.select("conv_id", fold.alias("folded"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'c' || user_id WHEN 'view' THEN 'v' || CAST(round(value) AS BIGINT) ELSE 'o' || event_type END AS said FROM events")
+def union_dispatch(spark, d):
+    tag = F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise(F.lit("other"))
+    arms = {"click": F.concat(F.lit("c"), F.col("user_id").cast("string")), "view": F.concat(F.lit("v"), F.round("value").cast("bigint").cast("string")), "other": F.concat(F.lit("o"), F.col("event_type"))}
+    return load(spark, d, "events").select("event_id", T.dispatch(tag, arms).alias("said"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def nested_record_round_trip(spark, d):
+    nested = load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    return nested.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(text) > 400 THEN 'too long' END, CASE WHEN text = '' THEN 'empty' END, CASE WHEN regexp_matches(text, '[\\x00-\\x1f]') THEN 'control' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END], lambda x: x IS NOT NULL), ',') AS broken FROM conversations""")
+def validate_rules(spark, d):
+    t = F.col("text")
+    rules = {"too long": F.length(t) > 400, "empty": t == "", "control": t.rlike(r"[\x00-\x1f]"), "role": ~F.col("role").isin("user", "assistant")}
+    return load(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.broken_rules(rules), ",").alias("broken"))
+
+
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line_no, length(unnest(l)) AS n FROM l""")
+def line_numbers(spark, d):
+    lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), F.length("line").cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id > 500")
+def cursor_tail(spark, d):
+    return tail.after(load(spark, d, "events"), "event_id", 500).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events")
+def cursor_replay(spark, d):
+    return tail.after(load(spark, d, "events"), "event_id", 1 << 40).select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_dedupe(spark, d):
+    events = load(spark, d, "events")
+    return tail.drain(spark, f"{d}/events.parquet*", events.schema, ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY THEN round(value * 2, 6) ELSE round(value, 6) END AS value FROM events")
+def late_requery_upsert(spark, d):
+    """The last two days are read again with doubled values, which replace the stored ones."""
+    e = timed_events(spark, d).select("event_id", "ts", "value").withColumn("run", F.lit(0))
+    newest = e.agg(F.max("ts").alias("m"))
+    again = e.join(F.broadcast(newest), F.lit(True)).where(F.expr("ts >= m - INTERVAL 2 DAYS")).select("event_id", "ts", (F.col("value") * 2).alias("value"), F.lit(1).alias("run"))
+    return tail.upsert_latest(e, again, ["event_id"], [F.desc("run")]).select("event_id", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def telemetry_explode(spark, d):
+    return load(spark, d, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY md5(l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber LIMIT 100")
+def sample_hash_order(spark, d):
+    turn = F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return load(spark, d, "lineitem").orderBy(turn, "l_orderkey", "l_linenumber").limit(100).select("l_orderkey", "l_linenumber")
