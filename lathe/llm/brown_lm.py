@@ -117,7 +117,8 @@ class BrownModel:
 def build_lexicon(counts: DataFrame, lexicon: int = LEXICON, clustered: int = CLUSTERED) -> Lexicon:
     words = counts.where("word <> X''")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.expr("word = X''"), F.col("c"))).alias("ends")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(lexicon).collect()
+    # Written first: collected at once, every partition would send its own candidates to the driver.
+    top = durable(words.orderBy(F.desc("c"), "word").limit(lexicon), "lexicon").orderBy(F.desc("c"), "word").collect()
     bucket_n, bucket_v = np.zeros(BUCKETS), np.zeros(BUCKETS)
     by = words.groupBy(F.crc32(F.substring("word", -3, 3)).bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
     for bucket, n, v in by.collect():
