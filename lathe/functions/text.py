@@ -44,3 +44,33 @@ def right_fold(items: Column, zero: Column, step) -> Column:
 def broken_rules(rules: dict[str, Column]) -> Column:
     """Names of the rules whose condition holds (a null condition doesn't), in order."""
     return F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in rules.items())))
+
+
+def substitute(template: Column, values: dict[str, Column]) -> Column:
+    """Fills ``@name@`` places one after the other; a null value is empty."""
+    for name, value in values.items():
+        template = F.replace(template, F.lit(f"@{name}@"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+def split_once(s: Column, mark: str) -> tuple[Column, Column]:
+    """What stands before and after the first mark; without one, all and null."""
+    at = F.instr(s, mark)
+    return F.when(at > 0, F.substring(s, F.lit(1), at - 1)).otherwise(s), F.when(at > 0, F.substring(s, at + len(mark), F.length(s)))
+
+
+def file_time(name: Column) -> Column:
+    """The instant in a name like 2024-05-06_07-08-09.jpg, in the session's time zone; else null."""
+    return F.try_to_timestamp(F.regexp_extract(name, r"\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}", 0), F.lit("yyyy-MM-dd_HH-mm-ss"))
+
+
+def decode_text(data: Column) -> Column:
+    """Text of UTF-8 bytes, or of ISO-8859-15 where they are no UTF-8."""
+    # The eight places where that charset differs from ISO-8859-1.
+    other = F.translate(F.decode(data, "ISO-8859-1"), "¤¦¨´¸¼½¾", "€ŠšŽžŒœŸ")
+    return F.coalesce(F.try_validate_utf8(data.cast("string")), other)
+
+
+def gib(n: Column) -> Column:
+    """Bytes as GiB, two places, half to even."""
+    return F.bround(n / (1 << 30), 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,42 @@ def size_tally(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
         F.count_if(F.col("s") > F.col("t")).alias("n_larger"), F.count_if(F.col("s") < F.col("t")).alias("n_smaller"), F.count_if(F.col("s") == F.col("t")).alias("n_equal"),
         F.round(F.sum(F.when(F.col("s") > F.col("t"), F.col("s") - F.col("t"))), 2).alias("surplus"),
     )
+
+
+def hash_verdicts(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, hash) against (key, hash): ok, mismatch or missing; the hash of nothing counts as missing."""
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    other = found.select(key, F.nullif(F.col("hash"), empty).alias("_h"))
+    verdict = F.when(F.col("_h").isNull(), "missing").when(F.col("_h") == F.col("hash"), "ok").otherwise("mismatch")
+    return expected.join(other, key, "left").select(key, verdict.alias("verdict"))
+
+
+def tallies(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """One row: how often each value occurs, and all rows; a value that isn't listed is an error."""
+    known = df.select(F.when(F.col(column).isin(values), F.col(column)).otherwise(F.raise_error(F.lit("a value is not listed"))).alias("_v"))
+    return known.agg(*(F.count_if(F.col("_v") == v).alias(f"n_{v.lower()}") for v in values), F.count("_v").alias("n_total"))
+
+
+def orphans(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows that an inner join on the key would lose."""
+    return left.join(right.select(key).distinct(), key, "left_anti")
+
+
+def first_match(names: DataFrame, paths: DataFrame, name: str, path: str, order: str) -> DataFrame:
+    """For each name the first path, by ``order``, whose last part it is; null if there is none."""
+    by = paths.groupBy(F.substring_index(path, "/", -1).alias(name)).agg(F.min(F.struct(order, path)).alias("_first"))
+    return names.join(by, name, "left").select(*names.columns, F.col(f"_first.{order}").alias(order), F.col(f"_first.{path}").alias(path))
+
+
+def with_markers(df: DataFrame, marks: DataFrame, key: str, mark: str) -> DataFrame:
+    """Adds the distinct marks of each row's key, in order and joined by commas; without marks, empty."""
+    # The marks of one key are a property of the mark set, not of how often they are repeated.
+    by = marks.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(mark)), ",").alias("markers"))
+    return df.join(by, key, "left").withColumn("markers", F.coalesce("markers", F.lit("")))
+
+
+def first_two_alike(df: DataFrame, group: list[str], order: list, value: str) -> DataFrame:
+    """Groups of two or more rows: whether the first two have equal values."""
+    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    two = df.select(*group, F.col(value).alias("_v"), n.alias("_n")).where("_n <= 2")
+    return two.groupBy(*group).agg((F.min("_v") == F.max("_v")).alias("alike"), F.count("*").alias("_c")).where("_c = 2").drop("_c")

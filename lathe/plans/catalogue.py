@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lathe.functions import nested as N
 from lathe.functions import text as T
 from lathe.operators import bom, dedup, metrics, paths, reconcile
 from lathe.streaming import tail
@@ -279,3 +280,118 @@ def telemetry_explode(spark, d):
 def sample_hash_order(spark, d):
     turn = F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber"))
     return load(spark, d, "lineitem").orderBy(turn, "l_orderkey", "l_linenumber").limit(100).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT r_name, count(*) AS n, round(sum(l_extendedprice / 100 * l_quantity), 2) AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def bom_join_chain(spark, d):
+    chain = load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(load(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    chain = chain.join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return chain.groupBy("r_name").agg(F.count("*").alias("n"), F.round(F.sum(bom.scaled(F.col("l_extendedprice"), F.col("l_quantity"))), 2).alias("amount"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_check(spark, d):
+    return reconcile.orphans(load(spark, d, "documents").select("doc_id", "lang"), load(spark, d, "labels"), "doc_id")
+
+
+_FOUND_HASHES = "SELECT doc_id, sha256(CASE WHEN toxic = 1 THEN upper(text) ELSE text END) AS h FROM documents JOIN (SELECT DISTINCT doc_id, toxic FROM labels) USING (doc_id)"
+_HASH_VERDICTS = f"SELECT d.doc_id, CASE WHEN h IS NULL OR h = sha256('') THEN 'missing' WHEN h = sha256(text) THEN 'ok' ELSE 'mismatch' END AS verdict FROM documents d LEFT JOIN ({_FOUND_HASHES}) f ON d.doc_id = f.doc_id"
+
+
+@query(_HASH_VERDICTS)
+def hash_verdicts(spark, d):
+    """The labelled documents are the other side; toxic ones have arrived in another case."""
+    docs = load(spark, d, "documents")
+    labels = load(spark, d, "labels").select("doc_id", "toxic").distinct()
+    found = docs.join(labels, "doc_id").select("doc_id", F.sha2(F.when(F.col("toxic") == 1, F.upper("text")).otherwise(F.col("text")), 256).alias("hash"))
+    return reconcile.hash_verdicts(docs.select("doc_id", F.sha2("text", 256).alias("hash")), found, "doc_id")
+
+
+@query(f"SELECT count(*) FILTER (verdict = 'ok') AS n_ok, count(*) FILTER (verdict = 'mismatch') AS n_mismatch, count(*) FILTER (verdict = 'missing') AS n_missing, count(*) AS n_total FROM ({_HASH_VERDICTS})")
+def verdict_tallies(spark, d):
+    return reconcile.tallies(hash_verdicts(spark, d), "verdict", ["ok", "mismatch", "missing"])
+
+
+@query("""WITH p AS (SELECT page_id, url, string_split(url, '/')[-1] AS name FROM pages), f AS (SELECT name, min(page_id) AS page_id FROM p GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS name, f.page_id, url FROM labels LEFT JOIN f ON f.name = CAST(doc_id AS VARCHAR) LEFT JOIN p ON p.page_id = f.page_id""")
+def basename_first_match(spark, d):
+    names = load(spark, d, "labels").select(F.col("doc_id").cast("string").alias("name"))
+    return reconcile.first_match(names, load(spark, d, "pages").select("page_id", "url"), "name", "url", "page_id")
+
+
+@query("SELECT c_custkey, coalesce(m, '') AS markers FROM customer LEFT JOIN (SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def markers_per_key(spark, d):
+    marks = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
+    return reconcile.with_markers(load(spark, d, "customer").select("c_custkey"), marks, "c_custkey", "o_orderstatus")
+
+
+@query("""WITH n AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
+SELECT p_brand, min(p_type) = max(p_type) AS alike FROM n WHERE n <= 2 GROUP BY 1 HAVING count(*) = 2""")
+def first_two_alike(spark, d):
+    return reconcile.first_two_alike(load(spark, d, "part"), ["p_brand"], ["p_partkey"], "p_type")
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE c_mktsegment END AS segment FROM customer")
+def constant_remap(spark, d):
+    to = spark.createDataFrame([("BUILDING", "B"), ("MACHINERY", "M")], "c_mktsegment string, new string")
+    return load(spark, d, "customer").join(F.broadcast(to), "c_mktsegment", "left").select("c_custkey", F.coalesce("new", "c_mktsegment").alias("segment"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(turn ORDER BY turn) AS t FROM conversations GROUP BY 1)
+SELECT conv_id, r[1] AS head, CASE WHEN len(r) = 1 THEN r[1] END AS only_role, nullif(array_to_string(list_filter(t, lambda x: x > 3), ','), '') AS late, CASE WHEN len(r) > 4 THEN true END AS long_talk FROM c""")
+def optional_values(spark, d):
+    c = load(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"))
+    late = N.non_empty(F.filter(F.col("l.turn"), lambda x: x > 3))
+    return c.select("conv_id", N.head(F.col("l.role")).alias("head"), N.only(F.col("l.role")).alias("only_role"), F.array_join(late.cast("array<string>"), ",").alias("late"), N.present(F.size("l") > 4).alias("long_talk"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS name, CAST(c_nationkey AS VARCHAR) AS nation, 2 AS n_keys FROM customer")
+def key_value_lines(spark, d):
+    lines = F.concat(F.lit("name="), F.col("c_name"), F.lit("\nno pair\nnation="), F.col("c_nationkey").cast("string"), F.lit("\nNAME="), F.col("c_mktsegment"))
+    m = load(spark, d, "customer").select("c_custkey", N.key_values(lines).alias("m"))
+    return m.select("c_custkey", F.try_element_at("m", F.lit("NAME")).alias("name"), F.try_element_at("m", F.lit("NATION")).alias("nation"), F.size("m").alias("n_keys"))
+
+
+@query("SELECT CAST(json_object('n_name', n_name, 'n_nationkey', n_nationkey, 'n_regionkey', n_regionkey) AS VARCHAR) AS doc FROM nation")
+def canonical_json(spark, d):
+    n = load(spark, d, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    return n.select(N.canonical_json(F.struct(*n.columns), n.schema).alias("doc"))
+
+
+@query("SELECT s_suppkey, s_name || ' in ' || s_nationkey || ': ' || s_name AS said FROM supplier")
+def template_fill(spark, d):
+    return load(spark, d, "supplier").select("s_suppkey", T.substitute(F.lit("@who@ in @at@: @who@"), {"who": F.col("s_name"), "at": F.col("s_nationkey")}).alias("said"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def file_name_time(spark, d):
+    name = F.concat(F.lit("IMG "), F.date_format("ts", "yyyy-MM-dd_HH-mm-ss"), F.lit(".jpg"))
+    return timed_events(spark, d).select("event_id", T.file_time(name).cast("timestamp_ntz").alias("at"))
+
+
+@query("SELECT page_id, split_part(url, ':', 1) AS before, substr(url, strpos(url, ':') + 1) AS behind FROM pages")
+def split_once(spark, d):
+    before, behind = T.split_once(F.col("url"), ":")
+    return load(spark, d, "pages").select("page_id", before.alias("before"), behind.alias("behind"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'u' || user_id ELSE event_type END AS filed FROM events")
+def event_routing(spark, d):
+    return load(spark, d, "events").select("event_id", tail.routed(F.col("event_type"), F.concat(F.lit("u"), F.col("user_id").cast("string")), "click").alias("filed"))
+
+
+@query("""SELECT conv_id, turn, l.doc_id AS line, l.doc_id IS NOT NULL AS logged FROM conversations c LEFT JOIN (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY 1) l ON l.text = c.text""")
+def deferred_line_lookup(spark, d):
+    log = load(spark, d, "documents").select("text", F.col("doc_id").alias("line"))
+    return tail.with_line(load(spark, d, "conversations").select("conv_id", "turn", "text"), log, ["text"], "line").drop("text")
+
+
+@query("SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value * 2 ELSE value END AS value FROM events")
+def partition_refresh(spark, d):
+    """Only one partition answers; its rows replace it, and the others stay."""
+    e = load(spark, d, "events").select("event_id", "event_type", "value")
+    path = tail.shared_folder(spark)
+    tail.replace_partitions(e, path, "event_type")
+    tail.replace_partitions(e.where("event_type = 'click'").withColumn("value", F.col("value") * 2), path, "event_type")
+    return spark.read.parquet(path).select("event_id", "event_type", "value")

@@ -33,3 +33,34 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
     part = lambda i: F.regexp_extract("p", r"/([^/]+)/(\d{4}/\d{2}/\d{2})/([^/]+)\.log$", i)
     lines = files.select(part(1).alias("tag"), F.to_date(part(2), "yyyy/MM/dd").alias("file_date"), part(3).alias("target"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("i", "raw"))
     return lines.select("tag", "file_date", "target", (F.col("i") + 1).alias("line_no"), "raw")
+
+
+def write_lines(df: DataFrame, column: str, path: str) -> None:
+    df.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that hold one array of records each."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def read_fixture(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Space-separated columns; blanks, comments and what follows the last column are dropped."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return read_lines(spark, path).select(*(F.get(parts, i).alias(c) for i, c in enumerate(columns)))
+
+
+def write_ledger(df: DataFrame, path: str) -> None:
+    """Tab-separated (table, n)."""
+    df.select("table", "n").write.csv(path, sep="\t")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("table string, n long").csv(path, sep="\t")
+
+
+def read_telemetry(spark: SparkSession, path: str, event: str) -> DataFrame:
+    """(at, one row an event) of lines ``client-event at=<time> batch=<JSON array>``; ``event`` is its record type."""
+    part = lambda i: F.regexp_extract("value", r"client-event at=(\S+) batch=(.*)$", i)
+    lines = spark.read.text(path).where(F.col("value").contains("client-event at="))
+    return lines.select(F.try_to_timestamp(part(1)).alias("at"), F.explode(F.from_json(part(2), f"array<struct<{event}>>")).alias("e")).select("at", "e.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,7 +15,8 @@ def after(events: DataFrame, seq: str, cursor: int) -> DataFrame:
     return events.join(F.broadcast(newest), F.lit(True)).where((F.col(seq) > cursor) | (F.lit(cursor) > F.col("_newest"))).drop("_newest")
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lathe-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
@@ -25,7 +26,7 @@ def drain(spark: SparkSession, path: str, schema, key: list[str], ts: str, delay
 
     State is bounded by the watermark; files and checkpoint lie in the shared folder.
     """
-    out = _shared(spark)
+    out = shared_folder(spark)
     rows = spark.readStream.schema(schema).parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
     once = rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
     query = once.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -37,3 +38,19 @@ def upsert_latest(stored: DataFrame, again: DataFrame, key: list[str], order: li
     """Rows read again replace stored ones of the same key; the newest by ``order`` stays."""
     w = Window.partitionBy(*key).orderBy(*order)
     return stored.unionByName(again).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def routed(target: Column, sender: Column, own: str) -> Column:
+    """Where an event is filed: what is sent to ``own`` goes under its sender."""
+    return F.when(target == own, sender).otherwise(target)
+
+
+def with_line(events: DataFrame, log: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """Adds the first logged line of each event, and whether there is one; ``events`` may be a stream."""
+    first = log.groupBy(*keys).agg(F.min(line).alias(line))
+    return events.join(first, keys, "left").withColumn("logged", F.col(line).isNotNull())
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Overwrite only the partitions that the rows have; the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lathe.functions import nested as N
 from lathe.functions import text as T
 from lathe.operators import bom, dedup, metrics, paths, reconcile
 from lathe.sources import files
@@ -80,3 +81,44 @@ def test_tail(spark):
     assert tail.after(df, "seq", 3).count() == 0
     assert tail.after(df, "seq", 9).count() == 3
     assert tail.after(df.where("false"), "seq", 9).count() == 0
+
+
+def test_hash_verdicts_and_tallies(spark):
+    h = lambda t: F.sha2(F.lit(t).cast("binary"), 256)
+    want = spark.range(4).select(F.col("id").alias("p"), h("a").alias("hash"))
+    got = spark.range(3).select(F.col("id").alias("p"), F.when(F.col("id") == 0, h("a")).when(F.col("id") == 1, h("b")).otherwise(h("")).alias("hash"))
+    out = reconcile.hash_verdicts(want, got, "p")
+    assert {r.p: r.verdict for r in out.collect()} == {0: "ok", 1: "mismatch", 2: "missing", 3: "missing"}
+    assert tuple(reconcile.tallies(out, "verdict", ["ok", "mismatch", "missing"]).first()) == (1, 1, 2, 4)
+    with pytest.raises(Exception, match="not listed"):
+        reconcile.tallies(out, "verdict", ["ok"]).collect()
+
+
+def test_first_match_needs_the_whole_name(spark):
+    names = spark.createDataFrame([("a.mp3",), ("b",)], "name string")
+    paths = spark.createDataFrame([(1, "x/aa.mp3"), (3, "y/a.mp3"), (2, "z/q/a.mp3")], "seq int, path string")
+    assert {r.name: (r.seq, r.path) for r in reconcile.first_match(names, paths, "name", "path", "seq").collect()} == {"a.mp3": (2, "z/q/a.mp3"), "b": (None, None)}
+
+
+def test_nested_and_text_values(spark):
+    df = spark.createDataFrame([([], "", None, "A=1\nb=x=y\na=2\nplain")], "l array<int>, a string, b string, kv string")
+    row = df.select(N.non_empty(F.col("l")), N.head(F.col("l")), N.only(F.col("l")), N.first_filled(F.col("a"), F.col("b"), default="none"), N.key_values(F.col("kv"))).first()
+    assert tuple(row) == (None, None, None, "none", {"A": "2", "B": "x=y"})
+    assert tuple(spark.range(1).select(*T.split_once(F.lit("a:b:c"), ":"), *T.split_once(F.lit("abc"), ":")).first()) == ("a", "b:c", "abc", None)
+    raw = spark.createDataFrame([(bytearray("é€".encode()),), (bytearray(b"\xe9\xa4"),)], "b binary")
+    assert [r[0] for r in raw.select(T.decode_text(F.col("b"))).collect()] == ["é€", "é€"]
+    assert spark.range(1).select(T.file_time(F.lit("no time.jpg"))).first()[0] is None
+    nested = spark.createDataFrame([((2, [(1, 0)]),)], "r struct<b: int, a: array<struct<z: int, y: int>>>")
+    assert nested.select(N.canonical_json(F.col("r"), nested.schema["r"].dataType)).first()[0] == '{"a":[{"y":0,"z":1}],"b":2}'
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "t").write_text("# head\n\nweb  host 80 open  rest\n")
+    assert [tuple(r) for r in files.read_fixture(spark, f"{tmp_path}/t", ["deploy", "host", "port", "expect"]).collect()] == [("web", "host", "80", "open")]
+    (tmp_path / "j").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(r.a for r in files.read_json_array(spark, f"{tmp_path}/j", "a int").collect()) == [1, 2]
+    (tmp_path / "e").write_text('client-event at=2024-01-02T03:04:05Z batch=[{"k":1},{"k":2}]\nother\n')
+    assert sorted(r.k for r in files.read_telemetry(spark, f"{tmp_path}/e", "k: int").collect()) == [1, 2]
+    ledger = spark.createDataFrame([("a", 3)], "table string, n long")
+    files.write_ledger(ledger, f"{tmp_path}/l")
+    assert [tuple(r) for r in files.read_ledger(spark, f"{tmp_path}/l").collect()] == [("a", 3)]
