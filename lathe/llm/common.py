@@ -25,8 +25,11 @@ BROADCAST_ROWS = 1_000_000
 #: Rows of an Arrow batch; texts of a few kilobytes make batches of a few megabytes.
 ARROW_ROWS = 1000
 
+#: Bytes of an Arrow batch, whatever its rows; long texts make batches of a few rows.
+ARROW_BYTES = 4 << 20
+
 #: Words hashed in one block; longer texts are hashed block by block.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 20_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,10 +132,11 @@ def gram_hashes(words: list[bytes], k: int) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ARROW_ROWS rows, which bounds a worker's memory."""
+    """Arrow batches of at most ARROW_ROWS rows and ARROW_BYTES bytes, which bounds a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
