@@ -1,14 +1,23 @@
 """Licence recognition by sentence rules. DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything but a-z
-and 0-9 become one space) and looked up among known licence sentences; other sentences
-are left out. The sequence of identifiers is matched against ordered rules: a rule that
-finds its identifiers one after the other takes them, wherever they stand and as often,
-and names its licence; what no rule takes is reported as unmatched.
+A text is cut into pieces at line ends and at . ! ? : ; before a space, and each piece is
+normalised (lower case, runs of anything but a-z and 0-9 become one space). A known
+licence sentence is found where it equals a run of whole pieces, so that it may be
+wrapped anywhere, stand in a comment, or hold a ':' or ';' or an address of its own line;
+a run that begins earlier comes first, then the longer one, and a piece is used once.
+Other pieces are left out. The sequence of identifiers is matched against ordered rules:
+a rule that finds its identifiers one after the other takes them, wherever they stand and
+as often, and names its licence; what no rule takes is reported as unmatched.
+
+Lines are not joined before the cut: a notice below a line without a full stop would be
+lost in it. ``n_sentences`` counts pieces, so each line of a wrapped sentence counts.
 
 Sentence table and rules are small and written into the expression; their number is a
 property of the rule set, not of the corpus. One pass over the texts, no shuffle.
 
+``scan_sql`` looks up single pieces in ``SENTENCES`` alone. It agrees with the scan on
+texts whose known sentences each stand in one piece, as all do in the test tables.
+
 Defined results: a null or empty text has no sentence and no licence; a licence named by
 two rules or matched twice is listed once, in rule order; repeated rows are judged each;
 extra columns are ignored; an empty table gives no rows.
@@ -51,6 +60,17 @@ SENTENCES = (
     ("AllRights", "all rights reserved"),
 )
 
+#: Further sentences in full, as the published licence texts and headers have them.
+PUBLISHED = (
+    ("ApacheCopy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    ("MitName", "mit license"),
+    ("MitName", "mit license mit"),
+    ("MitName", "the mit license mit"),
+    ("MitGrant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("MitNotice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("MitAsIs", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+)
+
 #: Licence and the identifiers that name it, longest rules first.
 RULES = (
     ("Apache-2.0", ("ApacheNotice", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
@@ -71,18 +91,28 @@ RULES = (
     ("Proprietary", ("AllRights",)),
 )
 
+#: Tried before RULES. The BSD texts begin with a copyright line that reserves all rights.
+PUBLISHED_RULES = (
+    ("BSD-3-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary")),
+)
+
 
-def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES) -> tuple[Column, Column]:
-    """(number of sentences with a letter or digit, identifiers of the known ones in order)."""
+def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES + PUBLISHED) -> tuple[Column, Column]:
+    """(number of pieces with a letter or digit, identifiers of the known sentences in order)."""
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     said = F.filter(F.transform(F.split(text, SENTENCE_END), plain), lambda s: s != "")
+    # A bar stands before and after each piece; within a known sentence it counts as a space.
+    longest_first = sorted({s for _, s in sentences}, key=lambda s: (-len(s), s))
+    runs = r"\|(?:" + "|".join(s.replace(" ", "[ |]") for s in longest_first) + r")(?=\|)"
     known = F.array(*(F.lit(s) for _, s in sentences))
     names = F.array(*(F.lit(i) for i, _ in sentences))
-    found = F.transform(F.filter(F.transform(said, lambda s: F.array_position(known, s)), lambda p: p > 0), lambda p: F.element_at(names, p.cast("int")))
+    run = F.regexp_extract_all(F.concat(F.lit("|"), F.array_join(said, "|"), F.lit("|")), F.lit(runs), F.lit(0))
+    found = F.transform(run, lambda r: F.element_at(names, F.array_position(known, F.trim(F.translate(r, "|", " "))).cast("int")))
     return F.coalesce(F.size(said), F.lit(0)), F.coalesce(found, F.array().cast("array<string>"))
 
 
-def scan_licences(docs: DataFrame, sentences: tuple[tuple[str, str], ...] = SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES) -> DataFrame:
+def scan_licences(docs: DataFrame, sentences: tuple[tuple[str, str], ...] = SENTENCES + PUBLISHED, rules: tuple[tuple[str, tuple[str, ...]], ...] = PUBLISHED_RULES + RULES) -> DataFrame:
     """doc_id, n_sentences, identifiers (joined), licences (joined, null if none), n_unmatched."""
     n, ids = sentence_ids(F.col("text").cast("string"), sentences)
     out = docs.select("doc_id", F.struct(n.alias("n"), ids.alias("ids")).alias("f"))

@@ -174,6 +174,87 @@ def test_licences(spark, docs):
     assert license_rules.scan_licences(docs.where("false")).count() == 0
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+APACHE_REST = """
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_REST = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+GPL_REST = """
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+#: A published text or notice, wrapped, for every rule in turn.
+WRAPPED = [
+    "(c) me\nAll rights reserved.\n\n" + BSD_TEXT + BSD_REST, "(c) me\nAll rights reserved.\n\n" + BSD_TEXT, APACHE_TEXT + APACHE_REST, APACHE_TEXT, "MIT License\n\nCopyright (c) me\n\n" + MIT_TEXT, MIT_TEXT,
+    BSD_TEXT + BSD_REST, BSD_TEXT, GPL_TEXT + GPL_REST, GPL_TEXT, "Licensed under the Apache License,\nVersion 2.0.", "Released under the\nMIT License.",
+    "This work is licensed under the GNU General\nPublic License, version 3.", "Licensed under\nCC BY-NC 4.0.", "Licensed under\nCC BY 4.0.", "Licensed under CC\nBY-SA 4.0.", "Dedicated to the public domain\nunder CC0 1.0.", "All rights\nreserved.",
+]
+
+
+def test_licences_wrapped(spark):
+    rules = license_rules.PUBLISHED_RULES + license_rules.RULES
+    assert len(WRAPPED) == len(rules)
+    starred = ["/*\n" + "".join(f" * {line}\n" for line in t.splitlines()) + " */" for t in WRAPPED]
+    unwrapped = ["\n\n".join(" ".join(p.split()) for p in t.split("\n\n")) for t in WRAPPED]
+    below = ["a line without an end\n" + t for t in WRAPPED]
+    rows = [(i, t) for i, t in enumerate(WRAPPED + starred + below)] + [(1000 + i, t) for i, t in enumerate(unwrapped) if "(c) me All" not in t]
+    got = {r.doc_id: (r.identifiers, r.licences, r.n_unmatched) for r in license_rules.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, _ in rows:
+        name, ids = rules[i % 1000 % len(rules)]
+        assert got[i] == (" ".join(ids), name, 0), i
+
+
 def test_warc_round_trip(spark):
     page = '<html><head><title>A &amp; b</title><script>x("</p>")</script></head><body><p>One<br>two <a href="/x?a=1&amp;b=2">l</a><!-- c --></body>'
     pages = spark.createDataFrame([(1, "http://a/", page), (2, None, None), (1, "http://a/", page)], "page_id long, url string, html string")
