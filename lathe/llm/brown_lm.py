@@ -13,9 +13,10 @@ like words; within one, a word has the add-one estimate with a place for unseen
 so the probabilities of all words sum to one. Class transitions are smoothed with the
 class unigram, emissions with a half count.
 
-Counts cover every training document. What is broadcast has a fixed size: the
-``lexicon`` most frequent words with their counts, and one class per item. The counts
-of all other words are found by an equi-join with the table of word counts.
+Counts cover every training document. Texts are encoded as items once, for all rounds.
+What is broadcast has a fixed size: the ``lexicon`` most frequent words with their counts,
+and one class per item. The counts of all other words are found by an equi-join with the
+table of word counts.
 
 Defined results: a null text is empty (its end is still a token); a null ``doc_id`` is
 never held out; repeated rows give a row each; an empty training set gives every
@@ -41,7 +42,7 @@ CLASSES = 32
 CLUSTERED = 1 << 13
 BUCKETS = 512
 LEXICON = 1 << 17
-ROUNDS = 3
+ROUNDS = 4
 BLOCK = 256
 #: Weight of the class unigram in a class transition, in counts.
 BACKOFF = 8.0
@@ -130,26 +131,34 @@ def build_lexicon(counts: DataFrame, lexicon: int = LEXICON, clustered: int = CL
     return Lexicon(names, np.array([r.c for r in top], np.int64), clustered, bucket_n, bucket_v, total.ends or 0, total.n or 0, total.v)
 
 
-def _contexts(docs: DataFrame, lexicon: Lexicon, classes: np.ndarray, n_classes: int) -> DataFrame:
-    """(block, packed): per item of the block, counts of the classes before and after it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((lexicon.words, lexicon.item_of(), classes, lexicon.clustered))
-    items, width = lexicon.items, n_classes + 1
-    end, blocks = items - 1, -(-items // BLOCK)
+def _encoded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(ids) of each text: the items of its words, two bytes each, and the end. All rounds read it."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.item_of(), lexicon.clustered))
+    kind, end = (np.uint16 if lexicon.items <= 1 << 16 else np.uint32), lexicon.items - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, item_of, class_of, first = shared.value
+        words, item_of, first = shared.value
         known = _Items(zip(words, item_of.tolist(), strict=True))
         known.first_bucket = first
+        for batch in slices(batches, 1000):
+            ids = [np.array([*map(known.__getitem__, text.lower().split()), end] if text else [end], kind).tobytes() for text in utf8(batch.column(0))]
+            yield pa.record_batch({"ids": pa.array(ids, pa.binary())})
+
+    return durable(docs.select("text").transform(map_arrow, run, "ids binary"), "encoded")
+
+
+def _contexts(encoded: DataFrame, lexicon: Lexicon, classes: np.ndarray, n_classes: int) -> DataFrame:
+    """(block, packed): per item of the block, counts of the classes before and after it."""
+    shared = encoded.sparkSession.sparkContext.broadcast(classes)
+    items, width = lexicon.items, n_classes + 1
+    kind, blocks = (np.uint16 if items <= 1 << 16 else np.uint32), -(-items // BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = shared.value
         before = np.zeros(blocks * BLOCK * width, np.int64)
         after = np.zeros_like(before)
         for batch in slices(batches, 1000):
-            seq: list[int] = []
-            for text in utf8(batch.column(0)):
-                if text:
-                    seq += map(known.__getitem__, text.lower().split())
-                seq.append(end)
-            x = np.array(seq, np.int64)
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind).astype(np.int64)
             c = class_of[x]
             before += np.bincount(x * width + np.append(n_classes, c[:-1]), minlength=len(before))
             after += np.bincount(x * width + np.append(c[1:], n_classes), minlength=len(after))
@@ -170,7 +179,7 @@ def _contexts(docs: DataFrame, lexicon: Lexicon, classes: np.ndarray, n_classes:
         if at is not None:
             yield pa.record_batch({"block": pa.array([at], pa.int32()), "packed": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").transform(map_arrow, run, "block int, packed binary")
+    parts = encoded.transform(map_arrow, run, "block int, packed binary")
     # Each block is added up as it streams by in order: a task holds one block.
     summed = parts.repartition("block").sortWithinPartitions("block").transform(map_arrow, add, "block int, packed binary")
     return durable(summed, "contexts")
@@ -252,10 +261,11 @@ def train(docs: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, l
     width = classes + 1
     cls = np.arange(lex.items) % classes
     cls[-1] = classes
+    encoded = _encoded(docs, lex)
     for _ in range(rounds):
-        contexts = _contexts(docs, lex, cls, classes)
+        contexts = _contexts(encoded, lex, cls, classes)
         cls = _exchange(contexts, cls, _class_bigrams(contexts, cls, width)[0])
-    pairs, items = _class_bigrams(_contexts(docs, lex, cls, classes), cls, width)
+    pairs, items = _class_bigrams(_contexts(encoded, lex, cls, classes), cls, width)
     size = np.bincount(cls, weights=items, minlength=width)
     unigram = (size + 1) / (size.sum() + width)
     transition = (pairs + BACKOFF * unigram) / (pairs.sum(axis=1, keepdims=True) + BACKOFF)

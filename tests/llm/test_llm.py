@@ -68,6 +68,13 @@ def test_brown_scores(docs, real):
     assert brown_lm.score_corpus(docs.where("false")).count() == 0
 
 
+def test_brown_exchanges_four_times(docs, monkeypatch):
+    rounds, exchange = [], brown_lm._exchange
+    monkeypatch.setattr(brown_lm, "_exchange", lambda *a: rounds.append(1) or exchange(*a))
+    brown_lm.score_corpus(docs).count()
+    assert len(rounds) == 4
+
+
 def test_brown_is_a_distribution(spark, real):
     model = brown_lm.train(real, rounds=1)
     lex = model.lexicon
