@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lathe.llm.common import durable, lower_ascii
 
-#: Public suffixes of two labels; any other host's suffix is its last label. A parameter.
+#: The default rules for public suffixes; any other host's suffix is its last label. A parameter.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "org.uk", "gov.uk", "com.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
 #: Lower bound of the bad rate beyond which a host is blocked, and its distance in deviations.
 THRESHOLD, Z = 0.5, 1.645
@@ -43,11 +43,28 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
-    two = F.substring_index(host, ".", -2)
-    k = F.when(two.isin(*suffixes), 2).otherwise(1)
-    suffix = F.when(k == 2, two).otherwise(F.substring_index(host, ".", -1))
-    return F.when(k == 2, F.substring_index(host, ".", -3)).otherwise(two), suffix
+def domain_and_suffix(hosts: DataFrame, suffixes: DataFrame | tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """Adds ``domain`` and ``suffix`` to distinct hosts, by the rules of public suffix lists.
+
+    ``suffixes`` are such rules, or a table with one in each row of its first column: plain
+    (``co.uk``), with any label in front (``*.ck``), or an exception (``!www.ck``, whose suffix
+    is ``ck``). An exception prevails, else the longest rule; a port isn't part of the name.
+    """
+    rules = suffixes if isinstance(suffixes, DataFrame) else hosts.sparkSession.createDataFrame([(s,) for s in suffixes], "rule string")
+    rules = rules.select(F.lower(F.trim(F.col(rules.columns[0]))).alias("rule")).distinct()
+    name = F.regexp_replace("host", ":[0-9]*$", "")
+    labels = F.split(name, r"\.")
+    end = lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")
+    # (labels of the suffix, exception or not, rule) of each rule that could fit
+    tries = lambda n: F.array(
+        F.struct(F.lit(False).alias("exception"), n.alias("k"), end(n).alias("rule")),
+        F.struct(F.lit(False).alias("exception"), n.alias("k"), F.concat(F.lit("*."), end(n - 1)).alias("rule")),
+        F.struct(F.lit(True).alias("exception"), (n - 1).alias("k"), F.concat(F.lit("!"), end(n)).alias("rule")),
+    )
+    tried = hosts.select("host", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), tries))).alias("t")).select("host", "t.*")
+    best = tried.join(rules, "rule").groupBy("host").agg(F.max(F.struct("exception", "k")).alias("best"))
+    found = hosts.join(best, "host", "left").withColumn("_name", name).withColumn("_k", F.coalesce("best.k", F.lit(1)))
+    return found.withColumn("domain", F.expr("substring_index(_name, '.', -(_k + 1))")).withColumn("suffix", F.expr("substring_index(_name, '.', -_k)")).drop("best", "_name", "_k")
 
 
 def matched_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -87,12 +104,11 @@ def _strength(groups: DataFrame, mean: float) -> float:
     return min(STRONGEST, max(WEAKEST, noise / between - 1)) if between > 0 else STRONGEST
 
 
-def host_posteriors(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES, z: float = Z) -> DataFrame:
+def host_posteriors(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | tuple[str, ...] = TWO_LABEL_SUFFIXES, z: float = Z) -> DataFrame:
     """host, host_n, host_bad, mean, bound of every host; outcomes are (host, bad boolean)."""
     counted = outcomes.where("bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
-    hosts = pages.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"), domain.alias("domain"), suffix.alias("suffix"))
-    hosts = durable(hosts, "hosts")
+    hosts = pages.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
+    hosts = durable(domain_and_suffix(hosts, suffixes), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains, tops = hosts.groupBy("domain", "suffix").agg(*sums), hosts.groupBy("suffix").agg(*sums)
     total = tops.agg(*sums).first()
@@ -109,7 +125,7 @@ def host_posteriors(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str,
     return out.select("host", F.col("n").alias("host_n"), F.col("bad").alias("host_bad"), "mean", (F.col("mean") - z * deviation).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, z: float = Z, suffixes: DataFrame | tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_n, host_bad, bound of every page.
 
     ``pages`` has page_id and url; ``outcomes`` url and bad.
@@ -117,6 +133,6 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     host, path = host_and_path(F.col("url").cast("string"))
     judged = matched_rule(pages.select("page_id", host.alias("host"), path.alias("path")), rules)
     seen = outcomes.select(host.alias("host"), F.col("bad").cast("boolean").alias("bad"))
-    posts = host_posteriors(judged, seen, z=z)
+    posts = host_posteriors(judged, seen, suffixes, z)
     own = F.when(F.col("bound") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(posts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "host_n", "host_bad", F.round("bound", 6).alias("bound"))

@@ -175,6 +175,23 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in host_reputation.filter_urls(two, bad, []).collect()} == {1: "block", 2: "allow"}
 
 
+def test_public_suffixes(spark):
+    names = ["a.com.mx", "b.com.mx", "x.org:80", "y.x.org", "", "co.uk", "a.b.co.uk:8080", "p.q.r.ck", "www.ck", "a.www.ck", "r.ck"]
+    hosts = spark.createDataFrame([(h,) for h in names], "host string")
+    rules = spark.createDataFrame([(r,) for r in ("com", "org", "mx", "com.mx", "uk", "co.uk", "*.ck", "!www.ck")], "rule string")
+    cut = lambda *of: {r.host: (r.domain, r.suffix) for r in host_reputation.domain_and_suffix(hosts, *of).collect()}
+    assert cut(rules) == {
+        "a.com.mx": ("a.com.mx", "com.mx"), "b.com.mx": ("b.com.mx", "com.mx"), "x.org:80": ("x.org", "org"), "y.x.org": ("x.org", "org"), "": ("", ""), "co.uk": ("co.uk", "co.uk"),
+        "a.b.co.uk:8080": ("b.co.uk", "co.uk"), "p.q.r.ck": ("q.r.ck", "r.ck"), "www.ck": ("www.ck", "ck"), "a.www.ck": ("www.ck", "ck"), "r.ck": ("r.ck", "r.ck"),
+    }
+    assert cut()["a.b.co.uk:8080"] == ("b.co.uk", "co.uk") and cut()["x.org:80"] == ("x.org", "org")
+    # Strangers below a listed suffix: one's labels say less of the other than of its own subdomain.
+    bad = spark.createDataFrame([(f"http://{h}/1", i < n) for h, n in (("a.com.mx", 150), ("d.com.mx", 50), ("ok.org", 20)) for i in range(200)], "url string, bad boolean")
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(["a.com.mx", "b.com.mx", "c.a.com.mx", "d.com.mx", "ok.org"])], "page_id long, url string")
+    out = {r.page_id: r.bound for r in host_reputation.filter_urls(pages, bad, [], suffixes=rules).collect()}
+    assert out[1] < out[2] < out[0]
+
+
 def test_licences(spark, docs):
     df = spark.createDataFrame([(1, "Hi.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0. bye"), (2, None), (3, "Permission is hereby granted!")], "doc_id long, text string")
     assert {r.doc_id: (r.licences, r.n_unmatched) for r in license_rules.scan_licences(df).collect()} == {1: ("MIT, CC-BY-NC-4.0", 0), 2: (None, 0), 3: (None, 0)}
