@@ -81,7 +81,7 @@ def _reduce(units: DataFrame, level: int) -> DataFrame:
     head = F.element_at("items", 1)
     none = F.expr("CAST(array() AS array<struct<doc_id: bigint, size: bigint, extra: int>>)")
     start = F.struct(F.struct(head["doc_id"].alias("doc_id"), head["size"].alias("size"), head["p"].alias("p")).alias("carry"), none.alias("done"))
-    return blocks.select("source", "bucket", F.aggregate(F.slice("items", 2, BLOCK * BLOCK), start, _meet(level)).alias("r")).select("source", "bucket", "r.carry", "r.done")
+    return blocks.select("source", "bucket", F.aggregate(F.slice("items", F.lit(2), F.size("items")), start, _meet(level)).alias("r")).select("source", "bucket", "r.carry", "r.done")
 
 
 def rounded_copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:

@@ -161,6 +161,16 @@ def test_mixing(spark, docs, real):
     assert mixing.mix_report(docs.where("false")).count() == 0
 
 
+def test_mixing_block_above_the_default(spark):
+    # 6000 units of one bucket, two sources: one block holds more than 64 * 64 of them.
+    sized = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 12 == 0, "b").otherwise("a").alias("source"), F.lit(10).cast("long").alias("size"))
+    for block in (64, 10_000):
+        rows = mixing.rounded_copies(sized, block=block).collect()
+        for name in ("a", "b"):
+            of = [r for r in rows if r.source == name]
+            assert abs(sum(r.size * r.copies for r in of) - of[0].target) <= 10
+
+
 def test_urls(spark):
     urls = ["http://A.com/en/1", "x://example.com/en/7?q", "http://example.net/de/81", "http://b.net/de", None, "plain", "http://u.org/es/", "http://co.uk.org:80/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit(""))
