@@ -27,8 +27,17 @@ from lathe.llm.common import durable, lower_ascii
 
 #: The default rules for public suffixes; any other host's suffix is its last label. A parameter.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "org.uk", "gov.uk", "com.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
+#: What it costs to block a good page, and to allow a bad one. Stated, as nothing in the data says it: alike.
+BLOCKED_GOOD, ALLOWED_BAD = 1.0, 1.0
+
+
+def threshold_of(blocked_good: float, allowed_bad: float) -> float:
+    """The bad rate beyond which to block costs less than to allow: (1 - p) * blocked_good < p * allowed_bad."""
+    return blocked_good / (blocked_good + allowed_bad)
+
+
 #: Lower bound of the bad rate beyond which a host is blocked, and its distance in deviations.
-THRESHOLD, Z = 0.5, 1.645
+THRESHOLD, Z = threshold_of(BLOCKED_GOOD, ALLOWED_BAD), 1.645
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
 #: More rules than this are joined to the pages instead of written into the expression.

@@ -185,6 +185,20 @@ def test_urls(spark):
     assert {r.page_id: r.verdict for r in host_reputation.filter_urls(two, bad, []).collect()} == {1: "block", 2: "allow"}
 
 
+def test_threshold_is_of_costs(spark):
+    assert host_reputation.THRESHOLD == host_reputation.threshold_of(host_reputation.BLOCKED_GOOD, host_reputation.ALLOWED_BAD) == 0.5
+    assert host_reputation.threshold_of(1, 4) == pytest.approx(0.2)
+    bad = spark.createDataFrame([(f"http://{h}/1", i < n) for h, n in (("a.com", 80), ("b.org", 4)) for i in range(200)], "url string, bad boolean")
+    pages = spark.createDataFrame([(1, "http://a.com/9"), (2, "http://b.org/9")], "page_id long, url string")
+    said = lambda t: {r.page_id: r.verdict for r in host_reputation.filter_urls(pages, bad, [], threshold=t).collect()}
+    assert said(host_reputation.THRESHOLD) == {1: "allow", 2: "allow"} and said(host_reputation.threshold_of(1, 4)) == {1: "block", 2: "allow"}
+
+
+def test_no_host_of_the_test_pages_is_blocked(spark):
+    out = queries.op2_host_reputation(spark, SF).where("rule IS NULL")
+    assert out.count() and {r.verdict for r in out.select("verdict").distinct().collect()} == {"allow"}
+
+
 def test_public_suffixes(spark):
     names = ["a.com.mx", "b.com.mx", "x.org:80", "y.x.org", "", "co.uk", "a.b.co.uk:8080", "p.q.r.ck", "www.ck", "a.www.ck", "r.ck"]
     hosts = spark.createDataFrame([(h,) for h in names], "host string")
