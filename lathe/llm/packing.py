@@ -2,13 +2,15 @@
 
 Each text is a hashed vector of its word counts, projected to DIMS dimensions by random
 signs and squashed to a grid; the Hilbert index of the cell is its place on the curve.
-Rows are range-partitioned by (Hilbert key, hash of the row) at percentiles of all rows,
-so documents with one key, such as thousands of copies, still spread over partitions.
-Each range is sorted and streamed: its documents are tokenised, laid end to end and cut
-at every ``capacity`` tokens, so neighbours on the curve share sequences. The rest of a
-range is cut into sequences whose lengths are powers of two, which need no padding.
+Keyed rows are written once and range-partitioned by (Hilbert key, hash of the row, place
+in that table), so documents with one key, such as thousands of copies, and even equal rows
+spread over ranges. Each range is sorted and streamed: its documents are tokenised, laid end
+to end and cut at every ``capacity`` tokens, so neighbours on the curve share sequences. The
+rest of a range is cut into sequences whose lengths are powers of two, which need no padding.
 
-Tokenising happens once, after the shuffle, so only texts are shuffled, never ids.
+Tokenising happens once, after the shuffle, so only texts are shuffled, never ids. A range is
+sorted by Spark, which spills, and streamed; so more text than RANGE_CHARS in each of
+MOST_RANGES ranges makes longer tasks, not larger ones.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed
 each; a null ``doc_id`` is carried along; extra columns are ignored; an empty table
@@ -24,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import gram_hashes, map_arrow, slices, utf8
+from lathe.llm.common import durable, gram_hashes, map_arrow, slices, utf8
 
 CAPACITY = 2048
 END_ID = 1
 DIMS, GRID_BITS = 4, 8
 #: Characters of text that one range holds, about, and the most ranges there are.
 RANGE_CHARS = 8_000_000
-MOST_RANGES = 1024
+MOST_RANGES = 1 << 16
 
 
 # --- tokens ---------------------------------------------------------------------------
@@ -140,23 +143,11 @@ def curve_keys(docs: DataFrame) -> DataFrame:
 
 
 def curve_ranges(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """doc_id, text, key, rng: rows in ranges of the curve of about equal numbers of rows."""
-    keyed = curve_keys(docs)
-    grid = keyed.agg(F.percentile_approx("key", [i / MOST_RANGES for i in range(1, MOST_RANGES)], 20 * MOST_RANGES).alias("cuts"), F.sum(F.length("text")).alias("chars")).first()
-    n = min(MOST_RANGES, int(-(-(grid.chars or 0) // range_chars)) or 1)
-    cuts = sorted({grid.cuts[MOST_RANGES * i // n - 1] for i in range(1, n)}) if grid.cuts else []
-    rng = F.lit(0)
-    if cuts:  # one comparison for each power of two below the number of cuts
-        rng = F.expr(f"{_search(cuts, 0, len(cuts))}")
-    return keyed.withColumn("rng", rng.cast("int"))
-
-
-def _search(cuts: list[int], lo: int, hi: int) -> str:
-    """SQL of a binary search: how many cuts are below the key."""
-    if lo == hi:
-        return str(lo)
-    mid = (lo + hi) // 2
-    return f"IF(key <= {cuts[mid]}L, {_search(cuts, lo, mid)}, {_search(cuts, mid + 1, hi)})"
+    """doc_id, text, key, place: rows in ranges along the curve, sorted within each; a partition is a range."""
+    keyed = durable(curve_keys(docs).withColumn("place", F.monotonically_increasing_id()), "keyed")
+    chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = min(MOST_RANGES, -(-chars // range_chars)) or 1
+    return keyed.repartitionByRange(n, "key", "place").sortWithinPartitions("key", "doc_id", "place")
 
 
 # --- packing --------------------------------------------------------------------------
@@ -200,27 +191,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     names = [f.split()[0] for f in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, packer, out = encoder(tokenizer, ranks), None, []
-        at = None
+        enc, packer, out = encoder(tokenizer, ranks), _Packer(TaskContext.get().partitionId(), capacity), []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch({k: pa.array(c, pa.int64()) for k, c in zip(names, zip(*rows, strict=True), strict=True)})
 
         for batch in slices(batches, 200):
-            for doc_id, text, rng in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if rng != at:
-                    out += packer.finish() if packer else []
-                    at, packer = rng, _Packer(rng, capacity)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out += packer.add(doc_id, np.append(enc.ids(text), np.uint32(END_ID)))
-            if len(out) > 5000:
-                yield batch_of(out)
-                out = []
-        out += packer.finish() if packer else []
+                if len(out) > 5000:
+                    yield batch_of(out)
+                    out = []
+        out += packer.finish()
         if out:
             yield batch_of(out)
 
-    ranges = curve_ranges(docs, range_chars)
-    # A number that is asked for isn't merged by adaptive execution: a range or two a task.
-    parts = ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = ranges.repartition(int(parts), "rng").sortWithinPartitions("rng", "key", "doc_id", F.length("text"), F.xxhash64("text"))
-    return rows.select("doc_id", "text", "rng").transform(map_arrow, run, PIECES)
+    return curve_ranges(docs, range_chars).select("doc_id", "text").transform(map_arrow, run, PIECES)

@@ -111,6 +111,31 @@ def test_packing(docs):
     assert packing.pack(docs.where("false")).count() == 0
 
 
+def test_both_encoders_give_the_same_ids():
+    """Random strings of plain characters, of any characters, and of words run together, by the file and by the fast way."""
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    g, enc, tok = np.random.default_rng(11), packing.encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(161, 592), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0))]
+    common = ["'s", "'LL", " the", "  ", "\n\n", "\r\n", " \t", "100", "½", "naïve", "Straße", "…", "—", "don't", "I'VE", "²³", "ǅ", "ª", "<|endoftext|>"]
+    strings = ["".join(g.choice(plain, g.integers(0, 40))) for _ in range(4000)]
+    strings += ["".join(g.choice(common + plain[:100], g.integers(0, 30))) for _ in range(4000)]
+    strings += ["".join(map(chr, g.integers(1, 0xD7FF, 20))) for _ in range(500)]
+    assert sum(bool(packing._PLAIN.match(s)) for s in strings) > 7000
+    for s in strings:
+        assert enc.ids(s).tolist() == tok.encode(s, add_special_tokens=False).ids, s
+
+
+def test_equal_rows_are_packed_each(spark):
+    rows = spark.createDataFrame([(None, "a b c")] * 40 + [(7, "d")] * 3, "doc_id long, text string")
+    got = Counter()
+    for r in packing.pack(rows, range_chars=20).collect():
+        got[r.doc_id] += r.length
+    assert got[None] == 40 * (len(packing.encoder().ids("a b c")) + 1) and got[7] == 3 * (len(packing.encoder().ids("d")) + 1)
+
+
 def test_hilbert_is_a_walk():
     grid = np.array([(x, y) for x in range(16) for y in range(16)])
     walk = grid[np.argsort(packing.hilbert_index(grid, 4))]
