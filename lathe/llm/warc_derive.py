@@ -2,15 +2,18 @@
 
 Every response gives two records. The conversion record holds the page's plain text; the
 metadata record holds the source's headers as ``application/warc-fields``, with title,
-links and digests. Both refer to the response by id, target and date, and carry the
-source's payload digest, so a derived file can be traced without the original. Ids are
-name-based UUIDs of the source id and the kind: a rerun names the same records.
-
-Rows are handled one by one in Arrow batches; nothing is shuffled.
-
-Defined results: a null payload is empty and gives an empty conversion; a null url gives
-records without a target; repeated rows give repeated records with the same ids; extra
-columns are ignored; an empty table gives no rows; broken markup is cut as far as it goes.
+links and digests. Both refer to the response by id, target and date, carry the source's
+payload digest, so a derived file can be traced without the original, and name each other.
+Ids are name-based UUIDs of the source id and the kind: a rerun names the same records.
+
+Rows are handled one by one in Arrow batches; nothing is shuffled. A page is read once from
+front to back, so hostile markup costs no more than its length.
+
+Defined results: a null payload is empty and gives an empty conversion; a null url, digest
+or header gives records without that field; repeated rows give repeated records with the
+same ids; extra columns are ignored; an empty table gives no rows. Broken markup: a comment,
+script or style that isn't closed hides the rest, and so does a tag without an end; once a
+quoted value isn't closed, quotes no longer hide a ``>`` in the rest of that page.
 """
 
 from __future__ import annotations
@@ -30,34 +33,75 @@ from lathe.llm.common import map_arrow, slices
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derived")
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_HREF = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul|head|body|html|title)\b[^>]*>", re.I)
-_TAG = re.compile(r"""<[a-zA-Z/!?](?:[^<>"']|"[^"]*"|'[^']*')*>|<[a-zA-Z/!?][^>]*>?""")
-_SPACES = re.compile(r"[ \t\f\v ]+")
-_LINES = re.compile(r" ?[\r\n][\s]*")
+_OPEN = re.compile(r"<(?:(!--)|([!?]|/(?![a-zA-Z]))|(/?)([a-zA-Z][^\s/>]*))")
+_MARK = re.compile(r"""[>"']""")
+_HIDDEN = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>?", re.I) for k in ("script", "style", "noscript", "template", "title")}
+_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements that begin and end a line of text.
+_BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul head body html".split())
+_SPACES = re.compile(r"[ \t\f\v\xa0]+")
+_LINES = re.compile(r" ?[\r\n]\s*")
+_ZEROS = re.compile(r"(&#[xX]?)0+(?=[0-9a-fA-F])")
+_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 RESPONSE = "page_id long, record_id string, target_uri string, date string, http_header string, payload string, block_digest string, payload_digest string"
-DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_payload_digest string, block string"
+DERIVED = "page_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_payload_digest string, linked_id string, block string"
 
 
 def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    """Visible text, a line for each block; entities decoded; white space folded."""
-    text = _TITLE.sub(" ", _DROP.sub(" ", page))
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", text)))
-    return _LINES.sub("\n", _SPACES.sub(" ", text)).strip()
-
-
-def source_fields(page: str) -> tuple[str, list[str]]:
-    """Title and distinct link targets, in order."""
-    title = _TITLE.search(page)
-    links = dict.fromkeys(html.unescape(a or b or c).strip() for a, b, c in _HREF.findall(_DROP.sub(" ", page)))
-    return _SPACES.sub(" ", html.unescape(title[1])).strip().replace("\r", " ").replace("\n", " ") if title else "", [x for x in links if x]
+def _decoded(text: str) -> str:
+    """Entities decoded; a number beyond all characters is the replacement character."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LARGE.sub("\ufffd", _ZEROS.sub(r"\1", text)))
+
+
+def read_page(page: str) -> tuple[str, str, list[str]]:
+    """Visible text (a line for each block, white space folded), title, and distinct link targets in order."""
+    out: list[str] = []
+    links: dict[str, None] = {}
+    title, at, quotes = None, 0, True
+    while m := _OPEN.search(page, at):
+        out.append(page[at : m.start()])
+        comment, other, closing, name = m.groups()
+        if comment:
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+            out.append(" ")
+            continue
+        end = page.find(">", m.end())
+        if quotes and not other and end >= 0:
+            here = m.end()
+            while (mark := _MARK.search(page, here)) and mark[0] != ">":
+                here = page.find(mark[0], mark.end()) + 1
+                if not here:
+                    break
+            quotes = bool(here and mark)
+            end = mark.start() if quotes else end
+        at = len(page) if end < 0 else end + 1
+        if other:
+            continue
+        name = name.lower()
+        if name in _HIDDEN:
+            out.append("\n" if name == "title" else " ")
+            if not closing:
+                last = _HIDDEN[name].search(page, at)
+                if name == "title" and title is None:
+                    title = page[at : last.start() if last else len(page)]
+                at = last.end() if last else len(page)
+        elif name in _BLOCKS:
+            out.append("\n")
+        elif name == "a" and not closing:
+            link = _HREF.search(page, m.end(), len(page) if end < 0 else end)
+            target = _decoded(link[1] or link[2] or link[3] or "").strip() if link else ""
+            if target:
+                links[target] = None
+    out.append(page[at:])
+    text = _LINES.sub("\n", _SPACES.sub(" ", _decoded("".join(out)))).strip()
+    return text, _SPACES.sub(" ", _decoded(title or "")).strip().replace("\r", " ").replace("\n", " "), list(links)
 
 
 def responses(pages: DataFrame, date: str = CAPTURE_DATE) -> DataFrame:
@@ -91,16 +135,16 @@ def derive(records: DataFrame) -> DataFrame:
         for batch in slices(batches):
             out = []
             for page_id, rid, url, date, head, page, block_digest, payload_digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page, head = page or "", head or ""
-                title, links = source_fields(page)
-                text = plain_text(page)
-                status, *lines = head.strip("\r\n").split("\r\n")
-                fields = [f"source-status: {status}"] + [f"source-header-{x.partition(':')[0].strip().lower()}: {x.partition(':')[2].strip()}" for x in lines]
-                fields += [f"source-block-digest: {block_digest}", f"source-payload-digest: {payload_digest}", f"title: {title}", f"text-length: {len(text)}", f"text-digest: {digest(text.encode())}"]
-                fields += [f"outlink: {x}".replace("\r", " ").replace("\n", " ") for x in links]
-                for kind, content, block in (("conversion", "text/plain; charset=utf-8", text), ("metadata", "application/warc-fields", "\r\n".join(fields) + "\r\n")):
+                text, title, links = read_page(page or "")
+                ids = {kind: f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {rid}')}>" for kind in ("conversion", "metadata")}
+                status, *lines = (head or "").strip("\r\n").split("\r\n")
+                fields = [("source-status", status)] + [(f"source-header-{x.partition(':')[0].strip().lower()}", x.partition(":")[2].strip()) for x in lines]
+                fields += [("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("title", title), ("conversion-record", ids["conversion"]), ("text-length", len(text)), ("text-digest", digest(text.encode()))]
+                fields += [("outlink", x.replace("\r", " ").replace("\n", " ")) for x in links]
+                said = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None and v != "")
+                for kind, other, content, block in (("conversion", "metadata", "text/plain; charset=utf-8", text), ("metadata", "conversion", "application/warc-fields", said)):
                     data = block.encode()
-                    out.append((page_id, kind, f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {rid}')}>", rid, url, date, content, len(data), digest(data), payload_digest, block))
+                    out.append((page_id, kind, ids[kind], rid, url, date, content, len(data), digest(data), payload_digest, ids[other], block))
             yield _table(out, DERIVED)
 
     return records.select(*names).transform(map_arrow, run, DERIVED)
@@ -112,9 +156,9 @@ def serialise(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, rids, out = [], [], []
-            for page_id, kind, rid, refers, url, date, content, n, block_digest, payload_digest, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Block-Digest", block_digest), ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content), ("Content-Length", n)]
-                lines = "".join(f"{k}: {v}\r\n" for k, v in head if v is not None)
+            for page_id, kind, rid, refers, url, date, content, n, block_digest, payload_digest, linked, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Refers-To", refers), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Block-Digest", block_digest), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Concurrent-To", linked), ("Content-Type", content), ("Content-Length", n)]
+                lines = "".join(f"{k}: {' '.join(str(v).splitlines())}\r\n" for k, v in head if v is not None)
                 ids.append(page_id)
                 rids.append(rid)
                 out.append(f"WARC/1.1\r\n{lines}\r\n{block}\r\n\r\n".encode())

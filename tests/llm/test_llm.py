@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -329,15 +330,72 @@ def test_licences_wrapped(spark):
 
 
 def test_warc_round_trip(spark):
-    page = '<html><head><title>A &amp; b</title><script>x("</p>")</script></head><body><p>One<br>two <a href="/x?a=1&amp;b=2">l</a><!-- c --></body>'
-    pages = spark.createDataFrame([(1, "http://a/", page), (2, None, None), (1, "http://a/", page)], "page_id long, url string, html string")
+    page = '<html><head><!-- <title>wrong</title> --><title>A &amp; b</title><script>x("</p>")</script></head><body><p>One<br>two <a href="/x?a=1&amp;b=2">l</a><!-- c --></body>'
+    pages = spark.createDataFrame([(1, "http://a/", page, "x"), (2, None, None, "x"), (1, "http://a/", page, "x")], "page_id long, url string, html string, record_id string")
     rows = warc_derive.derive(warc_derive.responses(pages))
     got = {(r.page_id, r.record_type): r for r in rows.collect()}
-    assert rows.count() == 6 and got[1, "conversion"].block == "One\ntwo l" and "outlink: /x?a=1&b=2" in got[1, "metadata"].block
-    assert got[1, "conversion"].source_payload_digest == warc_derive.digest(page.encode())
+    assert rows.count() == 6 and got[1, "conversion"].block == "One\ntwo l" and "outlink: /x?a=1&b=2" in got[1, "metadata"].block and "title: A & b\r\n" in got[1, "metadata"].block
+    assert got[1, "conversion"].source_payload_digest == warc_derive.digest(page.encode()) and got[2, "conversion"].block == ""
+    for i in (1, 2):
+        assert got[i, "conversion"].linked_id == got[i, "metadata"].record_id and got[i, "metadata"].linked_id == got[i, "conversion"].record_id
     for r in warc_derive.serialise(rows).collect():
         head, block = warc_derive.parse_record(r.record)
         assert warc_derive.digest(block) == head["WARC-Block-Digest"] and head["WARC-Refers-To"].startswith("<urn:uuid:")
+    empty = warc_derive.derive(warc_derive.responses(pages.where("false")))
+    assert empty.count() == 0 and warc_derive.serialise(empty).count() == 0
+    bare = spark.createDataFrame([(1, "<urn:uuid:1>", None, None, None, "<p>x", None, None)], warc_derive.RESPONSE)
+    assert all("None" not in r.block for r in warc_derive.derive(bare).collect())
+
+
+def test_page_of_broken_markup():
+    read = warc_derive.read_page
+    assert read("a < b <p title='>'>c</p>&#65;&#0000066;&#99999999999999;") == ("a < b\nc\nAB\ufffd", "", [])
+    assert read("one <b title=\"never closed>two</b> three <i x='>'>four") == ("one two three '>four", "", [])
+    assert read("x<script>y") == ("x", "", []) and read("x<!-- y") == ("x", "", []) and read("x <a href=/q") == ("x", "", ["/q"])
+    assert read("<title>T<b>u</title>v") == ("v", "T<b>u", []) and read("") == ("", "", [])
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href=", "<a href='x\"> ", "<title>", "<!--", "</", "<script>", "<p '\">x", "&#9", "<", "</title ", " href", "<a \">\" '", "\n ", "<style></styl "])
+def test_long_hostile_page(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    warc_derive.read_page(page)
+    assert time.process_time() - began < 5
+
+
+def test_warc_against_a_parser(spark):
+    """Words, title and links of the test pages by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.links, self.hidden, self.title, self.in_title = [], {}, 0, None, False
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template")
+            self.in_title |= tag == "title"
+            if tag == "a" and (dict(attrs).get("href") or "").strip():
+                self.links[dict(attrs)["href"].strip()] = None
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template")
+            self.in_title &= tag != "title"
+
+        def handle_data(self, data):
+            if self.in_title:
+                self.title = (self.title or "") + data
+            elif not self.hidden:
+                self.words.append(data)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in pages:
+        want = Plain()
+        want.feed(r.html or "")
+        want.close()
+        text, title, links = warc_derive.read_page(r.html or "")
+        assert "".join(text.split()) == "".join("".join(want.words).split()), r.page_id
+        assert title.split() == (want.title or "").split() and links == list(want.links), r.page_id
 
 
 def test_sql_agrees(spark):
