@@ -10,28 +10,37 @@ The likeness of two fingerprints is the share of equal subset hashes at the spar
 level at which at least half the subsets are filled in either.
 
 A term of the band stands in at least ``low`` of all documents, so the lexicon has at
-most (distinct terms of a mean document) / ``low`` terms, whatever the corpus. Where that
-bound would pass MAX_LEXICON, ``low`` rises until it doesn't; so the lexicon may be
-broadcast. A given lexicon of another origin is joined to the terms if it is larger.
+most (distinct terms of a mean document) / ``low`` terms, whatever the corpus. It is
+broadcast up to MAX_LEXICON terms; a larger one is joined to the documents' terms, which
+gives the same fingerprints.
+
+The digest needs each document's successor by descending id. Ids alone are range-sorted by
+Spark first; where its ranges begin, at most MOST_RANGES (id, text hash) pairs, is all the
+driver sees. Texts are then shuffled once, each to its range, and the first row of a range
+also to the one before it. Rows alike in id and text are each other's successors but for the
+last; if there are more than ALIKE of them, one row goes on with their number.
 
 Defined results: a null text is empty; a text without a term of the band uses all its
 terms; one without terms has the fingerprint ``-`` and likeness 0 to everything except
-another such (1); equal texts have equal fingerprints; an empty table gives no rows.
+another such (1); equal texts have equal fingerprints; a null ``doc_id`` comes after all
+others, rows of one id by the hash of their texts; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import durable, map_arrow, mix, slices, utf8
+from lathe.llm.common import durable, map_arrow, mix, slices, small, small_batches, utf8
 
 #: Band of document frequency, as shares of all documents.
 LOW, HIGH = 0.0005, 0.15
@@ -40,7 +49,10 @@ LEVELS, SUBSETS = 6, 16
 #: A larger lexicon isn't broadcast.
 MAX_LEXICON = 1_000_000
 HELD_TERMS = 400_000
-RANGE_ROWS = 1024
+#: Rows of a range of the order of ids, about, and the most ranges there are.
+RANGE_ROWS, MOST_RANGES = 1024, 4096
+#: Rows alike in id and text beyond which one row stands for all.
+ALIKE = 1000
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -66,14 +78,13 @@ def band_lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     """(term): terms of the band; at least two documents, so that copies can meet."""
     n = docs.count()
     df = durable(document_frequencies(docs), "df")
-    least = max(2.0, low * n, (df.agg(F.sum("df")).first()[0] or 0) / MAX_LEXICON)
-    return df.where((F.col("df") >= least) & (F.col("df") <= high * n)).select("term")
+    return durable(df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= high * n)).select("term"), "lexicon")
 
 
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
 
 
-def _hashes(terms: list[bytes], lexicon: frozenset[bytes]) -> np.ndarray | None:
+def _hashes(terms: list[bytes], lexicon: frozenset[bytes] | set[bytes]) -> np.ndarray | None:
     """Hash of the sorted distinct terms, then of those in every subset; zero for an empty one.
 
     A subset's hash is the sum of its terms' mixed 64-bit hashes, which like a hash of the
@@ -115,59 +126,122 @@ def _text_of(h: np.ndarray | None) -> str:
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows in ranges of descending doc_id, each range ending in a copy of the next one's first row.
 
-    Columns: rng, doc_id, text, own (false for the copy). Within a range sorted by
-    descending doc_id, then text hash, a row's next document is the row below. The last
-    range ends in a copy of the very first row. Range bounds are percentiles of all ids,
-    so a repeated run of the job makes the same ranges. Nulls stand last.
+    Columns: rng, doc_id, text, alike, own (false for the copy). Within a range, sorted as it
+    comes, a row's next document is the row below; ``alike`` rows are meant by one. The last
+    range ends in a copy of the very first row.
     """
-    ids = durable(docs.select("doc_id", F.xxhash64("text").alias("th")), "ids")
-    n = ids.count()
-    parts = max(1, -(-n // RANGE_ROWS))
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or [])) if parts > 1 else []
-    from lathe.llm.packing import _search
-
-    # ranges count down with the id, so that range order is the order of documents
-    up = F.expr(_search(cuts, 0, len(cuts)).replace("key", "doc_id")) if cuts else F.lit(0)
-    rng = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - up).cast("int")
-    order = (F.desc_nulls_last("doc_id"), F.asc_nulls_first("th"))
-    top = ids.withColumn("rng", rng).groupBy("rng").agg(F.min(F.struct(F.coalesce(-F.col("doc_id"), F.lit(0)).alias("neg"), "th")).alias("top"))
-    heads = top.orderBy("rng").collect()  # one row for each range
     spark = docs.sparkSession
-    rows = [(heads[i - 1].rng, -h.top.neg if h.rng <= len(cuts) else None, h.top.th) for i, h in enumerate(heads)]
-    firsts = spark.createDataFrame(rows, "rng int, head_id long, head_th long")
-    own = docs.withColumn("th", F.xxhash64("text")).withColumn("rng", rng).withColumn("own", F.lit(True))
-    copies = own.drop("rng").join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th")))
-    # Equal rows may share a head: one copy is enough.
-    copies = copies.drop("head_id", "head_th").dropDuplicates(["rng"]).withColumn("own", F.lit(False))
-    both = own.unionByName(copies.select(own.columns)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng")
-    return both.sortWithinPartitions("rng", F.desc("own"), *order).select("rng", "doc_id", "text", "own")
+    small_batches(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.desc_nulls_last("doc_id"), F.asc("th"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    ids = durable(docs.groupBy("doc_id", "th").agg(F.count("*").alias("alike")), "ids")
+    many = ids.where(f"alike > {ALIKE}")
+    if many.limit(1).count():
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h"))
+        keys = durable(many.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")), "many")
+        rest = docs.join(small(keys), same, "left_anti").withColumn("alike", F.lit(1).cast("long"))
+        # Counted within each task first, so that few of the alike texts are shuffled.
+        docs = rest.unionByName(docs.join(small(keys), same, "left_semi").groupBy("doc_id", "th", "text").agg(F.count("*").alias("alike")))
+    else:
+        docs = docs.withColumn("alike", F.lit(1).cast("long"))
+    parts = max(1, min(MOST_RANGES, -(-ids.count() // RANGE_ROWS)))
+    sorted_ids = ids.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (F.bitwise_not(F.coalesce("doc_id", F.lit(0)))).alias("down"), "th"))  # ~x falls as x rises, and has no overflow
+    heads = sorted(tuple(r.first) for r in sorted_ids.groupBy("part").agg(first.alias("first")).select("first").collect())
+    none, down, th = (np.array(c, np.int64) for c in (zip(*heads, strict=True) if heads else ([], [], [])))
+
+    @F.pandas_udf("rng int, head boolean")
+    def place(is_none: pd.Series, key: pd.Series, hashed: pd.Series) -> pd.DataFrame:
+        x = np.rec.fromarrays([is_none.to_numpy(np.int64), key.to_numpy(np.int64), hashed.to_numpy(np.int64)])
+        starts = np.rec.fromarrays([none, down, th])
+        at = np.searchsorted(starts, x, "right") - 1
+        return pd.DataFrame({"rng": at.astype(np.int32), "head": starts[at] == x})
+
+    n = len(heads)
+    placed = docs.withColumn("at", place(F.col("doc_id").isNull(), F.bitwise_not(F.coalesce("doc_id", F.lit(0))), F.col("th")))
+    here = F.struct(F.col("at.rng").alias("rng"), F.lit(True).alias("own"))
+    there = F.struct(F.pmod(F.col("at.rng") - 1, F.lit(n or 1)).cast("int").alias("rng"), F.lit(False).alias("own"))
+    both = placed.withColumn("to", F.explode(F.when(F.col("at.head"), F.array(here, there)).otherwise(F.array(here)))).select("to.rng", "to.own", "doc_id", "th", "text", "alike")
+    return both.repartition(tasks, "rng").sortWithinPartitions("rng", F.desc("own"), *order).select("rng", "doc_id", "text", "alike", "own")
+
+
+def _edited(text: str, after: str) -> str:
+    """The text whose last third of code points gives way to the first as many of the next."""
+    cut = len(text) // 3
+    return text[: len(text) - cut] + after[:cut]
+
+
+def _followed(batches: Iterator[pa.RecordBatch], know: Callable[[str], object]) -> Iterator[tuple]:
+    """(doc_id, text, known, next text, next known, rows meant) of the ranges of with_next()."""
+    before, at = None, None
+    for batch in slices(batches, 200):
+        for rng, doc_id, text, alike, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known = know(text)
+            if before is not None and at == rng:
+                yield *before, text, known, 1
+            if own and alike > 1:
+                yield doc_id, text, known, text, known, alike - 1
+            at, before = rng, (doc_id, text, known) if own else None
+
+
+DIGEST = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def fingerprint_digest(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """The columns of DIGEST for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lexicon = band_lexicon(docs, low, high)
+    if lexicon.count() > MAX_LEXICON:
+        return _digest_by_join(docs, lexicon)
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.term) for r in lexicon.collect()))
+    schema = DIGEST + ", rows long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before, at = shared.value, None, None
-        names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        for batch in slices(batches, 200):
-            out = []
-            for rng, doc_id, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = _hashes(text.encode().lower().split(), words)
-                if before is not None and at == rng:
-                    prev_id, prev, prev_h = before
-                    cut = len(prev) // 3
-                    edited = (prev[: len(prev) - cut] + text[:cut]).encode()
-                    e = _hashes(edited.lower().split(), words)
-                    out.append((prev_id, len(prev), hashlib.sha256(edited).hexdigest(), _text_of(prev_h), _text_of(e), likeness(prev_h, e), likeness(prev_h, h)))
-                at, before = rng, (doc_id, text, h) if own else None
-            if out:
-                yield pa.record_batch({k: pa.array(c, t) for k, c, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
-
-    return with_next(docs).transform(map_arrow, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        words, out = shared.value, []
+        batch_of = lambda: pa.record_batch({k: pa.array(c, t) for k, c, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
+        for doc_id, text, h, after, after_h, rows in _followed(batches, lambda t: _hashes(t.encode().lower().split(), words)):
+            edited = _edited(text, after).encode()
+            e = _hashes(edited.lower().split(), words)
+            out.append((doc_id, len(text), hashlib.sha256(edited).hexdigest(), _text_of(h), _text_of(e), likeness(h, e), likeness(h, after_h), rows))
+            if len(out) >= 200:
+                yield batch_of()
+                out = []
+        if out:
+            yield batch_of()
+
+    return _each(with_next(docs).transform(map_arrow, run, schema))
+
+
+def _each(digest: DataFrame) -> DataFrame:
+    """A row for each of the ``rows`` that a row stands for."""
+    return digest.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("_", "rows")
+
+
+def _digest_by_join(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The same, for a lexicon that isn't broadcast: own, edited and next texts meet it in a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, text, _, after, _, rows in _followed(batches, lambda t: None):
+            edited = _edited(text, after)
+            yield pa.record_batch({"doc_id": pa.array([doc_id], pa.int64()), "n_chars": pa.array([len(text)]), "edited_sha256": pa.array([hashlib.sha256(edited.encode()).hexdigest()]), "rows": pa.array([rows]), "texts": pa.array([[text, edited, after]])})
+
+    pairs = durable(with_next(docs).transform(map_arrow, run, "doc_id long, n_chars long, edited_sha256 string, rows long, texts array<string>").withColumn("row", F.monotonically_increasing_id()), "pairs")
+    texts = pairs.select((F.col("row")).alias("row"), F.posexplode("texts").alias("which", "text")).select((F.col("row") * 3 + F.col("which")).alias("doc_id"), "text")
+    prints = fingerprints_by_join(texts, lexicon)
+    of = F.map_from_entries(F.collect_list(F.struct((F.col("doc_id") % 3).alias("k"), "fingerprint")))
+    per = prints.groupBy(F.expr("doc_id DIV 3").alias("row")).agg(of.alias("f"))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        read = lambda s: None if s == "-" else np.frombuffer(bytes.fromhex(s), ">u4").astype(np.uint32)
+        return pd.Series([likeness(read(x), read(y)) for x, y in zip(a, b, strict=True)])
+
+    f = lambda k: F.element_at("f", F.lit(k).cast("long"))
+    out = pairs.drop("texts").join(per, "row").select("doc_id", "n_chars", "edited_sha256", f(0).alias("fingerprint"), f(1).alias("edited_fingerprint"), alike(f(0), f(1)).alias("near_edited"), alike(f(0), f(2)).alias("near_next"), "rows")
+    return _each(out)
 
 
 def fingerprints(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:

@@ -50,3 +50,56 @@ def repeats(texts: dict[int, str | None], window: int = 20) -> dict[int, tuple[i
             seen.add(key)
         out[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
     return out
+
+
+def imatch(rows: list[tuple[int | None, str | None]], low: float, high: float) -> list[tuple]:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), one term and subset at a time."""
+    import xxhash
+
+    def spread(x: int) -> int:
+        m = (1 << 64) - 1
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+        return x ^ (x >> 31)
+
+    rows = [(d, t or "") for d, t in rows]
+    df: dict[bytes, int] = {}
+    for _, t in rows:
+        for w in set(t.encode().lower().split()):
+            df[w] = df.get(w, 0) + 1
+    band = {w for w, c in df.items() if max(2.0, low * len(rows)) <= c <= high * len(rows)}
+
+    def prints(text: str) -> list[int] | None:
+        terms = set(text.encode().lower().split())
+        mine = sorted(terms & band) or sorted(terms)
+        if not mine:
+            return None
+        h = [xxhash.xxh64_intdigest(w) for w in mine]
+        out = [xxhash.xxh32_intdigest(b"".join(x.to_bytes(8, "little") for x in h)) | 1]
+        for level in range(6):
+            for subset in range(16):
+                kept = [x for x in h if spread(x ^ spread(subset + 1)) % (1 << (2 * level + 1)) == 0]
+                total = sum(map(spread, kept)) & ((1 << 64) - 1)
+                out.append(spread(total) >> 32 | 1 if kept else 0)
+        return out
+
+    def alike(a, b) -> float:
+        if a is None or b is None:
+            return float(a is None and b is None)
+        for level in range(5, -1, -1):
+            x, y = a[1 + 16 * level : 17 + 16 * level], b[1 + 16 * level : 17 + 16 * level]
+            filled = [(p, q) for p, q in zip(x, y) if p or q]
+            if len(filled) >= 8:
+                return sum(p == q for p, q in filled) / len(filled)
+        return float(a[0] == b[0])
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for i, (d, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        p, e, n = prints(t), prints(edited), prints(after)
+        text = lambda f: "-" if f is None else "".join(f"{x:08x}" for x in f)
+        out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(p), text(e), alike(p, e), alike(p, n)))
+    return out

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -143,19 +144,28 @@ def test_hilbert_is_a_walk():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_imatch(docs, monkeypatch):
-    monkeypatch.setattr(imatch, "RANGE_ROWS", 3)
-    got = {r.doc_id: r for r in imatch.fingerprint_digest(docs).collect()}
-    order = sorted(TEXTS, reverse=True)
-    for i, k in enumerate(order):
-        t, after = TEXTS[k] or "", TEXTS[order[(i + 1) % len(order)]] or ""
-        cut = len(t) // 3
-        assert got[k].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()
-        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
-    assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint and got[2].near_next == 1
+@pytest.mark.parametrize("way", ["broadcast", "join"])
+def test_imatch(spark, docs, real, way, monkeypatch):
+    if way == "join":
+        monkeypatch.setattr(imatch, "MAX_LEXICON", 0)
+    cols = [f.split()[0] for f in imatch.DIGEST.split(", ")]
+    for d, rows in ((docs, 3), (real, 20)):
+        monkeypatch.setattr(imatch, "RANGE_ROWS", rows)
+        got = sorted(tuple(r[c] for c in cols) for r in imatch.fingerprint_digest(d).collect())
+        assert got == sorted(brute.imatch([(r.doc_id, r.text) for r in d.collect()], imatch.LOW, imatch.HIGH))
     assert imatch.fingerprint_digest(docs.where("false")).count() == 0
 
 
+def test_imatch_repeated_rows_and_ids(spark, monkeypatch):
+    """Equal rows beyond ALIKE, null ids, the smallest id, and a third of all rows alike."""
+    monkeypatch.setattr(imatch, "ALIKE", 4)
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 3)
+    rows = [(i, f"a{i % 3} b c{i} d") for i in range(20)] + [(None, "same words here")] * 12 + [(7, "x y z w")] * 5 + [(-(2**63), "least of all")] + [(2**63 - 1, None)] * 6
+    got = sorted(map(repr, map(tuple, imatch.fingerprint_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())))
+    want = brute.imatch(sorted(rows, key=lambda r: (r[0] or 0, xxhash.xxh64((r[1] or "").encode(), 42).intdigest() + 2**63 & (2**64 - 1))), imatch.LOW, imatch.HIGH)
+    assert got == sorted(map(repr, want))
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(1, 1), (9, 0), (None, 0), (3, None)], "doc_id long, quality int")
     out = {r.doc_id: r for r in decision_list.quality_report(docs, labels).collect()}
