@@ -103,3 +103,39 @@ def imatch(rows: list[tuple[int | None, str | None]], low: float, high: float) -
         text = lambda f: "-" if f is None else "".join(f"{x:08x}" for x in f)
         out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(p), text(e), alike(p, e), alike(p, n)))
     return out
+
+
+def class_scores(texts: dict[int, str | None], train: set[int], class_of: dict[bytes, int], bucket_class: list[int], width: int, backoff: float) -> dict[int, float]:
+    """doc_id -> log10 probability under class bigrams, counted token by token; ``class_of`` has the words met twice or more."""
+    import math
+    import zlib
+    from collections import Counter
+
+    words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
+    count = Counter(w for d in train for w in words[d])
+    end, bucket = width - 1, lambda w: zlib.crc32(w[-3:]) % len(bucket_class)
+    cls = lambda w: class_of[w] if count[w] > 1 else bucket_class[bucket(w)]
+    path = lambda ws: [end, *map(cls, ws), end]
+    pairs = Counter(p for d in train for p in zip(path(words[d]), path(words[d])[1:]))
+    once = Counter(bucket(w) for w, c in count.items() if c == 1)
+    size = [sum(pairs[v, g] for v in range(width)) for g in range(width)]
+    members = Counter([*class_of.values(), *bucket_class, end])
+    total = sum(size) + width
+    row = [sum(pairs[v, g] for g in range(width)) for v in range(width)]
+
+    def step(v: int, g: int) -> float:
+        return (pairs[v, g] + backoff * (size[g] + 1) / total) / (row[v] + backoff)
+
+    def emit(w: bytes, g: int) -> float:
+        mass = size[g] + members[g] / 2
+        if count[w] > 1:
+            return (count[w] + 0.5) / mass
+        n = once[bucket(w)]
+        return (n + 0.5) / mass * (count[w] + 1) / (2 * n + 1)
+
+    out = {}
+    for d, ws in words.items():
+        p = path(ws)
+        ends = (len(train) + 0.5) / (size[end] + 0.5)
+        out[d] = sum(math.log10(step(v, g)) for v, g in zip(p, p[1:])) + sum(math.log10(emit(w, cls(w))) for w in ws) + math.log10(ends)
+    return out

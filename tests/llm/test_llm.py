@@ -70,22 +70,58 @@ def test_brown_scores(docs, real):
     assert brown_lm.score_corpus(docs.where("false")).count() == 0
 
 
-def test_brown_exchanges_four_times(docs, monkeypatch):
-    rounds, exchange = [], brown_lm._exchange
-    monkeypatch.setattr(brown_lm, "_exchange", lambda *a: rounds.append(1) or exchange(*a))
-    brown_lm.score_corpus(docs).count()
-    assert len(rounds) == 4
+def _classes(model):
+    lex = model.lexicon
+    listed = dict(zip(lex.words, model.class_of[: len(lex.words)].tolist(), strict=True))
+    return listed | {bytes(r.word): r.cls for r in model.rare.where("c > 1").collect()}
+
+
+@pytest.mark.parametrize("lexicon, frequent", [(1 << 17, 1 << 15), (150, 60), (40, 40), (0, 0)])
+def test_brown_against_counts(docs, real, lexicon, frequent):
+    """The model and its scores, with words of every kind: in rounds, in the lexicon, beyond it, met once and unseen."""
+    for d in (docs, real.where("doc_id < 120")):
+        d = d.select("doc_id", "text").withColumn("held_out", brown_lm.held_out())
+        texts = {r.doc_id: r.text for r in d.collect()}
+        encoded, model = brown_lm.fit(d, lexicon, frequent, most_rounds=1)
+        train = {r.doc_id for r in d.where("NOT held_out").collect()}
+        want = brute.class_scores(texts, train, _classes(model), model.bucket_class.tolist(), brown_lm.CLASSES + 1, brown_lm.BACKOFF)
+        got = {r.doc_id: r for r in brown_lm.score(encoded, model).collect()}
+        assert {k: r.score for k, r in got.items()} == pytest.approx(want)
+        counts = Counter(w for k in train for w in (texts[k] or "").encode().lower().split())
+        assert set(_classes(model)) == {w for w, c in counts.items() if c > 1}
+        assert all(r.n_known == sum(w in counts for w in (texts[k] or "").encode().lower().split()) + 1 for k, r in got.items())
 
 
 def test_brown_is_a_distribution(spark, real):
-    model = brown_lm.train(real, rounds=1)
-    lex = model.lexicon
-    item = 10 ** model.log_item
-    for c in range(len(model.log_transition)):
-        inside = item[model.classes == c].sum()
-        assert inside == pytest.approx(1) or not (model.classes == c).any()
-    assert np.allclose((10**model.log_transition).sum(axis=1), 1)
-    assert (lex.bucket_n >= lex.bucket_v).all()
+    """Over all words, and an unseen one of every bucket, what texts of one word can be adds up."""
+    d = real.select("doc_id", "text").withColumn("held_out", brown_lm.held_out())
+    _, model = brown_lm.fit(d, 100, 50, most_rounds=1)
+    words = {w for (t,) in d.where("NOT held_out").select("text").collect() for w in (t or "").encode().lower().split()}
+    new, i = {}, 0
+    while len(new) < brown_lm.BUCKETS:
+        w, i = f"\u00a7{i:05d}".encode(), i + 1
+        new.setdefault(brown_lm._bucket(w), w)
+    ones = spark.createDataFrame([(i, w.decode()) for i, w in enumerate(sorted(words | set(new.values())))], "doc_id long, text string").withColumn("held_out", F.lit(True))
+    p = sum(10**r.score for r in brown_lm.score(brown_lm.encode(ones, model.lexicon), model).collect())
+    t = 10**model.log_transition
+    assert p == pytest.approx((t[-1, :-1] * t[:-1, -1]).sum()) and np.allclose(t.sum(axis=1), 1)
+
+
+def test_brown_rounds_stop_when_they_gain_little(real, monkeypatch):
+    seen = []
+    monkeypatch.setattr(brown_lm, "likelihood", lambda pairs, f=brown_lm.likelihood: seen.append(f(pairs)) or seen[-1])
+    d = real.select("doc_id", "text").withColumn("held_out", brown_lm.held_out())
+    _, model = brown_lm.fit(d)
+    assert len(seen) == model.rounds + 1 and all(b >= a + brown_lm.GAIN for a, b in zip(seen[:-2], seen[1:-1])) and (seen[-1] < seen[-2] + brown_lm.GAIN or model.rounds == brown_lm.MOST_ROUNDS)
+
+
+def test_brown_without_training_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b")] * 3 + [(None, "a c")] * 2, "doc_id long, text string").withColumn("word", F.lit("x"))
+    got = sorted((r.doc_id or 0, r.n_tokens, r.held_out) for r in brown_lm.score_corpus(rows).collect())
+    assert got == [(0, 3, False)] * 2 + [(1, 3, zlib.crc32(b"1") % 7 == 2)] * 3
+    encoded, model = brown_lm.fit(rows.select("doc_id", "text").withColumn("held_out", F.lit(True)))
+    out = brown_lm.score(encoded, model).collect()
+    assert len(out) == 5 and all(r.score < -5 and r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in out)
 
 
 def test_packing(docs):
