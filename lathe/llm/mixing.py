@@ -3,18 +3,24 @@
 Every source gets a target of words: its weight's share of all words, at most MOST times
 its own size, with the excess shared among the others by weight (the level of a water
 table). A document of a source then has target / size copies: the whole part at once, the
-fraction as a probability. Fractions are rounded by the pivotal method: two meet, and mass
-moves from one to the other at random until one is 0 or 1; the other goes on. Blocks of
-BLOCK documents of similar size do this side by side, each leaves one document with a
-fraction, and these meet in blocks again: a reduction tree of log(n) levels. Mass is
-conserved but for one last document a source, so taken words come near the target.
+fraction as a probability. Fractions are rounded by the pivotal method: two meet, and words
+move from one to the other at random until one's fraction is 0 or 1; the other goes on.
+Words, not fractions, are conserved, so unequal documents may meet, and each one's
+expectation stays its fraction. Blocks of BLOCK documents do this side by side, each leaves
+one document with a fraction, and these meet in blocks again: a reduction tree of log(n)
+levels, one group of about BLOCK rows at a time, also for a source with a third of all rows.
 
-Chance is a hash of the level and the two documents, so reruns agree. A block is one group
-of about BLOCK rows, also for a source with a third of all rows.
+A source's documents longer than its mean go first. The last of them is decided by its
+chance, and the words that this gives or takes are drawn from the fractions of the shorter
+ones, all alike; then these go. So a source's taken words miss its target by half a short
+document at most, unless the shorter ones hold too few words to make up for the last long one.
+
+Chance is a hash of the level and the two documents, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last;
-rows with equal doc_id, source and size are one decision; a source of no words has target
-0; an empty table gives no rows; extra columns are ignored or kept as stated.
+repeated rows are told apart and decided each; a document without words moves no words and
+is decided by its own chance; a source of no words has target 0; an empty table gives no
+rows; extra columns, of any names, are ignored or kept as stated.
 """
 
 from __future__ import annotations
@@ -22,31 +28,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.llm.common import WORD, durable
+from lathe.llm.common import WORD, durable, small
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 64
 SEED = 20_240
+UNIT = ("size", "doc_id", "salt", "row", "p")
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# --- targets --------------------------------------------------------------------------
+
+
+def _with_sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds sums over all rows before each one: inside its range of the order, and over whole ranges before."""
+    ranges = durable(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = ranges.groupBy("part").agg(*(F.sum(c).alias(k) for k, c in sums.items())).select("part", *(F.sum(k).over(before).alias(f"{k}_of_ranges") for k in sums))
+    out = ranges.select("*", *(F.sum(c).over(inside).alias(f"{k}_in_range") for k, c in sums.items())).join(totals, "part")
+    zero = F.lit(0)
+    return out.select(*rows.columns, *((F.coalesce(f"{k}_of_ranges", zero) + F.coalesce(f"{k}_in_range", zero)).alias(k) for k in sums))
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target, from rows of (source, size); one row for each source."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.get(F.array(*map(F.lit, weights)), (place % len(weights)).cast("int"))
-    s = sources.withColumn("w", weight).withColumn("most", F.col("source_size") * most).withColumn("r", F.col("most") / F.col("w"))
-    by = Window.orderBy("r", F.asc_nulls_last("source"))
-    below, here = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everyone = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = _with_sums_before(sources, [F.asc_nulls_last("source")], {"place": F.lit(1)})
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int"))
+    s = s.select("source", "source_size", weight.alias("w"), (F.col("source_size") * most).alias("most")).withColumn("r", F.col("most") / F.col("w"))
     # Sources fill in order of most / weight; the level is the first that fills no further source.
-    level = (F.sum("source_size").over(everyone) - F.coalesce(F.sum("most").over(below), F.lit(0))) / F.sum("w").over(here)
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "level"))).over(everyone).getField("level"))
-    return s.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("w")).alias("target"))
+    s = durable(_with_sums_before(s, [F.asc("r"), F.asc_nulls_last("source")], {"filled": F.col("most"), "weighed": F.col("w")}), "sources")
+    every = s.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))
+    levels = s.join(F.broadcast(every), F.lit(True)).select("r", ((F.col("all_size") - F.col("filled")) / (F.col("all_w") - F.col("weighed"))).alias("level")).where("level <= r")
+    level = levels.agg(F.min(F.struct("r", "level")).getField("level").alias("level"))
+    return s.join(F.broadcast(level), F.lit(True)).select("source", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("w")).alias("target"))
+
+
+# --- rounding -------------------------------------------------------------------------
 
 
 def _chance(*of: Column) -> Column:
@@ -58,87 +81,84 @@ def _meet(level: int):
 
     def step(acc: Column, x: Column) -> Column:
         c = acc["carry"]
-        a, b = c["p"], x["p"]
-        s = a + b
-        u = _chance(F.lit(level), c["doc_id"], c["size"], x["doc_id"], x["size"])
-        low = s < 1
-        # s < 1: one takes all, in proportion; else one becomes 1 and the other keeps s - 1.
-        first_stays = F.when(low, u * s < a).otherwise(u * (2 - s) >= 1 - b)
-        settled = F.when(low, F.lit(0)).otherwise(F.lit(1))
-        left = F.when(low, s).otherwise(s - 1)
-        keep = F.struct(*(F.when(first_stays, c[k]).otherwise(x[k]).alias(k) for k in ("doc_id", "size")), left.alias("p"))
-        done = F.struct(*(F.when(first_stays, x[k]).otherwise(c[k]).alias(k) for k in ("doc_id", "size")), settled.alias("extra"))
+        room_a, has_a, room_b, has_b = ((1 - c["p"]) * c["size"]), (c["p"] * c["size"]), ((1 - x["p"]) * x["size"]), (x["p"] * x["size"])
+        up, down = F.least(room_a, has_b), F.least(has_a, room_b)  # words that can move to the carried one, or from it
+        rises = _chance(F.lit(level), c["doc_id"], c["size"], c["salt"], x["doc_id"], x["size"], x["salt"]) * (up + down) < down
+        first_settled = F.when(rises, room_a <= has_b).otherwise(has_a <= room_b)
+        moved = F.when(rises, up).otherwise(-down)
+        left = F.when(first_settled, x["p"] - moved / x["size"]).otherwise(c["p"] + moved / c["size"])
+        keep = F.struct(*(F.when(first_settled, x[k]).otherwise(c[k]).alias(k) for k in UNIT[:-1]), F.greatest(F.lit(0.0), F.least(F.lit(1.0), left)).alias("p"))
+        done = F.struct(F.when(first_settled, c["row"]).otherwise(x["row"]).alias("row"), F.when(first_settled == rises, 1).otherwise(0).alias("extra"))
         return F.struct(keep.alias("carry"), F.concat(acc["done"], F.array(done)).alias("done"))
 
     return step
 
 
-def _reduce(units: DataFrame, level: int) -> DataFrame:
-    """(source, bucket, block, units as rows) -> a row for each block: carry, and those done."""
-    # From large to small: what is left undecided at the end is a small document.
-    items = F.sort_array(F.collect_list(F.struct("size", "doc_id", "p")), asc=False)
-    blocks = units.groupBy("source", "bucket", "block").agg(items.alias("items"))
-    head = F.element_at("items", 1)
-    none = F.expr("CAST(array() AS array<struct<doc_id: bigint, size: bigint, extra: int>>)")
-    start = F.struct(F.struct(head["doc_id"].alias("doc_id"), head["size"].alias("size"), head["p"].alias("p")).alias("carry"), none.alias("done"))
-    return blocks.select("source", "bucket", F.aggregate(F.slice("items", F.lit(2), F.size("items")), start, _meet(level)).alias("r")).select("source", "bucket", "r.carry", "r.done")
+def _settle(units: DataFrame, level: int, block: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """(one undecided unit of each source, tables of (row, extra) decided, next level) of units with sizes."""
+    open_, done = units, []
+    while True:
+        counts = durable(open_.groupBy("source").agg(F.count("*").alias("c")), "counts")
+        if (counts.agg(F.max("c")).first()[0] or 0) <= 1:
+            return open_, done, level
+        n = counts.select(F.col("source").alias("_s"), F.ceil(F.col("c") / block).alias("_n"))
+        dealt = open_.join(small(n), F.col("source").eqNullSafe(F.col("_s")))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "size", "salt"), F.col("_n")))
+        items = F.sort_array(F.collect_list(F.struct(*UNIT)), asc=False)
+        blocks = dealt.groupBy("source", "block").agg(items.alias("items"))
+        start = F.struct(F.element_at("items", 1).alias("carry"), F.expr("CAST(array() AS array<struct<row: bigint, extra: int>>)").alias("done"))
+        r = durable(blocks.select("source", F.aggregate(F.slice("items", F.lit(2), F.size("items")), start, _meet(level)).alias("r")), "level")
+        done.append(r.select(F.explode("r.done").alias("d")).select("d.*"))
+        open_ = r.select("source", "r.carry.*")
+        level += 1
 
 
 def rounded_copies(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies; one row for each distinct unit."""
+    """row, doc_id, source, size, source_size, target, copies of every row of ``sized`` (row, doc_id, source, size)."""
     targets = durable(source_targets(sized, weights, most), "targets")
-    units = sized.distinct().join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    # Only rows alike are told apart by their place, so that no other chance depends on how a table is cut.
+    like = ("doc_id", "source", "size")
+    ties = durable(sized.groupBy(*like).agg(F.count("*").alias("c")).where("c > 1").select(*(F.col(k).alias(f"_{k}") for k in like)), "ties")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    units = sized.join(small(ties), same, "left").select("row", *like, F.when(F.col("_size").isNotNull(), F.col("row")).otherwise(0).alias("salt"))
+    means = sized.where("size > 0").groupBy(F.col("source").alias("_source")).agg(F.avg("size").alias("mean"))
+    units = units.join(small(targets), units["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    units = units.join(small(durable(means, "means")), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    units = units.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    units = durable(units.withColumn("bucket", F.floor(2 * F.log2(F.col("size") + 1.0)).cast("int")), "units")
-    open_, level, done = units.where("p > 0").select("source", "bucket", "doc_id", "size", "p"), 0, []
-    while True:
-        counts = open_.groupBy("source", "bucket").agg(F.count("*").alias("c"))
-        top = counts.agg(F.max("c"), F.sum("c"), F.count_distinct(F.coalesce("source", F.lit("")), F.col("source").isNull())).first()
-        if not top[0]:
-            break
-        if top[0] == 1:  # one unit a bucket is left: buckets of a source, a few dozen, meet
-            if top[1] == top[2]:
-                break
-            counts = counts.withColumn("bucket", F.lit(-1)).groupBy("source", "bucket").agg(F.sum("c").alias("c"))
-            open_ = open_.withColumn("bucket", F.lit(-1))
-        parts = F.greatest(F.ceil(F.col("c") / block), F.lit(1))
-        n = counts.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), parts.alias("_n"))
-        dealt = open_.join(n, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "doc_id", "size"), F.col("_n"))).drop("_s", "_b", "_n")
-        r = durable(_reduce(dealt, level), "level")
-        done.append(r.select("source", F.explode("done").alias("d")).select("source", "d.*"))
-        open_ = r.select("source", "bucket", "carry.*").where("p > 0")
-        level += 1
-    last = open_.select("source", "doc_id", "size", F.when(_chance(F.lit(-1), F.col("doc_id"), F.col("size")) < F.col("p"), 1).otherwise(0).alias("extra"))
-    for d in done:
-        last = last.unionByName(d)
-    extra = last.where("extra = 1").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("size").alias("_z"), F.lit(1).alias("extra")).distinct()
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_z"))
-    return units.join(extra, same, "left").select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long").alias("copies"))
-
-
-def sized_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row, written once: texts are read one time."""
-    return durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")), "sized")
-
-
-def _same_unit(c: DataFrame) -> Column:
-    return F.col("doc_id").eqNullSafe(c["_d"]) & F.col("source").eqNullSafe(c["_s"]) & (F.col("size") == c["_z"])
+    units = durable(units.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate)), "units")
+    open_ = units.where("p > 0 AND size > 0")
+    first, done, level = _settle(open_.where("size > mean").select("source", *UNIT), 0, block)
+    up = F.when(_chance(F.lit(-1), F.col("doc_id"), F.col("size"), F.col("salt")) < F.col("p"), 1).otherwise(0)
+    first = durable(first.select("source", "row", up.alias("extra"), ((up - F.col("p")) * F.col("size")).alias("given")), "first")
+    done.append(first.select("row", "extra"))
+    short = open_.where("size <= mean")
+    shift = short.groupBy("source").agg(F.sum("size").alias("held")).join(first.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("_s", (F.col("given") / F.col("held")).alias("less"))
+    short = short.join(small(durable(shift, "shift")), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.coalesce("less", F.lit(0.0)))))
+    last, more, _ = _settle(durable(short.select("source", *UNIT), "short"), level, block)
+    done += [*more, last.select("row", F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("extra"))]
+    done.append(units.where("p > 0 AND size = 0").select("row", up.alias("extra")))
+    extra = done[0]
+    for d in done[1:]:
+        extra = extra.unionByName(d)
+    copies = (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long")
+    return units.join(extra.where("extra = 1"), "row", "left").select("row", *like, "source_size", "target", copies.alias("copies"))
+
+
+def _numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """row, doc_id, source, size, and more, of every row, written once: texts are read one time and rows have fixed numbers."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), *more)
+    return durable(own.withColumn("row", F.monotonically_increasing_id()), "sized")
 
 
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
-    sized = sized_rows(docs)
-    c = rounded_copies(sized, weights, most).withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
-    out = sized.join(c, _same_unit(c)).withColumn("taken", F.col("size") * F.col("copies"))
+    out = rounded_copies(_numbered(docs), weights, most).withColumn("taken", F.col("size") * F.col("copies"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents, each as many times as it has copies; columns stay."""
-    c = rounded_copies(sized_rows(docs), weights, most).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    size = n_words(F.col("text").cast("string"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    rows = docs.withColumn("_size", size).join(c, on)
-    return rows.withColumn("_copy", F.expr("explode(array_repeat(0, CAST(copies AS INT)))")).select(*docs.columns)
+    rows = _numbered(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    copies = rounded_copies(rows.select("row", "doc_id", "source", "size"), weights, most).where("copies > 0").select("row", "copies")
+    taken = rows.select("row", "doc").join(copies, "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")

@@ -223,19 +223,70 @@ def test_decision_list_recovers_a_rule():
     assert (said == rows["bad"]).mean() > 0.98
 
 
+def _levels(sizes: dict) -> dict:
+    """source -> target: excess over three times the size is shared again by weight until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, open_, out, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, set(order), {}, float(sum(sizes.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out
+
+
 def test_mixing(spark, docs, real):
-    for d in (docs, real, _null_ids(spark)):
+    tenth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for d in (docs, real, _null_ids(spark), tenth):
         rows = mixing.mix_report(d).collect()
-        assert len(rows) == d.count() and all(r.taken <= 3 * r.size for r in rows)
-        assert sum({r.source: r.target for r in rows}.values()) == pytest.approx(sum(r.size for r in rows))
+        words = {}
+        for r in d.collect():
+            words[r.source] = words.get(r.source, 0) + len((r.text or "").encode().split())
+        want = _levels(words)
+        assert len(rows) == d.count() and all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in rows)
+        assert all(r.target == pytest.approx(want[r.source]) and r.source_size == words[r.source] for r in rows)
+        for s in words:
+            of = [r for r in rows if r.source == s]
+            short = [r.size for r in of if r.size <= words[s] / max(1, sum(x.size > 0 for x in of))]
+            slack = max(short, default=0) if sum(short) > 2 * max(r.size for r in of) else max(r.size for r in of)
+            assert abs(sum(r.taken for r in of) - of[0].target) <= max(0.05 * of[0].target, slack), s
+            assert all(math.floor(r.target / max(1, r.source_size) + 1e-9) <= r.copies <= math.ceil(r.target / max(1, r.source_size) - 1e-9) for r in of)
         assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_report(d).collect()))
-        assert mixing.mix(d).count() == sum(r.copies for r in rows)
-    assert mixing.mix_report(docs.where("false")).count() == 0
+        mixed = Counter((r.doc_id, r.source, r.text) for r in mixing.mix(d).collect())
+        assert sum(mixed.values()) == sum(r.copies for r in rows) and set(mixed) <= {(r.doc_id, r.source, r.text) for r in d.collect()}
+    assert mixing.mix_report(docs.where("false")).count() == 0 and mixing.mix(docs.where("false")).count() == 0
+
+
+def test_mixing_of_equal_rows_and_clashing_names(spark):
+    rows = [(None, "a b c d e f g", "hot", 1, 2, 3)] * 600 + [(i, "w " * (i % 40), "b", 1, 2, 3) for i in range(300)] + [(i, "v w", "c", 1, 2, 3) for i in range(9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, row int, copies int, size int").repartition(5)
+    got = mixing.mix_report(d).collect()
+    for s in "hot", "b", "c":
+        of = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 40
+    mixed = mixing.mix(d)
+    assert mixed.columns == d.columns and mixed.count() == sum(r.copies for r in got)
+
+
+def test_mixing_keeps_expectations(spark, monkeypatch):
+    """Over many seeds, a document's mean number of copies is its target over its size."""
+    rows = [(i, "w " * (3 + i * i % 37), "a" if i % 5 else "b") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total: Counter = Counter()
+    for seed in range(4):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        for r in mixing.mix_report(d).collect():
+            total[r.source] += r.copies - r.target / r.source_size
+    assert abs(total["a"]) < 12 and abs(total["b"]) < 6
 
 
 def test_mixing_block_above_the_default(spark):
-    # 6000 units of one bucket, two sources: one block holds more than 64 * 64 of them.
-    sized = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 12 == 0, "b").otherwise("a").alias("source"), F.lit(10).cast("long").alias("size"))
+    # 6000 units of one size, two sources: one block holds more than 64 * 64 of them.
+    sized = spark.range(6000).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.when(F.col("id") % 12 == 0, "b").otherwise("a").alias("source"), F.lit(10).cast("long").alias("size"))
     for block in (64, 10_000):
         rows = mixing.rounded_copies(sized, block=block).collect()
         for name in ("a", "b"):
