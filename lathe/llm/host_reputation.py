@@ -2,15 +2,15 @@
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and public
 suffix. Each level has a beta prior: its mean is the posterior mean of the level above
-(for suffixes the mean over all), its strength comes from the spread of the level's own
-rates by the method of moments. A host's posterior is a beta distribution; a page is
+(for suffixes the mean over all), its strength comes by the method of moments from how far
+the level's own rates lie from those means, over groups with a sibling. A host's posterior is a beta distribution; a page is
 blocked where even its lower bound (mean less ``z`` standard deviations) passes the
 threshold, so that a few bad pages on a small host don't block it. Listed rules come
 first.
 
 Counts are combined before they are shuffled, so a host with a third of all pages is one
 row of each task. The verdict is joined to the pages by host; Spark splits that join's
-skewed partitions. The driver sees four numbers.
+skewed partitions. The driver sees a few sums.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which no
 rule fits and which has the prior of all pages; a host without labels has its domain's
@@ -20,13 +20,20 @@ counted; repeated pages count each; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm.common import durable, lower_ascii
 
-#: The default rules for public suffixes; any other host's suffix is its last label. A parameter.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "org.uk", "gov.uk", "com.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
+#: registries' second-level names of some countries, as in the public suffix list. Any other host's suffix is its last label.
+SECOND_LEVELS = {
+    "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi maori mil net org school", "jp": "ac ad co ed go gr lg ne or",
+    "br": "art blog com edu eco gov jus leg mil net org", "mx": "com edu gob net org", "ar": "com edu gob gov int mil net org tur", "co": "com edu gov mil net nom org", "pe": "com edu gob mil net nom org",
+    "in": "ac co edu firm gen gov ind mil net org res", "cn": "ac com edu gov mil net org", "hk": "com edu gov idv net org", "tw": "club com edu gov idv net org", "kr": "ac co go ne or pe re", "sg": "com edu gov net org",
+    "my": "com edu gov mil name net org", "th": "ac co go in mi net or", "id": "ac biz co desa go mil my net or sch web", "za": "ac co edu gov law net org school web", "ke": "ac co go me ne or sc", "ng": "com edu gov net org sch",
+    "tr": "av bel biz com edu gov info name net org", "il": "ac co gov k12 muni net org", "ua": "com edu gov in net org", "pl": "com edu gov net org", "es": "com edu gob nom org", "gr": "com edu gov net org",
+}
+PUBLIC_SUFFIXES = tuple(f"{name}.{country}" for country, names in SECOND_LEVELS.items() for name in names.split())
 #: What it costs to block a good page, and to allow a bad one. Stated, as nothing in the data says it: alike.
 BLOCKED_GOOD, ALLOWED_BAD = 1.0, 1.0
 
@@ -52,7 +59,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def domain_and_suffix(hosts: DataFrame, suffixes: DataFrame | tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def read_public_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """(rule) of a public suffix list in its published form: a rule a line, ``//`` before remarks."""
+    rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(//|$)")).select(rule.alias("rule"))
+
+
+def domain_and_suffix(hosts: DataFrame, suffixes: DataFrame | tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
     """Adds ``domain`` and ``suffix`` to distinct hosts, by the rules of public suffix lists.
 
     ``suffixes`` are such rules, or a table with one in each row of its first column: plain
@@ -103,38 +116,46 @@ def matched_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return pages.join(best, ["host", "path"], "left").withColumn("rule", F.col("best.r")).withColumn("rule_verdict", F.col("best.v")).drop("best")
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """Prior strength from the spread of the groups' rates (method of moments)."""
-    p = F.col("bad") / F.col("n")
-    r = groups.where("n > 0").agg(F.sum(F.col("n") * (p - mean) * (p - mean)).alias("s"), F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2")).first()
-    noise = mean * (1 - mean)
-    room = r.n - r.n2 / r.n if r.n else 0
-    between = (r.s - (r.g - 1) * noise) / room if room > 0 else 0.0
-    return min(STRONGEST, max(WEAKEST, noise / between - 1)) if between > 0 else STRONGEST
+def _with_siblings(groups: DataFrame, parents: DataFrame, by: list[str], prior: str) -> DataFrame:
+    """Adds the parent's posterior mean as ``prior``, and how many labelled groups the parent has."""
+    counted = groups.groupBy(*by).agg(F.count_if(F.col("n") > 0).alias("siblings"))
+    return groups.join(parents.select(*by, F.col(prior).alias("prior")).join(counted, by), by)
+
+
+def _strength(groups: DataFrame) -> float:
+    """Prior strength k of groups (n, bad, prior, siblings), so that the spread of a rate p is prior (1 - prior) / n (1 + (n - 1) / (k + 1)).
+
+    Groups with one parent are drawn towards its mean, which they make up themselves, hence
+    the factor; a group without a sibling says nothing of the spread among siblings.
+    """
+    off, noise = F.col("bad") / F.col("n") - F.col("prior"), F.col("prior") * (1 - F.col("prior"))
+    r = groups.where("n > 0 AND siblings > 1").agg(F.sum(F.col("n") * off * off * F.col("siblings") / (F.col("siblings") - 1)).alias("s"), F.sum(noise).alias("noise"), F.sum(noise * (F.col("n") - 1)).alias("room")).first()
+    between = (r.s - r.noise) / r.room if r.room else 0.0
+    return min(STRONGEST, max(WEAKEST, 1 / between - 1)) if between > 0 else STRONGEST
 
 
-def host_posteriors(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | tuple[str, ...] = TWO_LABEL_SUFFIXES, z: float = Z) -> DataFrame:
+def host_posteriors(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame | tuple[str, ...] = PUBLIC_SUFFIXES, z: float = Z) -> DataFrame:
     """host, host_n, host_bad, mean, bound of every host; outcomes are (host, bad boolean)."""
     counted = outcomes.where("bad IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     hosts = pages.select("host").distinct().join(counted, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     hosts = durable(domain_and_suffix(hosts, suffixes), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    domains, tops = hosts.groupBy("domain", "suffix").agg(*sums), hosts.groupBy("suffix").agg(*sums)
-    total = tops.agg(*sums).first()
-    mean = total.bad / total.n if total.n else 0.0
-    s_top, s_domain, s_host = (_strength(g, mean) for g in (tops, domains, hosts))
-
-    def post(prior, strength: float, n: str, bad: str):
-        return (prior * strength + F.col(bad)) / (F.col(n) + strength)
-
-    tops = tops.select("suffix", post(F.lit(mean), s_top, "n", "bad").alias("top_mean"))
-    domains = domains.join(tops, "suffix").select("domain", "suffix", post(F.col("top_mean"), s_domain, "n", "bad").alias("domain_mean"))
-    out = hosts.join(domains, ["domain", "suffix"]).withColumn("mean", post(F.col("domain_mean"), s_host, "n", "bad"))
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.lit(s_host) + 1))
+    domains = durable(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
+    tops = durable(domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(0)), "suffixes")
+    root = tops.groupBy("root").agg(*sums).select("root", F.coalesce(F.try_divide("bad", "n"), F.lit(0.0)).alias("mean"))
+
+    def posterior(groups: DataFrame, mean: str) -> tuple[DataFrame, float]:
+        k = _strength(groups)
+        return groups.withColumn(mean, (F.col("prior") * k + F.col("bad")) / (F.col("n") + k)).drop("prior", "siblings"), k
+
+    tops, _ = posterior(_with_siblings(tops, root, ["root"], "mean"), "top_mean")
+    domains, _ = posterior(_with_siblings(domains, tops, ["suffix"], "top_mean"), "domain_mean")
+    out, k = posterior(_with_siblings(hosts, domains, ["domain", "suffix"], "domain_mean"), "mean")
+    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.lit(k) + 1))
     return out.select("host", F.col("n").alias("host_n"), F.col("bad").alias("host_bad"), "mean", (F.col("mean") - z * deviation).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, z: float = Z, suffixes: DataFrame | tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = THRESHOLD, z: float = Z, suffixes: DataFrame | tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_n, host_bad, bound of every page.
 
     ``pages`` has page_id and url; ``outcomes`` url and bad.

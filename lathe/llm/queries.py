@@ -69,15 +69,16 @@ def _reputation_sql() -> str:
     test = lambda h, p: f"(p.host = '{h}' OR ends_with(p.host, '.{h}')) AND starts_with(path, '/{p}')"
     rule = " ".join(f"WHEN {test(h, p)} THEN '{r}'" for v, r, h, p in fits)
     said = " ".join(f"WHEN {test(h, p)} THEN '{v}'" for v, r, h, p in fits)
-    two = ", ".join(f"'{s}'" for s in host_reputation.TWO_LABEL_SUFFIXES)
+    two = ", ".join(f"'{s}'" for s in host_reputation.PUBLIC_SUFFIXES)
     lower = "translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     z, t = host_reputation.Z, host_reputation.THRESHOLD
 
     def strength(table: str) -> str:
-        noise, s = "(m * (1 - m))", "sum(n * (bad / n - m) * (bad / n - m))"
-        between = f"(({s} - (count(*) - 1) * {noise}) / nullif(sum(n) - sum(n * n) / sum(n), 0))"
-        return f"(SELECT coalesce(CASE WHEN {between} > 0 THEN least({host_reputation.STRONGEST}, greatest({host_reputation.WEAKEST}, {noise} / {between} - 1)) END, {host_reputation.STRONGEST}) FROM {table}, total WHERE n > 0 GROUP BY m)"
+        s, noise = "sum(n * (bad / n - prior) * (bad / n - prior) * c / (c - 1))", "sum(prior * (1 - prior))"
+        between = f"(({s} - {noise}) / nullif(sum(prior * (1 - prior) * (n - 1)), 0))"
+        return f"(SELECT coalesce(CASE WHEN {between} > 0 THEN least({host_reputation.STRONGEST}, greatest({host_reputation.WEAKEST}, 1 / {between} - 1)) END, {host_reputation.STRONGEST}) FROM {table} WHERE n > 0 AND c > 1)"
 
+    siblings = lambda by: f"count(*) FILTER (n > 0) OVER ({by})"
     return f"""
 WITH cut AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, coalesce({lower}, '') AS host, coalesce(regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0), '') AS path,
@@ -89,10 +90,12 @@ h AS (SELECT host, n, bad, CASE WHEN array_to_string(l[-2:], '.') IN ({two}) THE
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS m FROM s),
-k AS (SELECT m, coalesce({strength('s')}, 1000) AS ks, coalesce({strength('d')}, 1000) AS kd, coalesce({strength('h')}, 1000) AS kh FROM total),
-sp AS (SELECT suffix, (m * ks + bad) / (n + ks) AS sm FROM s, k),
-dp AS (SELECT domain, suffix, (sm * kd + bad) / (n + kd) AS dm FROM d JOIN sp USING (suffix), k),
-hp AS (SELECT host, n, bad, kh, (dm * kh + bad) / (n + kh) AS hm FROM h JOIN dp USING (domain, suffix), k),
+s1 AS (SELECT s.*, m AS prior, {siblings('')} AS c FROM s, total),
+sp AS (SELECT suffix, (prior * k + bad) / (n + k) AS sm FROM s1, (SELECT {strength('s1')} AS k)),
+d1 AS (SELECT d.*, sm AS prior, {siblings('PARTITION BY suffix')} AS c FROM d JOIN sp USING (suffix)),
+dp AS (SELECT domain, suffix, (prior * k + bad) / (n + k) AS dm FROM d1, (SELECT {strength('d1')} AS k)),
+h1 AS (SELECT h.*, dm AS prior, {siblings('PARTITION BY domain, suffix')} AS c FROM h JOIN dp USING (domain, suffix)),
+hp AS (SELECT host, n, bad, k AS kh, (prior * k + bad) / (n + k) AS hm FROM h1, (SELECT {strength('h1')} AS k)),
 b AS (SELECT host, n, bad, hm - {z} * sqrt(hm * (1 - hm) / (n + kh + 1)) AS bound FROM hp)
 SELECT page_id, p.host, path, CASE {rule} END AS rule, CASE {said} WHEN bound > {t} THEN 'block' ELSE 'allow' END AS verdict,
   CAST(n AS BIGINT) AS host_n, CAST(bad AS BIGINT) AS host_bad, round(bound, 6) AS bound

@@ -305,6 +305,9 @@ def test_urls(spark):
     }
     bad = spark.createDataFrame([("http://spam.com/1", True)] * 200 + [("http://ok.com/1", False)] * 200, "url string, bad boolean")
     two = spark.createDataFrame([(1, "http://spam.com/9"), (2, "http://ok.com/9")], "page_id long, url string")
+    assert host_reputation.filter_urls(two.where("false"), bad.where("false"), queries.URL_RULES).count() == 0
+    clash = two.withColumns({c: F.lit("x") for c in ("host", "n", "bad", "prior", "mean", "rule", "siblings", "domain", "suffix")})
+    assert host_reputation.filter_urls(clash.unionByName(clash), bad, []).count() == 4
     assert {r.page_id: r.verdict for r in host_reputation.filter_urls(two, bad, []).collect()} == {1: "block", 2: "allow"}
 
 
@@ -339,6 +342,46 @@ def test_public_suffixes(spark):
     assert out[1] < out[2] < out[0]
 
 
+def test_suffixes_from_a_published_list(spark, tmp_path):
+    (tmp_path / "list").write_text("// a remark\n\ncom\nck\n*.ck\n!www.ck\nco.uk // more\n  github.io\n")
+    rules = host_reputation.read_public_suffixes(spark, str(tmp_path / "list"))
+    hosts = spark.createDataFrame([("a.b.github.io",), ("x.y.ck",), ("z.www.ck",)], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in host_reputation.domain_and_suffix(hosts, rules).collect()} == {"a.b.github.io": ("b.github.io", "github.io"), "x.y.ck": ("x.y.ck", "y.ck"), "z.www.ck": ("www.ck", "ck")}
+
+
+def _posteriors(labels: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """host -> posterior mean, level by level, of hosts a.b.c with (pages, bad pages)."""
+    rates: dict = {}
+    for host, (n, bad) in labels.items():
+        for level, key in enumerate((host, ".".join(host.split(".")[-2:]), host.split(".")[-1], "")):
+            a, b = rates.setdefault(level, {}).get(key, (0, 0))
+            rates[level][key] = (a + n, b + bad)
+    means = {3: {"": rates[3][""][1] / max(1, rates[3][""][0])}}
+    for level in (2, 1, 0):
+        parent = (lambda k: "") if level == 2 else (lambda k: k.split(".")[-1]) if level == 1 else (lambda k: ".".join(k.split(".")[-2:]))
+        s = noise = room = 0.0
+        for key, (n, bad) in rates[level].items():
+            m, c = means[level + 1][parent(key)], sum(x[0] > 0 and parent(k) == parent(key) for k, x in rates[level].items())
+            if n and c > 1:
+                s, noise, room = s + n * (bad / n - m) ** 2 * c / (c - 1), noise + m * (1 - m), room + m * (1 - m) * (n - 1)
+        between = (s - noise) / room if room else 0.0
+        k = min(1000.0, max(1.0, 1 / between - 1)) if between > 0 else 1000.0
+        means[level] = {key: (means[level + 1][parent(key)] * k + bad) / (n + k) for key, (n, bad) in rates[level].items()}
+    return means[0]
+
+
+def test_posteriors_level_by_level(spark):
+    g = np.random.default_rng(5)
+    labels = {f"{h}.d{d}.t{t}": (int(n := g.integers(0, 60)), int(g.binomial(n, g.beta(2 + t, 4)))) for t in range(3) for d in range(4) for h in "xyz"}
+    pages = spark.createDataFrame([(h,) for h in labels], "host string")
+    seen = spark.createDataFrame([(h, i < bad) for h, (n, bad) in labels.items() for i in range(n)] + [("x.d0.t0", None)], "host string, bad boolean")
+    got = {r.host: r["mean"] for r in host_reputation.host_posteriors(pages, seen).collect()}
+    assert got == pytest.approx(_posteriors(labels))
+    # Hosts differ within their domains here, which differ little: a host keeps its own rate.
+    apart = {f"{h}.d{d}.t": (50, 45 if h == "x" else 5) for d in range(6) for h in "xy"}
+    assert _posteriors(apart)["x.d0.t"] > 0.8
+
+
 def test_licences(spark, docs):
     df = spark.createDataFrame([(1, "Hi.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0. bye"), (2, None), (3, "Permission is hereby granted!")], "doc_id long, text string")
     assert {r.doc_id: (r.licences, r.n_unmatched) for r in license_rules.scan_licences(df).collect()} == {1: ("MIT, CC-BY-NC-4.0", 0), 2: (None, 0), 3: (None, 0)}
