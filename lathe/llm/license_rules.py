@@ -25,6 +25,8 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +71,49 @@ PUBLISHED = (
     ("MitGrant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("MitNotice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
     ("MitAsIs", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("BsdAsIs", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("GplTwoFree", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GplTwoOnly", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("GplCopy", "you should have received a copy of the gnu general public license along with this program"),
+    ("GplCopy", "if not see https www gnu org licenses"),
+    ("GplCopy", "if not see http www gnu org licenses"),
+    ("LgplTwoFree", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("LgplFree", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("LgplHope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("LgplSee", "see the gnu lesser general public license for more details"),
+    ("AgplFree", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("AgplSee", "see the gnu affero general public license for more details"),
+    ("MplSubject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("MplCopy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("MplCopy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("EplTwo", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("EplTwo", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0"),
+    ("IscGrant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("IscGrant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ZeroBsdGrant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("IscAsIs", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("BoostNotice", "distributed under the boost software license version 1 0"),
+    ("BoostName", "boost software license version 1 0 august 17th 2003"),
+    ("BoostGrant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("UnlicenseFree", "this is free and unencumbered software released into the public domain"),
+    ("UnlicenseAnyone", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("ZlibAsIs", "this software is provided as is without any express or implied warranty"),
+    ("ZlibLiable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("ZlibGrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("CcBy", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("CcBySa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("CcByNc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("CcByNcSa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
+    ("CcByNd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
 )
 
+#: Identifiers that a line ``SPDX-License-Identifier: ...`` names.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+TAGS = tuple((f"Spdx-{i}", "spdx license identifier " + re.sub("[^a-z0-9]+", " ", i.lower())) for i in SPDX)
+
 #: Licence and the identifiers that name it, longest rules first.
 RULES = (
     ("Apache-2.0", ("ApacheNotice", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
@@ -91,14 +134,46 @@ RULES = (
     ("Proprietary", ("AllRights",)),
 )
 
-#: Tried before RULES. The BSD texts begin with a copyright line that reserves all rights.
+#: Tried before RULES, longest first. The BSD texts begin with a copyright line that reserves all rights.
 PUBLISHED_RULES = (
+    ("BSD-3-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs")),
+    ("BSD-2-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
     ("BSD-3-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
     ("BSD-2-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary")),
+    ("GPL-3.0-or-later", ("GplFree", "GplHope", "GplSee", "GplCopy", "GplCopy")),
+    ("GPL-3.0-or-later", ("GplFree", "GplHope", "GplSee", "GplCopy")),
+    ("GPL-2.0-or-later", ("GplTwoFree", "GplHope", "GplSee", "GplCopy", "GplCopy")),
+    ("GPL-2.0-or-later", ("GplTwoFree", "GplHope", "GplSee")),
+    ("GPL-2.0-or-later", ("GplTwoFree",)),
+    ("GPL-2.0-only", ("GplTwoOnly", "GplHope", "GplSee")),
+    ("GPL-2.0-only", ("GplTwoOnly",)),
+    ("LGPL-2.1-or-later", ("LgplTwoFree", "LgplHope", "LgplSee")),
+    ("LGPL-2.1-or-later", ("LgplTwoFree",)),
+    ("LGPL-3.0-or-later", ("LgplFree", "LgplHope", "LgplSee")),
+    ("LGPL-3.0-or-later", ("LgplFree",)),
+    ("AGPL-3.0-or-later", ("AgplFree", "GplHope", "AgplSee")),
+    ("AGPL-3.0-or-later", ("AgplFree",)),
+    ("MPL-2.0", ("MplSubject", "MplCopy")),
+    ("MPL-2.0", ("MplSubject",)),
+    ("EPL-2.0", ("EplTwo",)),
+    ("ISC", ("IscGrant", "IscAsIs")),
+    ("ISC", ("IscGrant",)),
+    ("0BSD", ("ZeroBsdGrant", "IscAsIs")),
+    ("BSL-1.0", ("BoostName", "BoostGrant")),
+    ("BSL-1.0", ("BoostNotice",)),
+    ("Unlicense", ("UnlicenseFree", "UnlicenseAnyone")),
+    ("Unlicense", ("UnlicenseFree",)),
+    ("Zlib", ("ZlibAsIs", "ZlibLiable", "ZlibGrant")),
+    ("CC-BY-NC-SA-4.0", ("CcByNcSa",)),
+    ("CC-BY-ND-4.0", ("CcByNd",)),
 )
+TAG_RULES = tuple((i, (f"Spdx-{i}",)) for i in SPDX)
+ALL_SENTENCES, ALL_RULES = SENTENCES + PUBLISHED + TAGS, PUBLISHED_RULES + RULES + TAG_RULES
 
 
-def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCES + PUBLISHED) -> tuple[Column, Column]:
+def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES) -> tuple[Column, Column]:
     """(number of pieces with a letter or digit, identifiers of the known sentences in order)."""
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
     said = F.filter(F.transform(F.split(text, SENTENCE_END), plain), lambda s: s != "")
@@ -112,7 +187,7 @@ def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = SENTENCE
     return F.coalesce(F.size(said), F.lit(0)), F.coalesce(found, F.array().cast("array<string>"))
 
 
-def scan_licences(docs: DataFrame, sentences: tuple[tuple[str, str], ...] = SENTENCES + PUBLISHED, rules: tuple[tuple[str, tuple[str, ...]], ...] = PUBLISHED_RULES + RULES) -> DataFrame:
+def scan_licences(docs: DataFrame, sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = ALL_RULES) -> DataFrame:
     """doc_id, n_sentences, identifiers (joined), licences (joined, null if none), n_unmatched."""
     n, ids = sentence_ids(F.col("text").cast("string"), sentences)
     out = docs.select("doc_id", F.struct(n.alias("n"), ids.alias("ids")).alias("f"))

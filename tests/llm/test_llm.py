@@ -429,13 +429,18 @@ modification, are permitted provided that the following conditions are met:
    this list of conditions and the following disclaimer in the documentation
    and/or other materials provided with the distribution.
 """
-BSD_REST = """
+BSD_THIRD = """
 3. Neither the name of the copyright holder nor the names of its
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
-
+"""
+BSD_REST = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
-AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.
 """
 GPL_TEXT = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
@@ -448,25 +453,110 @@ but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details.
 """
-#: A published text or notice, wrapped, for every rule in turn.
+GPL_COPY = """
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+LGPL_REST = GPL_REST.replace("This program", "This library").replace("GNU General", "GNU Lesser General")
+ISC_REST = """
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+ZERO_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+"""
+GPL_TWO = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+"""
+GPL_TWO_ONLY = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+"""
+LGPL_TWO = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+LGPL_THREE = """This library is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+EPL_TEXT = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+BOOST_TEXT = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+OWNED = "(c) me\nAll rights reserved.\n\n"
+#: Published texts and notices, wrapped as they are, and the licences they must give; nothing of the rule table.
 WRAPPED = [
-    "(c) me\nAll rights reserved.\n\n" + BSD_TEXT + BSD_REST, "(c) me\nAll rights reserved.\n\n" + BSD_TEXT, APACHE_TEXT + APACHE_REST, APACHE_TEXT, "MIT License\n\nCopyright (c) me\n\n" + MIT_TEXT, MIT_TEXT,
-    BSD_TEXT + BSD_REST, BSD_TEXT, GPL_TEXT + GPL_REST, GPL_TEXT, "Licensed under the Apache License,\nVersion 2.0.", "Released under the\nMIT License.",
-    "This work is licensed under the GNU General\nPublic License, version 3.", "Licensed under\nCC BY-NC 4.0.", "Licensed under\nCC BY 4.0.", "Licensed under CC\nBY-SA 4.0.", "Dedicated to the public domain\nunder CC0 1.0.", "All rights\nreserved.",
+    (OWNED + BSD_TEXT + BSD_THIRD + BSD_REST, "BSD-3-Clause"), (BSD_TEXT + BSD_THIRD + BSD_REST, "BSD-3-Clause"), (BSD_TEXT + BSD_THIRD, "BSD-3-Clause"), (OWNED + BSD_TEXT + BSD_REST, "BSD-2-Clause"), (BSD_TEXT + BSD_REST, "BSD-2-Clause"),
+    (OWNED + BSD_TEXT, "BSD-2-Clause"), (BSD_TEXT, "BSD-2-Clause"), (APACHE_TEXT + APACHE_REST, "Apache-2.0"), (APACHE_TEXT, "Apache-2.0"), ("MIT License\n\nCopyright (c) me\n\n" + MIT_TEXT, "MIT"), (MIT_TEXT, "MIT"),
+    (GPL_TEXT + GPL_REST + GPL_COPY, "GPL-3.0-or-later"), (GPL_TEXT + GPL_REST, "GPL-3.0-or-later"), (GPL_TEXT, "GPL-3.0-or-later"), (GPL_TWO + GPL_REST + GPL_COPY, "GPL-2.0-or-later"), (GPL_TWO, "GPL-2.0-or-later"),
+    (GPL_TWO_ONLY + GPL_REST, "GPL-2.0-only"), (GPL_TWO_ONLY, "GPL-2.0-only"), (LGPL_TWO + LGPL_REST, "LGPL-2.1-or-later"), (LGPL_THREE + LGPL_REST, "LGPL-3.0-or-later"), (LGPL_THREE, "LGPL-3.0-or-later"),
+    (GPL_TEXT.replace("GNU General", "GNU Affero General") + GPL_REST.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"), (MPL_TEXT, "MPL-2.0"), (EPL_TEXT, "EPL-2.0"), (ISC_TEXT + ISC_REST, "ISC"), (ZERO_TEXT + ISC_REST, "0BSD"),
+    (BOOST_TEXT, "BSL-1.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), (UNLICENSE_TEXT, "Unlicense"), (ZLIB_TEXT, "Zlib"), ("Licensed under the Apache License,\nVersion 2.0.", "Apache-2.0"),
+    ("Released under the\nMIT License.", "MIT"), ("This work is licensed under the GNU General\nPublic License, version 3.", "GPL-3.0-only"), ("Licensed under\nCC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under\nCC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC\nBY-SA 4.0.", "CC-BY-SA-4.0"), ("Dedicated to the public domain\nunder CC0 1.0.", "CC0-1.0"), ("All rights\nreserved.", "Proprietary"),
+    ("This work is licensed under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("SPDX-License-Identifier: LGPL-2.1-only\n\nimport x", "LGPL-2.1-only"), ("# SPDX-License-Identifier: MIT", "MIT"),
 ]
 
 
 def test_licences_wrapped(spark):
-    rules = license_rules.PUBLISHED_RULES + license_rules.RULES
-    assert len(WRAPPED) == len(rules)
-    starred = ["/*\n" + "".join(f" * {line}\n" for line in t.splitlines()) + " */" for t in WRAPPED]
-    unwrapped = ["\n\n".join(" ".join(p.split()) for p in t.split("\n\n")) for t in WRAPPED]
-    below = ["a line without an end\n" + t for t in WRAPPED]
-    rows = [(i, t) for i, t in enumerate(WRAPPED + starred + below)] + [(1000 + i, t) for i, t in enumerate(unwrapped) if "(c) me All" not in t]
-    got = {r.doc_id: (r.identifiers, r.licences, r.n_unmatched) for r in license_rules.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, _ in rows:
-        name, ids = rules[i % 1000 % len(rules)]
-        assert got[i] == (" ".join(ids), name, 0), i
+    starred = [("/*\n" + "".join(f" * {line}\n" for line in t.splitlines()) + " */", n) for t, n in WRAPPED]
+    slashed = [("".join(f"// {line}\n" for line in t.splitlines()), n) for t, n in WRAPPED]
+    below = [("a line without an end\n" + t, n) for t, n in WRAPPED]
+    unwrapped = [("\n\n".join(" ".join(p.split()) for p in t.split("\n\n")), n) for t, n in WRAPPED if not t.startswith(OWNED)]
+    rows = [(i, t, n) for i, (t, n) in enumerate(WRAPPED + starred + slashed + below + unwrapped)]
+    got = {r.doc_id: (r.licences, r.n_unmatched) for r in license_rules.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()}
+    for i, t, n in rows:
+        assert got[i] == (n, 0), t
+    assert {n for _, n in WRAPPED} >= {n for n, _ in license_rules.RULES}
+    assert all(" " + s + " " not in " " + " ".join("".join(c if c.isalnum() else " " for c in BASE.lower()).split()) + " " for _, s in license_rules.ALL_SENTENCES)
+
+
+def test_licences_of_odd_tables(spark):
+    """Very long texts, repeated rows, clashing names, and near misses that name nothing."""
+    long = "no licence here, a b c. " * 40_000 + "Released under the MIT License."
+    rows = [(1, long), (1, long), (None, "MIT"), (2, "Permission is hereby granted to look."), (3, "All rights reserved. All rights reserved.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("f", "rest", "m", "found", "identifiers", "n")})
+    got = sorted((r.doc_id or 0, r.licences or "", r.n_unmatched) for r in license_rules.scan_licences(df).collect())
+    assert got == [(0, "", 0), (1, "MIT", 0), (1, "MIT", 0), (2, "", 0), (3, "Proprietary", 0)]
 
 
 def test_warc_round_trip(spark):
