@@ -41,23 +41,33 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local session without one gets a temporary one."""
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="lathe-shared-")
         sc.setCheckpointDir(set_dir)
     return set_dir
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts its lineage."""
+    """Write a table to the shared folder and read it back, which cuts its lineage.
+
+    Tables stay until ``lathe-<application>`` in that folder is removed.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lathe-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lathe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, in which no name clashes with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if the (durable) table has at most ``rows`` rows."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import gram_hashes, small_batches
+from lathe.llm.common import gram_hashes, packed, small_batches
 
 #: Labelled rows that the list is learned from, at most.
 SAMPLE = 20_000
@@ -215,5 +215,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     rules = learn_rules(docs.select("doc_id", "text"), labels)
     s = stats_of(F.col("text").cast("string"))
-    own = docs.columns
-    return docs.select(F.struct(*own).alias("row"), s.alias("s")).where(~base_failed() & verdict(rules)).select("row.*")
+    return docs.select(packed(docs).alias("row"), s.alias("s")).where(~base_failed() & verdict(rules)).select("row.*")

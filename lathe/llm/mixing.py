@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.llm.common import WORD, durable, small
+from lathe.llm.common import WORD, durable, packed, small
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -158,7 +158,7 @@ def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The documents, each as many times as it has copies; columns stay."""
-    rows = _numbered(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    rows = _numbered(docs, packed(docs).alias("doc"))
     copies = rounded_copies(rows.select("row", "doc_id", "source", "size"), weights, most).where("copies > 0").select("row", "copies")
     taken = rows.select("row", "doc").join(copies, "row")
     return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("doc.*")

@@ -22,8 +22,9 @@ bits; a collision only sends a stretch to the exact comparison needlessly.
 Defined results: a null or blank text has no words; rows with a null ``doc_id`` have no
 place in the order, keep all their words and remove nothing elsewhere; rows that share
 a ``doc_id`` are one document (a position that either repeats is removed in both);
-extra columns are kept or ignored as stated. Stretches and windows are compared as
-64-bit hashes.
+extra columns, of any names, are kept or ignored as stated; an empty table gives no rows.
+Stretches are compared as 64-bit hashes among those of one anchor, windows as 64-bit hashes
+with 32 bits of their anchor's.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import BLOCK_WORDS, WordHashes, durable, map_arrow, signed, slices, small_batches, utf8
+from lathe.llm.common import BLOCK_WORDS, WordHashes, durable, map_arrow, packed, signed, slices, small_batches, utf8
 
 WINDOW = 20
 GRAM = 5
-MIN_BITS, MAX_BITS = 20, 27
+MIN_BITS, MAX_BITS = 20, 28
 
 
 def _blocks(words: list[bytes], window: int) -> Iterator[tuple[int, WordHashes]]:
@@ -103,7 +104,8 @@ _OCCURRENCE = "stretch ^ shiftleft(doc_id, 37) ^ shiftleft(CAST(pos AS BIGINT),
 def _stretches(docs: DataFrame, anchors: np.ndarray, occurrences: np.ndarray | None, window: int, gram: int) -> DataFrame:
     """(anchor, stretch, doc_id, pos, n): stretches of n windows around the anchors.
 
-    With a bitmap of occurrences: (window, doc_id, pos), the windows of those stretches.
+    With a bitmap of occurrences: (window, seed, doc_id, pos), the windows of those stretches; the
+    seed is 32 bits of the anchor, which equal windows have in common.
     """
     shared = docs.sparkSession.sparkContext.broadcast((anchors, occurrences))
 
@@ -126,7 +128,7 @@ def _stretches(docs: DataFrame, anchors: np.ndarray, occurrences: np.ndarray | N
                     if chosen is not None:
                         met = _in(chosen, _occurrence(stretch, doc_id, pos))
                         at = np.concatenate([np.arange(f, f + m) for f, m in zip(first[met], n[met], strict=True)]) if met.any() else np.empty(0, np.int64)
-                        cols = (block.grams(window)[at], at + start)
+                        cols = (block.grams(window)[at], at + start, grams[anchor[at]])
                     else:
                         cols = (grams[anchor[first]], pos, stretch, n)
                     for held, c in zip(out, cols):
@@ -137,12 +139,12 @@ def _stretches(docs: DataFrame, anchors: np.ndarray, occurrences: np.ndarray | N
             head, pos, *more = (np.concatenate(c) for c in out if c)
             ids, pos = pa.array(more[-1]), pa.array(pos.astype(np.int32))
             if chosen is not None:
-                yield pa.record_batch({"window": signed(head), "doc_id": ids, "pos": pos})
+                yield pa.record_batch({"window": signed(head), "seed": pa.array((more[0] >> np.uint64(32)).astype(np.uint32).view(np.int32)), "doc_id": ids, "pos": pos})
             else:
                 yield pa.record_batch({"anchor": signed(head), "stretch": signed(more[0]), "doc_id": ids, "pos": pos, "n": pa.array(more[1].astype(np.int32))})
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.transform(map_arrow, run, "window long, doc_id long, pos int" if occurrences is not None else "anchor long, stretch long, doc_id long, pos int, n int")
+    return rows.transform(map_arrow, run, "window long, seed int, doc_id long, pos int" if occurrences is not None else "anchor long, stretch long, doc_id long, pos int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -155,8 +157,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     many = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     several = first.join(many, "anchor", "left_semi").select("stretch", "first.*").select(F.expr(_OCCURRENCE).alias("key"))
     windows = durable(_stretches(docs, anchors, _bitmap(durable(several, "several")), window, gram), "windows")
-    earliest = windows.groupBy("window").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("window", "first")
-    single = windows.join(earliest, "window").where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", F.lit(1).alias("n"))
+    earliest = windows.groupBy("window", "seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("window", "seed", "first")
+    single = windows.join(earliest, ["window", "seed"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", F.lit(1).alias("n"))
     return later.union(single).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("runs"))
 
 
@@ -180,11 +182,6 @@ def _kept(words: list[bytes], runs: list | None, window: int) -> np.ndarray:
     return np.cumsum(edge)[: len(words)] == 0
 
 
-def _with_runs(docs: DataFrame, window: int) -> DataFrame:
-    found = repeated_windows(docs.select("doc_id", "text"), window).withColumnRenamed("doc_id", "_doc")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-
-
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
 
@@ -200,7 +197,7 @@ def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _with_runs(rows, window).select("doc_id", "text", "runs").transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.join(repeated_windows(rows, window), "doc_id", "left").select("doc_id", "text", "runs").transform(map_arrow, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -221,5 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return text.combine(runs, one)
 
     small_batches(docs.sparkSession)
-    joined = _with_runs(docs, window)
-    return joined.withColumn("text", F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut("text", "runs"))).select(*docs.columns)
+    found = repeated_windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), window)
+    joined = docs.select(packed(docs).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(found, "doc_id", "left")
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut("text", "runs"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))

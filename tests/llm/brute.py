@@ -139,3 +139,37 @@ def class_scores(texts: dict[int, str | None], train: set[int], class_of: dict[b
         ends = (len(train) + 0.5) / (size[end] + 0.5)
         out[d] = sum(math.log10(step(v, g)) for v, g in zip(p, p[1:])) + sum(math.log10(emit(w, cls(w))) for w in ws) + math.log10(ends)
     return out
+
+
+def statistics(text: str | None) -> dict[str, int]:
+    """Word by word and character by character."""
+    import re
+    from collections import Counter
+
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    three = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    again = {i + j for i in range(len(words) - 2) if three[tuple(words[i : i + 3])] > 1 for j in range(3)}
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for w in words for c in w), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(again),
+        "n_upper": sum("A" <= c <= "Z" for w in words for c in w), "n_marks": sum(c in "!?" for w in words for c in w), "n_digits": sum("0" <= c <= "9" for w in words for c in w), "n_distinct": len(set(words)),
+        "n_lines": text.count("\n") + 1 if text else 0, "n_stops": sum(c in ".,;:" for w in words for c in w),
+    }
+
+
+def judged(texts: dict[int, str | None], rules: list) -> set[int]:
+    """Ids of the texts that neither the base rule nor a rule of the list rejects; features spelled out."""
+    kept = set()
+    for d, t in texts.items():
+        s = statistics(t)
+        if s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]:
+            continue
+        per = lambda k, n: s[k] / max(1, s[n])
+        x = {
+            "n_words": float(s["n_words"]), "chars_per_word": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"), "dup_lines_per_line": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"),
+            "upper_share": per("n_upper", "word_chars"), "marks_per_word": per("n_marks", "n_words"), "digit_share": per("n_digits", "word_chars"), "distinct_share": per("n_distinct", "n_words"), "words_per_line": per("n_words", "n_lines"), "stops_per_word": per("n_stops", "n_words"),
+        }
+        if not any(all(x[f] <= cut if op == "<=" else x[f] > cut for f, op, cut in r.conditions) for r in rules):
+            kept.add(d)
+    return kept

@@ -202,12 +202,30 @@ def test_imatch_repeated_rows_and_ids(spark, monkeypatch):
     assert got == sorted(map(repr, want))
 
 
-def test_quality(spark, docs):
+def test_quality(spark, docs, real):
     labels = spark.createDataFrame([(1, 1), (9, 0), (None, 0), (3, None)], "doc_id long, quality int")
     out = {r.doc_id: r for r in decision_list.quality_report(docs, labels).collect()}
     assert out[4].base_failed and not out[4].kept and out[1].kept and out[9].n_repeat_words == 30_000 and out[10].n_symbols == 4
     assert decision_list.quality_report(docs.where("false"), labels.where("false")).count() == 0
     assert decision_list.keep_good(docs, labels).columns == docs.columns
+    twice = _null_ids(spark)
+    assert decision_list.quality_report(twice, labels).count() == 4 and decision_list.keep_good(twice, labels).count() == 4
+    own = spark.read.parquet(f"{SF}/labels.parquet")
+    rules = decision_list.learn_rules(real, own)
+    for d in (docs, real):
+        texts = {r.doc_id: r.text for r in d.collect()}
+        got = {r.doc_id: r for r in decision_list.judge(d.select("doc_id", "text"), rules).select("doc_id", "s.*", "base_failed", "kept").collect()}
+        for k, t in texts.items():
+            want = brute.statistics(t)
+            assert all(got[k][c] == v for c, v in want.items()), k
+        assert {k for k, r in got.items() if r.kept} == brute.judged(texts, rules)
+
+
+def test_sample_of_labels_is_the_same_with_ties(spark, real):
+    labels = spark.createDataFrame([(i % 40, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    a, b = (decision_list.labelled_features(real, x, 30).toPandas() for x in (labels, labels.repartition(7)))
+    cols = list(a.columns)
+    assert len(a) == 30 and a.sort_values(cols).reset_index(drop=True).equals(b.sort_values(cols).reset_index(drop=True))
 
 
 def test_decision_list_recovers_a_rule():
@@ -638,15 +656,87 @@ def test_sql_agrees(spark):
         assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall()), name
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = corpus_pipeline.quality(spark, docs, SF)
-    one = corpus_pipeline.near_duplicates(spark, good, SF)
-    texts = {r.doc_id: r.text for r in good.collect()}
-    assert {r.doc_id for r in one.collect()} == {d for d, (_, c) in brute.components(texts).items() if c == d}
-    cut = corpus_pipeline.passages(spark, one, SF)
-    left = brute.repeats({r.doc_id: r.text for r in one.collect()})
-    assert {r.doc_id for r in cut.collect()} == {d for d, (n, gone, _) in left.items() if n > gone}
-    assert cut.columns == docs.columns
+def _check_pieces(pieces, docs):
+    """Every id of every row of (doc_id, text) lies in one piece, and pieces fill their sequences without gaps."""
+    enc = packing.encoder()
+    want: Counter = Counter()
+    for d, t in docs:
+        want[d] += len(enc.ids(t or "")) + 1
+    got: Counter = Counter()
+    ids = {}
+    for d, t in docs:
+        ids.setdefault(d, np.append(enc.ids(t or ""), 1).astype("<u4"))
+    alike = {d for d in ids if sum(t is not None for x, t in docs if x == d) and len({t for x, t in docs if x == d}) == 1}
+    by: dict = {}
+    for p in pieces:
+        got[p.doc_id] += p.length
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        if p.doc_id in alike:
+            assert zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(ids[p.doc_id])
+    assert got == want
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0
+
+
+def test_pipeline(spark, monkeypatch):
+    """Every stage against a plain version on what the stage before it kept, and run() as their chain."""
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        monkeypatch.setattr(corpus_pipeline, name, stage)
+    stages = [(n, (lambda n, f: lambda s, d, sf: kept.setdefault(n, (d, f(s, d, sf)))[1])(n, f)) for n, f in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     pieces = corpus_pipeline.run(spark, SF).collect()
-    assert pieces and {p.doc_id for p in pieces} <= set(left)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = {r.doc_id: r.text for r in kept["quality"][0].collect()}
+    good = {r.doc_id: r.text for r in kept["near_duplicates"][0].collect()}
+    assert set(good) == brute.judged(docs, decision_list.learn_rules(kept["quality"][0], labels)) and len(good) < len(docs)
+    one = {r.doc_id: r.text for r in kept["passages"][0].collect()}
+    assert set(one) == {d for d, (_, c) in brute.components(good).items() if c == d}
+    cut = {r.doc_id: r.text for r in kept["mixture"][0].collect()}
+    left = brute.repeats(one)
+    assert set(cut) == {d for d, (n, gone, _) in left.items() if n > gone}
+    assert all(hashlib.sha256(b" ".join(t.encode().split())).hexdigest() == left[d][2] for d, t in cut.items())
+    mixed = [(r.doc_id, r.source, r.text) for r in kept["packed"][0].collect()]
+    counts = {r.doc_id: r.copies for r in mixing.mix_report(kept["mixture"][0]).collect()}
+    assert Counter(d for d, _, _ in mixed) == Counter({d: n for d, n in counts.items() if n}) and all(cut[d] == t for d, _, t in mixed)
+    _check_pieces(pieces, [(d, t) for d, _, t in mixed])
+    for name in ("near_duplicates", "passages", "mixture", "packed"):
+        assert kept[name][0].columns == kept["quality"][0].columns
+
+
+CLASHES = ("runs", "_doc", "copies", "_d", "_s", "_z", "row", "s", "cls", "n", "component_id", "size", "key", "place", "doc", "p", "extra", "source_size", "a.b")
+
+
+def test_pipeline_of_odd_tables(spark):
+    """Nulls in any column, empty, blank and very long texts, repeated rows, clashing names, an empty table."""
+    long = " ".join(f"v{i * 7919 % 9973}" for i in range(60_000))
+    words = [" ".join(f"w{i * k % 613}x" for i in range(1, 90)) for k in (5, 7, 11)]
+    rows = [(1, words[0], "s"), (2, words[0], None), (3, words[1], "s"), (3, words[1], "s"), (None, words[2], "t"), (None, words[2], "t"), (None, None, None), (4, None, "s"), (5, "", "s"), (6, " \n ", "t"), (7, long, "t"), (8, words[1] + " " + words[2], "s")]
+    d = spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in CLASHES}).repartition(4)
+    texts = lambda x: sorted(((r.doc_id or 0, (r.text or "")[:20]) for r in x.collect()))
+    good = corpus_pipeline.quality(spark, d, SF)
+    assert good.columns == d.columns and {i for i, _ in texts(good)} == {0, 1, 2, 3, 8} and len(texts(good)) == 7
+    one = corpus_pipeline.near_duplicates(spark, d, SF)
+    assert one.columns == d.columns and [i for i, _ in texts(one)] == [0, 0, 0, 1, 3, 3, 4, 5, 6, 7, 8]
+    cut = corpus_pipeline.passages(spark, d, SF)
+    assert cut.columns == d.columns and [i for i, _ in texts(cut)] == [0, 0, 0, 1, 3, 3, 4, 6, 7, 8]
+    assert {r.doc_id: r.text for r in cut.where("doc_id = 8").collect()} == {8: words[2]} and cut.where("doc_id IS NULL").where(F.col("text") == words[2]).count() == 2
+    mixed = corpus_pipeline.mixture(spark, d, SF)
+    assert mixed.columns == d.columns and mixed.count() == sum(r.copies for r in mixing.mix_report(d).collect())
+    _check_pieces(corpus_pipeline.packed(spark, d, SF).collect(), [(i, t) for i, t, _ in rows])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.where("false"), SF).count() == 0
+
+
+def test_no_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lathe.llm.common import shared_dir
+
+    sc = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k, v: v), getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc))
