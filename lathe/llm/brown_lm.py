@@ -134,24 +134,35 @@ class _Ids(dict):
 
 
 def encode(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """row, doc_id, held_out, ids (four bytes each, with the end), beyond (words that have only a bucket's id), written once."""
+    """row, doc_id, held_out, low, high, beyond (words that have only a bucket's id), written once.
+
+    Ids, with the end, are kept as their low two bytes and the one above, which is mostly zero and so takes no room.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon.words)
     n, end = len(lexicon.words), lexicon.end
+    if end >= 1 << 24:
+        raise ValueError("a lexicon has fewer than 2**24 words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Ids(zip(shared.value, range(n), strict=True))
         known.first_bucket = n
         for batch in slices(batches):
-            ids, beyond = [], []
+            low, high, beyond = [], [], []
             for text in utf8(batch.column(2)):
                 words = text.lower().split() if text else []
                 x = np.array([*map(known.__getitem__, words), end], np.uint32)
-                ids.append(x.tobytes())
+                low.append(x.astype(np.uint16).tobytes())
+                high.append((x >> 16).astype(np.uint8).tobytes())
                 beyond.append([words[i] for i in np.flatnonzero(x[:-1] >= n).tolist()])
-            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "ids": pa.array(ids, pa.binary()), "beyond": pa.array(beyond, pa.list_(pa.binary()))})
+            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "low": pa.array(low, pa.binary()), "high": pa.array(high, pa.binary()), "beyond": pa.array(beyond, pa.list_(pa.binary()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
-    return durable(rows.transform(map_arrow, run, "doc_id long, held_out boolean, ids binary, beyond array<binary>").withColumn("row", F.monotonically_increasing_id()), "encoded")
+    return durable(rows.transform(map_arrow, run, "doc_id long, held_out boolean, low binary, high binary, beyond array<binary>").withColumn("row", F.monotonically_increasing_id()), "encoded")
+
+
+def _ids(low: list[bytes], high: list[bytes]) -> np.ndarray:
+    """Ids of encoded texts, one after the other."""
+    return np.frombuffer(b"".join(low), np.uint16).astype(np.int64) + (np.frombuffer(b"".join(high), np.uint8).astype(np.int64) << 16)
 
 
 # --- exchange -------------------------------------------------------------------------
@@ -168,11 +179,13 @@ def _contexts(encoded: DataFrame, item_of: np.ndarray, items: int, class_of: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item, cls = shared.value
         partly, both = bool((item < 0).any()), np.zeros((2, blocks * BLOCK * width), np.int64)
-        held: list[bytes] = []
+        low: list[bytes] = []
+        high: list[bytes] = []
 
         def count() -> None:
-            x = np.frombuffer(b"".join(held), np.uint32)
-            held.clear()
+            x = _ids(low, high)
+            low.clear()
+            high.clear()
             c = cls[x]
             at = item[x].astype(np.int64)
             chosen = np.flatnonzero(at >= 0) if partly else slice(None)
@@ -182,19 +195,20 @@ def _contexts(encoded: DataFrame, item_of: np.ndarray, items: int, class_of: np.
 
         size = 0
         for batch in batches:
-            held += batch.column(0).to_pylist()
-            size += batch.column(0).nbytes
-            if size > 4 * CHUNK:
+            low += batch.column(0).to_pylist()
+            high += batch.column(1).to_pylist()
+            size += batch.column(1).nbytes
+            if size > CHUNK:
                 count()
                 size = 0
-        if held:
+        if low:
             count()
         both = both.reshape(2, blocks, BLOCK * width)
         for b in range(blocks):
             if both[:, b].any():
-                yield pa.record_batch({"block": pa.array([b], pa.int32()), "packed": pa.array([both[:, b].tobytes()], pa.binary())})
+                yield pa.record_batch({"block": pa.array([b], pa.int32()), "packed": pa.array([both[:, b].astype(np.int32).tobytes()], pa.binary())})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kind: type = np.int64) -> Iterator[pa.RecordBatch]:
         at, total = None, None
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -203,14 +217,14 @@ def _contexts(encoded: DataFrame, item_of: np.ndarray, items: int, class_of: np.
                     at = None
                 if at is None:
                     at, total = block, np.zeros(2 * BLOCK * width, np.int64)
-                total += np.frombuffer(packed, np.int64)
+                total += np.frombuffer(packed, kind)
         if at is not None:
             yield pa.record_batch({"block": pa.array([at], pa.int32()), "packed": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, packed binary"
-    parts = encoded.select("ids").transform(map_arrow, run, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FIRST_SUMS)))
+    parts = encoded.select("low", "high").transform(map_arrow, run, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FIRST_SUMS)))
     # A tree: the tasks' counts are summed in FIRST_SUMS groups, then these. Blocks stream by in order: a task holds one.
-    first = parts.repartition("block", "part").sortWithinPartitions("block").select("block", "packed").transform(map_arrow, add, schema)
+    first = parts.repartition("block", "part").sortWithinPartitions("block").select("block", "packed").transform(map_arrow, lambda b: add(b, np.int32), schema)
     return durable(first.repartition("block").sortWithinPartitions("block").transform(map_arrow, add, schema), "contexts")
 
 
@@ -310,20 +324,20 @@ def _beyond(encoded: DataFrame, lexicon: Lexicon, class_of: np.ndarray, width: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(width * width, np.int64)
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
+            x = _ids(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             beyond, code = _codes(x, shared.value, n, width)
             left, right = np.append(end_class, code[:-1]), np.append(code[1:], end_class)
             inside = ~beyond & (left < width)
             pairs += np.bincount(left[inside].astype(np.int64) * width + code[inside], minlength=len(pairs))
             at = np.flatnonzero(beyond)
-            words = batch.column(1).flatten()
+            words = batch.column(2).flatten()
             two = np.flatnonzero(np.diff(at) == 1)
             none = pa.nulls(len(two), pa.int32())
             yield pa.record_batch({"w1": words, "w2": pa.nulls(len(at), pa.binary()), "l": pa.array(left[at], pa.int32()), "r": pa.array(right[at], pa.int32()), "pairs": pa.nulls(len(at), pa.binary())})
             yield pa.record_batch({"w1": words.take(pa.array(two)), "w2": words.take(pa.array(two + 1)), "l": none, "r": none, "pairs": pa.nulls(len(two), pa.binary())})
         yield pa.record_batch({"w1": pa.nulls(1, pa.binary()), "w2": pa.nulls(1, pa.binary()), "l": pa.nulls(1, pa.int32()), "r": pa.nulls(1, pa.int32()), "pairs": pa.array([pairs.tobytes()], pa.binary())})
 
-    return durable(encoded.select("ids", "beyond").transform(map_arrow, run, "w1 binary, w2 binary, l int, r int, pairs binary"), "beyond")
+    return durable(encoded.select("low", "high", "beyond").transform(map_arrow, run, "w1 binary, w2 binary, l int, r int, pairs binary"), "beyond")
 
 
 def best_classes(before: np.ndarray, after: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -451,9 +465,8 @@ def score(encoded: DataFrame, model: BrownModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class_of, log_transition, log_emission, log_counts = shared.value
         for batch in batches:
-            packed = batch.column(3).to_pylist()
-            x = np.frombuffer(b"".join(packed), np.uint32)
-            size = np.array([len(p) // 4 for p in packed])
+            high = batch.column(4).to_pylist()
+            x, size = _ids(batch.column(3).to_pylist(), high), np.array([len(p) for p in high])
             starts = np.append(0, np.cumsum(size)[:-1])
             beyond, code = _codes(x, class_of, n, width)
             left, right = np.append(end_class, code[:-1]), np.append(code[1:], end_class)
@@ -461,7 +474,7 @@ def score(encoded: DataFrame, model: BrownModel) -> DataFrame:
             s = log_emission[x] + np.where(both, log_transition[np.minimum(left, end_class), np.minimum(code, end_class)], 0.0)
             rows, base = batch.column(0), np.add.reduceat(log_counts[x], starts) - floor * size
             known = size - 1 - np.add.reduceat(beyond.astype(np.int64), starts) + end_known
-            at, words = np.flatnonzero(beyond), batch.column(4).flatten()
+            at, words = np.flatnonzero(beyond), batch.column(5).flatten()
             of = rows.take(pa.array(np.searchsorted(starts, at, "right") - 1))
             two = np.flatnonzero(np.diff(at) == 1)
             blank = lambda m: {"doc_id": pa.nulls(m, pa.int64()), "held_out": pa.nulls(m, pa.bool_()), "n_tokens": pa.nulls(m, pa.int64()), "n_known": pa.nulls(m, pa.int64()), "base": pa.nulls(m, pa.float64()), "score": pa.nulls(m, pa.float64())}
@@ -472,7 +485,7 @@ def score(encoded: DataFrame, model: BrownModel) -> DataFrame:
             yield pa.record_batch({"row": of.take(pa.array(two))} | blank(len(two)) | near(len(two)) | {"w1": words.take(pa.array(two)), "w2": words.take(pa.array(two + 1))})
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, w1 binary, w2 binary, l int, r int"
-    parts = durable(encoded.select("row", "doc_id", "held_out", "ids", "beyond").transform(map_arrow, run, schema), "parts")
+    parts = durable(encoded.select("row", "doc_id", "held_out", "low", "high", "beyond").transform(map_arrow, run, schema), "parts")
     array = lambda x: F.lit(np.asarray(x))
     of_bucket = lambda word, values: F.element_at(array(values), _bucket_sql(word) + 1)
     flat = array(model.log_transition.ravel().astype(float))
