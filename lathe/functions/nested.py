@@ -53,3 +53,45 @@ def sorted_fields(value: Column, kind: DataType) -> Column:
 def canonical_json(value: Column, kind: DataType) -> Column:
     """JSON of a record with sorted keys; null fields are left out."""
     return F.to_json(sorted_fields(value, kind))
+
+
+def concat_map(items: Column, f) -> Column:
+    """The lists that ``f`` gives for each item, one after the other."""
+    return F.flatten(F.transform(items, f))
+
+
+def append(*lists: Column) -> Column:
+    """One list of all, in order; a null list is empty."""
+    return F.concat(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists))
+
+
+def join_with(items: Column, mark: str) -> Column:
+    """Texts joined by the mark; of an empty or null list, the empty text."""
+    return F.coalesce(F.array_join(items, mark), F.lit(""))
+
+
+def project(record: Column, *names: str) -> Column:
+    """The record with these fields only."""
+    return F.struct(*(record[n].alias(n) for n in names))
+
+
+def override(record: Column, **fields: Column) -> Column:
+    """The record with these fields instead of, or after, its own."""
+    for name, value in fields.items():
+        record = record.withField(name, value)
+    return record
+
+
+def to_map(record: Column, names: list[str]) -> Column:
+    """List of (mapKey, mapValue) of the fields, in the order given, values as text."""
+    return F.array(*(F.struct(F.lit(n).alias("mapKey"), record[n].cast("string").alias("mapValue")) for n in names))
+
+
+def any_of(items: Column, value: str) -> Column:
+    """The value if any item is it, else null: a default that renders as absent."""
+    return F.when(F.exists(items, lambda x: x == value), F.lit(value))
+
+
+def has_word(words: Column, word: Column) -> Column:
+    """Whether a list of words, separated by spaces, has the whole word."""
+    return F.array_contains(F.split(words, " "), word)

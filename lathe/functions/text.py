@@ -22,10 +22,16 @@ def digits_or_zero(s: Column) -> Column:
 
 
 def site(url: Column) -> Column:
-    """Authority without ``www.``, lower-cased; https is assumed; malformed or null is empty."""
+    """Authority without ``www.``, lower-cased; https is assumed; malformed or null is empty.
+
+    Credentials of an app, ``android://hash@package/`` or ``androidapp://package``, give ``app:package``.
+    """
+    url = strip(url)
     full = F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url))
     host = F.lower(F.coalesce(F.try_parse_url(full, F.lit("AUTHORITY")), F.lit("")))
-    return F.regexp_replace(host, r"^www\.", "")
+    package = F.lower(F.regexp_replace(F.regexp_replace(url, "^[^:]*://(?:[^@]*@)?", ""), "/+$", ""))
+    app = url.rlike("^android(app)?://")
+    return F.when(app, F.concat(F.lit("app:"), package)).otherwise(F.regexp_replace(host, r"^www\.", ""))
 
 
 def dispatch(tag: Column, arms: dict[str, Column]) -> Column:
@@ -74,3 +80,80 @@ def decode_text(data: Column) -> Column:
 def gib(n: Column) -> Column:
     """Bytes as GiB, two places, half to even."""
     return F.bround(n / (1 << 30), 2)
+
+
+def gib_to_bytes(n: Column) -> Column:
+    return n.cast("bigint") * (1 << 30)
+
+
+def percent_encoded(s: Column) -> Column:
+    """As in a query: a space is a plus; letters, digits and ``_.-~`` stay."""
+    return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def tag_value(line: Column) -> tuple[Column, Column]:
+    """Identifier and value of ``ID desc: value``; the value ends at a second ``: ``."""
+    return F.split(line, r"\s+", 2)[0], F.get(F.split(line, ": "), 1)
+
+
+def padded(value: Column, width: int) -> Column:
+    """Right-aligned and never cut."""
+    text = value.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+
+
+def utc_iso(ts: Column) -> Column:
+    """Seconds of UTC as 2024-05-06T07:08:09Z, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def date_path(day: Column) -> Column:
+    return F.date_format(day, "yyyy/MM/dd")
+
+
+def without_returns(s: Column) -> Column:
+    return F.replace(s, F.lit("\r"), F.lit(""))
+
+
+def quoted_names(names: Column) -> Column:
+    """Names in backticks, a backtick doubled, joined by commas."""
+    return F.array_join(F.transform(names, lambda n: F.concat(F.lit("`"), F.replace(n, F.lit("`"), F.lit("``")), F.lit("`"))), ",")
+
+
+def json_base64(doc: Column, path: str) -> Column:
+    """Text of the Base64 value at a JSON path; null where there is none."""
+    return F.decode(F.unbase64(F.get_json_object(doc, path)), "UTF-8")
+
+
+def first_field(line: Column) -> Column:
+    """What stands before the first white space, that in front left out."""
+    return F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+", 2)[0]
+
+
+def by_suffix(name: Column, arms: dict[str, Column], other: Column) -> Column:
+    """The value of the first suffix that the name, in lower case, ends in."""
+    for suffix, value in reversed(arms.items()):
+        other = F.when(F.lower(name).endswith(suffix), value).otherwise(other)
+    return other
+
+
+def digits_or_fail(s: Column, what: str) -> Column:
+    """The number; anything but digits is an error, as an unknown count must not pass for 0."""
+    return F.when(s.rlike("^[0-9]+$"), s.cast("bigint")).otherwise(F.raise_error(F.concat(F.lit(f"no {what}: "), F.coalesce(s, F.lit("null")))).cast("bigint"))
+
+
+#: Fixed value: characters of a message text at most.
+LONGEST_TEXT = 400
+
+
+def request_rules(request: Column) -> dict[str, Column]:
+    """Reasons to refuse a request, a JSON text of network, target, text and is_action."""
+    get = lambda k: F.get_json_object(request, f"$.{k}")
+    doc = F.try_parse_json(request)
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{k}", "variant")), F.lit("VOID"))
+    text, target, network = get("text"), get("target"), get("network")
+    return {
+        "no json": doc.isNull(), "missing": doc.isNotNull() & ((kind("text") == "VOID") | (kind("target") == "VOID") | (kind("network") == "VOID")),
+        "no text": ~kind("text").isin("STRING", "VOID"), "empty": text == "", "too long": F.length(text) > LONGEST_TEXT, "control": text.rlike(r"[\x00-\x1f\x7f]"),
+        "target": target.rlike("[, ]"), "network": F.contains(network, F.lit("/")), "action": ~kind("is_action").isin("BOOLEAN", "VOID"),
+    }

@@ -12,23 +12,32 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: list[str | Column
 
 
 def dedup_counters(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """One row: rows in, kept, exact repeats, and kept rows whose key has been seen with another value."""
-    first = keep_first(df, [*keys, value], [order])
-    seen = first.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    kept = seen.agg(F.count("*").alias("n_kept"), F.count_if(F.col("_n") > 1).alias("n_conflicts"))
-    return kept.join(df.agg(F.count("*").alias("n_in")), F.lit(True)).select("n_in", "n_kept", (F.col("n_in") - F.col("n_kept")).alias("n_exact"), "n_conflicts")
+    """One row: rows in, kept, exact repeats, kept rows whose key has been seen with another value, and kept rows without a value.
+
+    Values are trimmed first. Counted from the distinct (key, value), so a hot key is no hot task.
+    """
+    clean = df.select(*(F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))).alias(k) for k in [*keys, value]))
+    kept = clean.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    by_key = kept.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("kept"), F.count_if(F.col(value) == "").alias("blank"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = by_key.agg(zero(F.sum("n")).alias("n_in"), zero(F.sum("kept")).alias("n_kept"), zero(F.sum(F.col("kept") - 1)).alias("n_conflicts"), zero(F.sum("blank")).alias("n_blank"))
+    return out.select("n_in", "n_kept", (F.col("n_in") - F.col("n_kept")).alias("n_exact"), "n_conflicts", "n_blank")
 
 
 def duplicate_groups(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def survivor(df: DataFrame, group: list[str], best: list[Column], spread: str, limit: float) -> DataFrame:
-    """Each row's decision: ambiguous if the group's spread passes the limit, else keep the best, drop the rest."""
-    w = Window.partitionBy(*group)
-    wide = F.max(spread).over(w) - F.min(spread).over(w) > limit
-    rank = F.row_number().over(w.orderBy(*best))
-    return df.withColumn("decision", F.when(wide, "ambiguous").when(rank == 1, "keep").otherwise("quarantine"))
+def survivor(df: DataFrame, group: list[str], best: list[tuple[str, bool]], spread: str, limit: float) -> DataFrame:
+    """Each row's decision: ambiguous if the group's spread passes the limit, else keep the best, drop the rest.
+
+    ``best`` are numeric columns with whether the highest wins; together they must tell rows
+    apart. Aggregated and joined back, so a hot group leaves one row in each task.
+    """
+    key = F.struct(*((-F.col(c) if high else F.col(c)).alias(f"k{i}") for i, (c, high) in enumerate(best)))
+    by = df.groupBy(*group).agg((F.max(spread) - F.min(spread)).alias("_spread"), F.min(key).alias("_best"))
+    decision = F.when(F.col("_spread") > limit, "ambiguous").when(key == F.col("_best"), "keep").otherwise("quarantine")
+    return df.join(by, group).withColumn("decision", decision).drop("_spread", "_best")
 
 
 def anti_merge(new: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Paths: ancestors, and one spelling for directories that differ in case only."""
+"""Paths: ancestors, one spelling for directories that differ in case only, and a plan of moves."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.shared import durable
+
 
 def ancestors(path: Column) -> Column:
     """All proper directory prefixes of a/b/c: a and a/b; none for a bare name."""
@@ -19,21 +21,58 @@ def dir_counts(df: DataFrame, path: str) -> DataFrame:
     return df.select(F.explode(ancestors(F.col(path))).alias("dir")).groupBy("dir").agg(F.count("*").alias("n"))
 
 
-def canonical_dirs(df: DataFrame, path: str, max_depth: int = 64) -> DataFrame:
-    """(dir, canonical): level by level, the spelling with most files below wins under its canonical parent; ties go to the first in byte order."""
-    counts = dir_counts(df, path).withColumn("depth", F.size(F.split("dir", "/")))
-    deepest = min(max_depth, counts.agg(F.max("depth")).first()[0] or 0)
-    done = None
+def dirname(path: Column) -> Column:
+    """What stands before the last slash; of a bare name, nothing."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def basename(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def joined(directory: Column, name: Column) -> Column:
+    return F.when(directory == "", name).otherwise(F.concat(directory, F.lit("/"), name))
+
+
+def stem(path: Column) -> Column:
+    """The name without an extension of three characters and its point."""
+    return F.regexp_replace(basename(path), r"\.[^./]{3}$", "")
+
+
+def canonical_dirs(df: DataFrame, path: str) -> DataFrame:
+    """(dir, canonical): level by level, among directories of one canonical parent whose names differ in case only,
+    the name of the one with most files below wins; ties go to the first in byte order.
+
+    A level is written and meets only the one above, so a tree of any depth plans alike.
+    """
+    counts = durable(dir_counts(df, path).withColumn("depth", F.size(F.split("dir", "/"))), "dirs")
+    deepest = counts.agg(F.max("depth")).first()[0] or 0
+    done = above = df.sparkSession.createDataFrame([("", "")], "dir string, canonical string")
+    done = done.where("false")
     for depth in range(1, deepest + 1):
-        level = counts.where(F.col("depth") == depth).withColumn("name", F.substring_index("dir", "/", -1))
-        if done is None:
-            level = level.withColumn("parent", F.lit(""))
-        else:
-            up = done.select(F.col("dir").alias("_up"), F.col("canonical").alias("parent"))
-            level = level.withColumn("_up", F.expr("substr(dir, 1, length(dir) - length(name) - 1)")).join(up, "_up").drop("_up")
-        w = Window.partitionBy("parent", F.lower("name"))
-        best = F.first("name").over(w.orderBy(F.desc("total"), "name"))
-        level = level.withColumn("total", F.sum("n").over(Window.partitionBy("parent", "name"))).withColumn("winner", best)
-        level = level.select("dir", F.when(F.col("parent") == "", F.col("winner")).otherwise(F.concat_ws("/", "parent", "winner")).alias("canonical"))
-        done = level if done is None else done.union(level)
-    return done if done is not None else df.sparkSession.createDataFrame([], "dir string, canonical string")
+        level = counts.where(F.col("depth") == depth).select("dir", "n", basename(F.col("dir")).alias("name"), dirname(F.col("dir")).alias("up"))
+        level = level.join(above.select(F.col("dir").alias("up"), F.col("canonical").alias("parent")), "up")
+        best = level.groupBy("parent", F.lower("name").alias("key")).agg(F.min(F.struct((-F.col("n")).alias("few"), "dir", "name")).getField("name").alias("best"))
+        level = level.withColumn("key", F.lower("name")).join(best, ["parent", "key"]).select("dir", joined(F.col("parent"), F.col("best")).alias("canonical"))
+        above = durable(level, "level")
+        done = done.unionByName(above)
+    return done
+
+
+def plan_moves(files: DataFrame, limit: float = 10.0) -> DataFrame:
+    """path, target, decision of files (path, duration, bitrate, size), by canonical directory and name in any case.
+
+    A name of its own is kept or moved to its canonical directory. Of several, all are ambiguous
+    if their durations differ by more than ``limit``; else the one of highest bitrate, then size
+    (the first path of equal ones) is kept or moved, and the others are quarantined.
+    """
+    dirs = canonical_dirs(files, "path")
+    rows = files.select("path", "duration", "bitrate", "size", dirname(F.col("path")).alias("dir"), basename(F.col("path")).alias("name"))
+    rows = rows.join(dirs, "dir", "left").withColumn("canonical", F.coalesce("canonical", F.lit(""))).withColumn("key", F.lower("name"))
+    # Aggregated, not windowed: a group of any size leaves one row in each task.
+    best = F.min(F.struct((-F.col("bitrate")).alias("b"), (-F.col("size")).alias("s"), "path", "name"))
+    group = rows.groupBy("canonical", "key").agg((F.max("duration") - F.min("duration")).alias("spread"), best.alias("best"))
+    rows = rows.join(group, ["canonical", "key"]).withColumn("target", joined(F.col("canonical"), F.col("best.name")))
+    stays = F.when(F.col("path") == F.col("target"), "keep").otherwise("move")
+    decision = F.when(F.col("spread") > limit, "ambiguous").when(F.col("path") == F.col("best.path"), stays).otherwise("quarantine")
+    return rows.select("path", F.when(F.col("spread") > limit, F.col("path")).otherwise(F.col("target")).alias("target"), decision.alias("decision"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,30 @@ def first_two_alike(df: DataFrame, group: list[str], order: list, value: str) ->
     n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     two = df.select(*group, F.col(value).alias("_v"), n.alias("_n")).where("_n <= 2")
     return two.groupBy(*group).agg((F.min("_v") == F.max("_v")).alias("alike"), F.count("*").alias("_c")).where("_c = 2").drop("_c")
+
+
+def strict_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that fails where a row of ``left`` finds no partner, instead of losing it."""
+    found = left.join(right.withColumn("_found", F.lit(True)), keys, "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no partner for"), *keys)).cast("boolean")
+    return found.where(F.when(F.col("_found").isNull(), lost).otherwise(True)).drop("_found")
+
+
+def any_failed(df: DataFrame, failed: Column) -> DataFrame:
+    """One row: whether any row failed, how many did, and of how many; of no rows, none did."""
+    bad = F.coalesce(failed, F.lit(True))  # an unknown outcome is a failure
+    return df.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"), F.count_if(bad).alias("n_failed"), F.count("*").alias("n"))
+
+
+def reconciled(df: DataFrame, column: str, parts: list[str]) -> DataFrame:
+    """One row: how many rows each decision has, all rows, and whether the decisions make them up."""
+    counts = df.agg(*(F.count_if(F.col(column) == p).alias(f"n_{p}") for p in parts), F.count("*").alias("n_all"))
+    return counts.withColumn("ok", sum((F.col(f"n_{p}") for p in parts), F.lit(0)) == F.col("n_all"))
+
+
+def tree_verdicts(local: DataFrame, remote: DataFrame, by_content: bool = False) -> DataFrame:
+    """(path, size, hash) against the same: matching, differ or missing on the other side; by size, or by content."""
+    what = "hash" if by_content else "size"
+    other = remote.select("path", F.col(what).alias("_other"), F.lit(True).alias("_there"))
+    verdict = F.when(F.col("_there").isNull(), "missing").when(F.col(what).eqNullSafe(F.col("_other")), "matching").otherwise("differ")
+    return local.join(other, "path", "left").select("path", verdict.alias("verdict"))

@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lathe.functions import nested as N
 from lathe.functions import text as T
-from lathe.operators import bom, dedup, metrics, paths, reconcile
+from lathe.operators import bom, dedup, metrics, order, paths, reconcile
+from lathe.plans import records, reports, streams  # noqa: F401  they register their queries
+from lathe.plans.registry import TABLES, oracle_sql, queries, query  # noqa: F401
+from lathe.shared import shared_folder
 from lathe.streaming import tail
 from lathe.tables import load, timed_events
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 @query("""WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, value, row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY ts DESC, event_id DESC) AS n FROM events)
 SELECT event_type, day, round(max(CASE WHEN n = 1 THEN value END), 6) AS last, round(avg(value), 6) AS mean, round(max(value), 6) AS max, count(*) AS n FROM e GROUP BY ALL""")
 def series_last_mean_max(spark, d):
@@ -58,11 +36,12 @@ def keep_first_exact(spark, d):
     return dedup.keep_first(load(spark, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "lang", "source")
 
 
-@query("""WITH f AS (SELECT user_id, event_type, round(value) AS v, min(event_id) AS id, count(*) AS c FROM events GROUP BY ALL),
+@query("""WITH f AS (SELECT user_id, event_type, nullif(round(value), 7) AS v, min(event_id) AS id, count(*) AS c FROM events GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY id) AS n FROM f)
-SELECT CAST(sum(c) AS BIGINT) AS n_in, count(*) AS n_kept, CAST(sum(c) - count(*) AS BIGINT) AS n_exact, count(*) FILTER (n > 1) AS n_conflicts FROM s""")
+SELECT CAST(sum(c) AS BIGINT) AS n_in, count(*) AS n_kept, CAST(sum(c) - count(*) AS BIGINT) AS n_exact, count(*) FILTER (n > 1) AS n_conflicts, count(*) FILTER (v IS NULL) AS n_blank FROM s""")
 def dedup_counters(spark, d):
-    return dedup.dedup_counters(load(spark, d, "events").withColumn("v", F.round("value")), ["user_id", "event_type"], "v", "event_id")
+    """Values of 7 are blank."""
+    return dedup.dedup_counters(load(spark, d, "events").withColumn("v", F.nullif(F.round("value"), F.lit(7.0))), ["user_id", "event_type"], "v", "event_id")
 
 
 _CASED = "CASE WHEN doc_id % 2 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END"
@@ -86,7 +65,7 @@ def all_identical_hash(spark, d):
 @query("""SELECT p_partkey, p_brand, CASE WHEN max(p_retailprice) OVER w - min(p_retailprice) OVER w > 97 THEN 'ambiguous'
 WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_retailprice DESC, p_partkey) = 1 THEN 'keep' ELSE 'quarantine' END AS decision FROM part WINDOW w AS (PARTITION BY p_brand)""")
 def survivor_argmax(spark, d):
-    best = [F.desc("p_size"), F.desc("p_retailprice"), F.asc("p_partkey")]
+    best = [("p_size", True), ("p_retailprice", True), ("p_partkey", False)]
     return dedup.survivor(load(spark, d, "part"), ["p_brand"], best, "p_retailprice", 97).select("p_partkey", "p_brand", "decision")
 
 
@@ -101,9 +80,23 @@ def host_normalise(spark, d):
     return load(spark, d, "pages").select("page_id", T.site(F.col("url")).alias("site"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+_TRACK = "lower(lang) || '/' || CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || CASE doc_id % 3 WHEN 0 THEN '.mp3' WHEN 1 THEN '.ogg' ELSE '.flac' END"
+
+
+@query(f"WITH t AS (SELECT DISTINCT {_TRACK} AS path FROM documents) SELECT path FROM t WHERE path LIKE '%.mp3' AND regexp_replace(path, '[.][^./]{{3}}$', '') IN (SELECT regexp_replace(path, '[.](flac|ogg)$', '') FROM t WHERE path LIKE '%.flac' OR path LIKE '%.ogg')")
 def semi_sibling(spark, d):
-    return load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+    """Files of one format whose stem has a sibling of a better one."""
+    t = load(spark, d, "documents").select(F.expr(_TRACK).alias("path")).distinct()
+    better = t.where(F.col("path").rlike(r"\.(flac|ogg)$")).select(F.regexp_replace("path", r"\.(flac|ogg)$", "").alias("stem")).distinct()
+    mp3 = t.where(F.col("path").endswith(".mp3")).withColumn("stem", paths.joined(paths.dirname(F.col("path")), paths.stem(F.col("path"))))
+    return mp3.join(better, "stem", "left_semi").select("path")
+
+
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) IN (SELECT lower(upper(p_type)) FROM part UNION SELECT lower(o_orderpriority) FROM orders UNION SELECT 'building')")
+def open_windows(spark, d):
+    """Rows whose name is one of the open names, in any case."""
+    names = load(spark, d, "part").select(F.upper("p_type").alias("name")).union(load(spark, d, "orders").select("o_orderpriority")).union(spark.createDataFrame([("Building",)], "name string"))
+    return load(spark, d, "customer").withColumn("key", F.lower("c_mktsegment")).join(names.select(F.lower("name").alias("key")).distinct(), "key", "left_semi").select("c_custkey")
 
 
 @query("""WITH b AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), a AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linenumber >= 2 GROUP BY 1)
@@ -128,12 +121,13 @@ def size_compare_tally(spark, d):
     return reconcile.size_tally(load(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("size")), lines, "o_orderkey")
 
 
-@query("""SELECT n_name, r_name, CASE WHEN n_regionkey % 2 = 0 THEN 'open' ELSE 'blocked' END AS expect, CASE WHEN length(r_name) > 5 THEN 'open' ELSE 'blocked' END AS observed,
-CASE WHEN (n_regionkey % 2 = 0) = (length(r_name) > 5) THEN 'OK' ELSE 'MISMATCH' END AS verdict FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
+@query("""WITH seen AS (SELECT DISTINCT o_custkey FROM orders) SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'open' ELSE 'blocked' END AS expect, CASE WHEN o_custkey IS NOT NULL THEN 'open' ELSE 'blocked' END AS observed,
+CASE WHEN (c_nationkey % 2 = 0) = (o_custkey IS NOT NULL) THEN 'OK' ELSE 'MISMATCH' END AS verdict FROM customer LEFT JOIN seen ON c_custkey = o_custkey""")
 def expectation_check(spark, d):
+    """Customers of even nations are expected to have orders, those of odd ones not."""
     say = lambda c: F.when(c, "open").otherwise("blocked")
-    both = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    out = both.select("n_name", "r_name", say(F.col("n_regionkey") % 2 == 0).alias("expect"), say(F.length("r_name") > 5).alias("observed"))
+    seen = load(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("seen", F.lit(True))
+    out = load(spark, d, "customer").join(seen, "c_custkey", "left").select("c_custkey", say(F.col("c_nationkey") % 2 == 0).alias("expect"), say(F.col("seen").isNotNull()).alias("observed"))
     return out.withColumn("verdict", F.when(F.col("expect") == F.col("observed"), "OK").otherwise("MISMATCH"))
 
 
@@ -167,12 +161,6 @@ def irate_last_two(spark, d):
     return out.withColumn("rate", F.round("rate", 6))
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n_types, round(100 * (count(DISTINCT event_type) - avg(value) / 100) / count(DISTINCT event_type), 6) AS busy FROM events GROUP BY 1")
-def busy_percent(spark, d):
-    out = load(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n_types"), F.avg("value").alias("m"))
-    return out.select("user_id", "n_types", F.round(100 * (F.col("n_types") - F.col("m") / 100) / F.col("n_types"), 6).alias("busy"))
-
-
 @query("SELECT l_returnflag, round(100 - avg(l_discount) / avg(l_tax) * 100, 6) AS ratio FROM lineitem GROUP BY 1")
 def ratio_of_means(spark, d):
     return load(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(100 - F.avg("l_discount") / F.avg("l_tax") * 100, 6).alias("ratio"))
@@ -199,11 +187,51 @@ def dir_prefix_counts(spark, d):
     return paths.dir_counts(load(spark, d, "pages").select(F.expr(_PATH).alias("path")), "path")
 
 
-@query()
+_CASED_PATH = f"CASE WHEN page_id % 3 = 0 THEN upper({_PATH}) ELSE {_PATH} END"
+_CANONICAL = """WITH RECURSIVE p AS (SELECT {rows} string_split(%s, '/') AS l FROM pages), a AS (SELECT unnest(list_transform(range(1, len(l)), lambda i: l[1:i])) AS dir FROM p),
+c AS (SELECT array_to_string(dir, '/') AS dir, array_to_string(dir[:-2], '/') AS up, dir[-1] AS name, len(dir) AS depth, count(*) AS n FROM a GROUP BY ALL),
+t AS (SELECT '' AS dir, '' AS canonical, 0 AS depth UNION ALL
+SELECT c.dir, CASE WHEN t.canonical = '' THEN '' ELSE t.canonical || '/' END || first_value(c.name) OVER (PARTITION BY t.canonical, lower(c.name) ORDER BY c.n DESC, c.dir), c.depth FROM c JOIN t ON c.up = t.dir AND c.depth = t.depth + 1)""" % _CASED_PATH
+
+
+@query(f"{_CANONICAL.format(rows='')} SELECT dir, canonical FROM t WHERE depth > 0")
 def path_canonicalise(spark, d):
-    """Directories of page paths with every third host part upper-cased."""
-    path = F.when(F.col("page_id") % 3 == 0, F.upper(F.expr(_PATH))).otherwise(F.expr(_PATH))
-    return paths.canonical_dirs(load(spark, d, "pages").select(path.alias("path")), "path")
+    """Directories of page paths, every third path upper-cased."""
+    return paths.canonical_dirs(load(spark, d, "pages").select(F.expr(_CASED_PATH).alias("path")), "path")
+
+
+_FILES = f"SELECT DISTINCT {_CASED_PATH} AS path, page_id % 17 AS duration, page_id % 5 AS bitrate, length(html) AS size FROM pages"
+_MOVES = f"""{_CANONICAL.format(rows='DISTINCT')}, f AS (SELECT path, max(duration) AS duration, max(bitrate) AS bitrate, max(size) AS size FROM ({_FILES}) GROUP BY 1),
+g AS (SELECT f.*, coalesce(t.canonical, '') AS cd, split_part(path, '/', -1) AS name FROM f LEFT JOIN t ON t.dir = regexp_extract(path, '^(.*)/[^/]*$', 1)),
+w AS (SELECT *, max(duration) OVER k - min(duration) OVER k AS spread, first_value(name) OVER o AS best, first_value(path) OVER o AS best_path FROM g WINDOW k AS (PARTITION BY cd, lower(name)), o AS (PARTITION BY cd, lower(name) ORDER BY bitrate DESC, size DESC, path)),
+m AS (SELECT path, CASE WHEN spread > 10 THEN path WHEN cd = '' THEN best ELSE cd || '/' || best END AS target,
+CASE WHEN spread > 10 THEN 'ambiguous' WHEN path <> best_path THEN 'quarantine' WHEN path = CASE WHEN cd = '' THEN best ELSE cd || '/' || best END THEN 'keep' ELSE 'move' END AS decision FROM w)"""
+
+
+def _files(spark, d):
+    rows = load(spark, d, "pages").select(F.expr(_CASED_PATH).alias("path"), (F.col("page_id") % 17).alias("duration"), (F.col("page_id") % 5).alias("bitrate"), F.length("html").alias("size"))
+    return rows.groupBy("path").agg(*(F.max(c).alias(c) for c in ("duration", "bitrate", "size")))
+
+
+@query(f"{_MOVES} SELECT * FROM m")
+def tree_plan(spark, d):
+    """Keep, move, quarantine or ambiguous for every file of the page tree."""
+    return paths.plan_moves(_files(spark, d))
+
+
+@query(f"{_MOVES} SELECT count(*) FILTER (decision = 'keep') AS n_keep, count(*) FILTER (decision = 'move') AS n_move, count(*) FILTER (decision = 'quarantine') AS n_quarantine, count(*) FILTER (decision = 'ambiguous') AS n_ambiguous, count(*) AS n_all, true AS ok FROM m")
+def tree_invariant(spark, d):
+    return reconcile.reconciled(paths.plan_moves(_files(spark, d)), "decision", ["keep", "move", "quarantine", "ambiguous"])
+
+
+_MOVED = "SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS src, regexp_extract(target, '^(.*)/[^/]*$', 1) AS dst, count(*) AS n FROM m WHERE decision = 'move' GROUP BY 1, 2"
+
+
+@query(f"{_MOVES}, r AS ({_MOVED}) SELECT *, row_number() OVER (ORDER BY n DESC, src, dst) AS place FROM r")
+def move_report(spark, d):
+    """Moves by source and target directory, most first; ties in byte order."""
+    moved = paths.plan_moves(_files(spark, d)).where("decision = 'move'").groupBy(paths.dirname(F.col("path")).alias("src"), paths.dirname(F.col("target")).alias("dst")).agg(F.count("*").alias("n"))
+    return order.with_place(moved, F.desc("n"), F.asc("src"), F.asc("dst"))
 
 
 @query("""SELECT vec_id, len(embedding) AS n, list_bool_or(list_transform(embedding, lambda x: x > 0.2)) AS any_large, len(list_filter(embedding, lambda x: x > 0)) AS n_positive FROM embeddings""")
@@ -227,19 +255,6 @@ def union_dispatch(spark, d):
     return load(spark, d, "events").select("event_id", T.dispatch(tag, arms).alias("said"))
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations")
-def nested_record_round_trip(spark, d):
-    nested = load(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
-    return nested.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*")
-
-
-@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(text) > 400 THEN 'too long' END, CASE WHEN text = '' THEN 'empty' END, CASE WHEN regexp_matches(text, '[\\x00-\\x1f]') THEN 'control' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END], lambda x: x IS NOT NULL), ',') AS broken FROM conversations""")
-def validate_rules(spark, d):
-    t = F.col("text")
-    rules = {"too long": F.length(t) > 400, "empty": t == "", "control": t.rlike(r"[\x00-\x1f]"), "role": ~F.col("role").isin("user", "assistant")}
-    return load(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.broken_rules(rules), ",").alias("broken"))
-
-
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line_no, length(unnest(l)) AS n FROM l""")
 def line_numbers(spark, d):
     lines = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -259,7 +274,7 @@ def cursor_replay(spark, d):
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_dedupe(spark, d):
     events = load(spark, d, "events")
-    return tail.drain(spark, f"{d}/events.parquet*", events.schema, ["event_id"], "ts", "60 days").select("event_id", "user_id", "event_type")
+    return tail.drain(spark, f"{d}/events.parquet*", events.schema, ["event_id"], "ts").select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY THEN round(value * 2, 6) ELSE round(value, 6) END AS value FROM events")
@@ -271,11 +286,6 @@ def late_requery_upsert(spark, d):
     return tail.upsert_latest(e, again, ["event_id"], [F.desc("run")]).select("event_id", F.round("value", 6).alias("value"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def telemetry_explode(spark, d):
-    return load(spark, d, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
-
-
 @query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY md5(l_orderkey || '-' || l_linenumber), l_orderkey, l_linenumber LIMIT 100")
 def sample_hash_order(spark, d):
     turn = F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber"))
@@ -391,7 +401,7 @@ def deferred_line_lookup(spark, d):
 def partition_refresh(spark, d):
     """Only one partition answers; its rows replace it, and the others stay."""
     e = load(spark, d, "events").select("event_id", "event_type", "value")
-    path = tail.shared_folder(spark)
+    path = shared_folder(spark)
     tail.replace_partitions(e, path, "event_type")
     tail.replace_partitions(e.where("event_type = 'click'").withColumn("value", F.col("value") * 2), path, "event_type")
     return spark.read.parquet(path).select("event_id", "event_type", "value")

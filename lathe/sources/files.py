@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lathe.shared import durable
+
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Header CSV, every value text; quotes double, lines may run over."""
@@ -27,12 +29,42 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
 
 
+def scan_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path (relative), size and time of every file below a folder that any Hadoop file system holds; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length", "modificationTime")
+    base = root.rstrip("/").split("://")[-1] + "/"
+    return files.select(F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("stamp"))
+
+
+def numbered_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """file, line_no (from 1), raw of text files below a folder.
+
+    A file is cut into blocks; a line's number is its place in its block plus the lines of the
+    blocks before, so that a file of any size is never one row and a block never more than a split.
+    """
+    lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = durable(lines.withColumn("place", F.monotonically_increasing_id()), "lines")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    here = F.row_number().over(Window.partitionBy("file", "block").orderBy("place"))
+    return lines.join(blocks, ["file", "block"]).select("file", (here + F.col("before")).cast("int").alias("line_no"), "raw")
+
+
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """tag, file_date, target, line_no (from 1), raw of a tree <root>/tag/yyyy/mm/dd/target.log."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log").select("value", F.col("_metadata.file_path").alias("p"))
-    part = lambda i: F.regexp_extract("p", r"/([^/]+)/(\d{4}/\d{2}/\d{2})/([^/]+)\.log$", i)
-    lines = files.select(part(1).alias("tag"), F.to_date(part(2), "yyyy/MM/dd").alias("file_date"), part(3).alias("target"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("i", "raw"))
-    return lines.select("tag", "file_date", "target", (F.col("i") + 1).alias("line_no"), "raw")
+    part = lambda i: F.regexp_extract("file", r"/([^/]+)/(\d{4}/\d{2}/\d{2})/([^/]+)\.log$", i)
+    return numbered_lines(spark, root, "*.log").select(part(1).alias("tag"), F.to_date(part(2), "yyyy/MM/dd").alias("file_date"), part(3).alias("target"), "line_no", "raw")
+
+
+def write_documents(df: DataFrame, name: str, doc: str, path: str) -> None:
+    """One folder of documents by name; a null document is no file."""
+    df.where(F.col(doc).isNotNull()).select(F.col(name).alias("name"), F.col(doc).cast("string").alias("value")).write.partitionBy("name").text(path)
+
+
+def json_map(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row ``doc``: a JSON object of key and value, keys in order; a report-sized table."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    return df.agg(F.to_json(F.map_from_entries(pairs)).alias("doc"))
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:

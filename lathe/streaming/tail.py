@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lathe.shared import durable, shared_folder
+
 
 def after(events: DataFrame, seq: str, cursor: int) -> DataFrame:
     """Events past the cursor; a cursor ahead of the newest event replays them all."""
@@ -15,23 +14,23 @@ def after(events: DataFrame, seq: str, cursor: int) -> DataFrame:
     return events.join(F.broadcast(newest), F.lit(True)).where((F.col(seq) > cursor) | (F.lit(cursor) > F.col("_newest"))).drop("_newest")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lathe-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
-def drain(spark: SparkSession, path: str, schema, key: list[str], ts: str, delay: str = "2 days") -> DataFrame:
+def drain(spark: SparkSession, path: str, schema, key: list[str], ts: str, delay: str | None = None) -> DataFrame:
     """Run a file stream to its end: each key is stored once, however often it is delivered.
 
-    State is bounded by the watermark; files and checkpoint lie in the shared folder.
+    Without ``delay`` every key is remembered, nothing is lost, and state grows with the keys.
+    With one, state is bounded by the watermark, and rows later than that are dropped: Spark
+    counts them in the query's progress, and this raises an error if there are any. Files and
+    checkpoint lie in the shared folder.
     """
-    out = shared_folder(spark)
+    out = shared_folder(spark, "stream")
     rows = spark.readStream.schema(schema).parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
-    once = rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
+    once = rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key) if delay else rows.dropDuplicates(key)
     query = once.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    late = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} rows were later than {delay}")
+    return spark.read.schema(once.schema).parquet(f"{out}/data")
 
 
 def upsert_latest(stored: DataFrame, again: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -54,3 +53,47 @@ def with_line(events: DataFrame, log: DataFrame, keys: list[str], line: str) ->
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Overwrite only the partitions that the rows have; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def own_events(events: DataFrame, kind: str, sender: str, present_nick: Column) -> DataFrame:
+    """Adds ``is_own`` and ``nick``: what one has said oneself is attributed to the present nick, the rest to its sender."""
+    own = F.coalesce(F.col(kind).startswith("own_"), F.lit(False))
+    return events.withColumn("is_own", own).withColumn("nick", F.when(own, present_nick).otherwise(F.col(sender)))
+
+
+def first_request(body: Column, most: int = 8192) -> Column:
+    """The first line of what was sent; the rest is dropped, and a body beyond ``most`` bytes is refused as null."""
+    return F.when(F.octet_length(body) <= most, F.substring_index(body, "\n", 1))
+
+
+def changed_files(listing: DataFrame, state: DataFrame) -> DataFrame:
+    """Files (path, size, stamp) that the stored state lacks or has otherwise; ``listing`` is the next state."""
+    return listing.join(state.select("path", "size", "stamp"), ["path", "size", "stamp"], "left_anti")
+
+
+def import_changed(listing: DataFrame, state: str) -> DataFrame:
+    """Changed files since the state kept at a path, which then holds this listing; the first time, all."""
+    spark = listing.sparkSession
+    listing = durable(listing.select("path", "size", "stamp"), "listing")
+    try:
+        seen = spark.read.schema(listing.schema).parquet(state)
+        changed = durable(changed_files(listing, seen), "changed")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        changed = listing
+    listing.write.mode("overwrite").parquet(state)
+    return changed
+
+
+def batches_of(events: DataFrame, by: list[str], order: list[str], size: int = 50) -> DataFrame:
+    """(by, batch, body): events in batches of at most ``size``, each one JSON array in order."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    rest = [c for c in events.columns if c not in by]
+    rows = events.withColumn("batch", F.floor(n / size)).groupBy(*by, "batch").agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in rest if c not in order)))).alias("rows"))
+    return rows.select(*by, "batch", F.to_json("rows").alias("body"))
+
+
+def unbatched(batches: DataFrame, by: list[str], event: str) -> DataFrame:
+    """One row for each event of the bodies; ``event`` is its record type. A body that isn't an array gives none."""
+    return batches.select(*by, "batch", F.explode(F.from_json("body", f"array<struct<{event}>>")).alias("e")).select(*by, "batch", "e.*")

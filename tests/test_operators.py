@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions import nested as N
 from lathe.functions import text as T
-from lathe.operators import bom, dedup, metrics, paths, reconcile
+from lathe.operators import bom, dedup, metrics, order, paths, reconcile
 from lathe.sources import files
 from lathe.streaming import tail
 
@@ -13,13 +13,16 @@ from lathe.streaming import tail
 def test_keep_first_and_conflicts(spark):
     df = spark.createDataFrame([(1, "u", "a", "p"), (2, "u", "a", "p"), (3, "u", "a", "q"), (4, "v", None, "p")], "seq int, url string, user string, pw string")
     assert [r.seq for r in dedup.keep_first(df, ["url", "user"], ["seq"]).orderBy("seq").collect()] == [1, 4]
-    assert tuple(dedup.dedup_counters(df, ["url", "user"], "pw", "seq").first()) == (4, 3, 1, 1)
+    assert tuple(dedup.dedup_counters(df, ["url", "user"], "pw", "seq").first()) == (4, 3, 1, 1, 0)
+    more = spark.createDataFrame([(5, "u ", "a", "  "), (6, "w", "b", None), (7, "w", "b", "")], "seq int, url string, user string, pw string")
+    assert tuple(dedup.dedup_counters(df.union(more), ["url", "user"], "pw", "seq").first()) == (7, 5, 2, 2, 2)
+    assert tuple(dedup.dedup_counters(df.where("false"), ["url", "user"], "pw", "seq").first()) == (0, 0, 0, 0, 0)
     assert dedup.keep_first(df.where("false"), ["url"], ["seq"]).count() == 0
 
 
 def test_survivor_range_is_strict(spark):
     df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 10.0), ("b", 3, 0.0), ("b", 4, 10.0001), ("c", 5, 1.0), ("c", 6, 1.0)], "g string, id int, x double")
-    out = {r.id: r.decision for r in dedup.survivor(df, ["g"], [F.desc("x"), F.asc("id")], "x", 10.0).collect()}
+    out = {r.id: r.decision for r in dedup.survivor(df, ["g"], [("x", True), ("id", False)], "x", 10.0).collect()}
     assert out == {1: "quarantine", 2: "keep", 3: "ambiguous", 4: "ambiguous", 5: "keep", 6: "quarantine"}
 
 
@@ -45,8 +48,93 @@ def test_matches_whole_label(spark):
 def test_canonical_dirs(spark):
     df = spark.createDataFrame([("Music/Rock/a",), ("Music/rock/b",), ("music/rock/c",), ("Music/x",), ("top",)], "path string")
     out = {r.dir: r.canonical for r in paths.canonical_dirs(df, "path").collect()}
-    assert out == {"Music": "Music", "music": "Music", "Music/Rock": "Music/rock", "Music/rock": "Music/rock", "music/rock": "Music/rock"}
+    assert out == {"Music": "Music", "music": "Music", "Music/Rock": "Music/Rock", "Music/rock": "Music/Rock", "music/rock": "Music/Rock"}
     assert paths.canonical_dirs(df.where("path = 'top'"), "path").count() == 0
+    # The spelling of the directory with most files wins, not that of most directories; ties by byte order; deep trees plan alike.
+    ties = spark.createDataFrame([("a/x/1",), ("A/X/2",), ("A/X/3",), ("/".join("dD"[i % 2] for i in range(9)) + "/f",)], "path string")
+    out = {r.dir: r.canonical for r in paths.canonical_dirs(ties, "path").collect()}
+    assert out["a"] == "A" and out["a/x"] == "A/X" and out["d/D/d/D/d/D/d/D/d"] == "d/D/d/D/d/D/d/D/d"
+    assert len(paths.canonical_dirs(ties, "path")._jdf.queryExecution().toString()) < 100_000
+
+
+def test_plan_of_moves(spark):
+    rows = [("M/a.mp3", 10, 1, 5), ("m/A.mp3", 12, 2, 4), ("M/b.mp3", 0, 1, 1), ("m/b.mp3", 11, 1, 1), ("M/c.mp3", 1, 1, 1), ("m/d.mp3", 1, 1, 1), ("top", 1, 1, 1), ("M/e", 5, 3, 3), ("m/e", 5, 3, 3)]
+    plan = paths.plan_moves(spark.createDataFrame(rows, "path string, duration int, bitrate int, size int"))
+    assert {r.path: (r.target, r.decision) for r in plan.collect()} == {
+        "M/a.mp3": ("M/A.mp3", "quarantine"), "m/A.mp3": ("M/A.mp3", "move"), "M/b.mp3": ("M/b.mp3", "ambiguous"), "m/b.mp3": ("m/b.mp3", "ambiguous"), "M/c.mp3": ("M/c.mp3", "keep"),
+        "m/d.mp3": ("M/d.mp3", "move"), "top": ("top", "keep"), "M/e": ("M/e", "keep"), "m/e": ("M/e", "quarantine"),
+    }
+    assert tuple(reconcile.reconciled(plan, "decision", ["keep", "move"]).first()) == (3, 2, 9, False)
+    assert reconcile.reconciled(plan, "decision", ["keep", "move", "quarantine", "ambiguous"]).first().ok
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else "ab"[i % 2]) for i in range(50)], "i int, k string").repartition(7)
+    got = order.with_place(df, order.bytes_order("k"), F.asc("i")).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 51)) and [r.i for r in got] == [3] + [i for i in range(0, 50, 2)] + [i for i in range(1, 50, 2) if i != 3]
+    assert order.with_place(df.where("false"), F.asc("i")).count() == 0
+
+
+def test_strict_join_and_failures(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    assert reconcile.strict_join(a.where("k = 1"), b, ["k"]).collect()[0].v == "x"
+    with pytest.raises(Exception, match="no partner for 2"):
+        reconcile.strict_join(a, b, ["k"]).collect()
+    assert tuple(reconcile.any_failed(a, F.col("k") > 1).first()) == (True, 1, 2) and tuple(reconcile.any_failed(a.where("false"), F.col("k") > 1).first()) == (False, 0, 0)
+    assert reconcile.any_failed(a, F.lit(None).cast("boolean")).first().failed
+    twice = spark.createDataFrame([("h", 1.0), ("h", 2.0)], "host string, value double")
+    with pytest.raises(Exception, match="several series"):
+        metrics.vector_op(twice, twice, ["host"], lambda x, y: x / y).collect()
+
+
+def test_events(spark, tmp_path):
+    body = spark.createDataFrame([("one\ntwo",), ("x" * 9000,), ("ä" * 5000,), (None,)], "b string")
+    assert [r[0] for r in body.select(tail.first_request(F.col("b"))).collect()] == ["one", None, None, None]
+    e = spark.createDataFrame([("own_public", "friend"), ("public", "friend"), (None, "f")], "kind string, nick0 string")
+    assert [(r.is_own, r.nick) for r in tail.own_events(e, "kind", "nick0", F.lit("me")).collect()] == [(True, "me"), (False, "friend"), (False, "f")]
+    many = spark.range(120).select((F.col("id") % 2).alias("u"), "id")
+    batches = tail.batches_of(many, ["u"], ["id"])
+    assert sorted((r.u, r.batch) for r in batches.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)] and tail.unbatched(batches, ["u"], "id: bigint").count() == 120
+    files_ = spark.createDataFrame([("a", 1, "s"), ("b", 2, "t")], "path string, size long, stamp string")
+    state = f"{tmp_path}/state"
+    assert tail.import_changed(files_, state).count() == 2 and tail.import_changed(files_, state).count() == 0
+    assert [r.path for r in tail.import_changed(files_.withColumn("stamp", F.lit("t")), state).collect()] == ["a"]
+
+
+def test_late_rows_are_an_error(spark, tmp_path):
+    for i, day in enumerate(("2024-01-09", "2024-01-01")):
+        spark.createDataFrame([(i, day)], "id int, day string").select("id", F.to_timestamp("day").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    assert tail.drain(spark, f"{tmp_path}/in", schema, ["id"], "ts").count() == 2
+    assert tail.drain(spark, f"{tmp_path}/in", schema, ["id"], "ts", "30 days").count() == 2
+
+
+def test_tree_and_lines(spark, tmp_path):
+    (tmp_path / "t" / "deep dir").mkdir(parents=True)
+    (tmp_path / "t" / "a+b.txt").write_bytes(b"123")
+    (tmp_path / "t" / "deep dir" / "c.log").write_text("\n".join(f"line {i}" for i in range(1, 3001)))
+    assert sorted((r.path, r["size"]) for r in files.scan_tree(spark, f"{tmp_path}/t").collect())[0] == ("a+b.txt", 3)
+    assert [r.path for r in files.scan_tree(spark, f"{tmp_path}/t", "*.log").collect()] == ["deep dir/c.log"]
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = files.numbered_lines(spark, f"{tmp_path}/t", "*.log").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert sorted((r.line_no, r.raw) for r in lines) == [(i, f"line {i}") for i in range(1, 3001)]
+    docs = spark.createDataFrame([("x", "a: 1"), ("y", None)], "name string, doc string")
+    files.write_documents(docs, "name", "doc", f"{tmp_path}/docs")
+    assert [tuple(r) for r in spark.read.text(f"{tmp_path}/docs").collect()] == [("a: 1", "x")]
+
+
+def test_scalar_edges(spark):
+    one = spark.createDataFrame([("a b*~ä/?", "TIT2 desc: v: w", "plain", "12345678")], "q string, tag string, no string, n string")
+    row = one.select(T.percent_encoded(F.col("q")), *T.tag_value(F.col("tag")), T.tag_value(F.col("no"))[1], T.padded(F.col("n"), 4), T.padded(F.lit(7), 4), T.first_field(F.lit(" a\tb")), T.json_base64(F.lit("{}"), "$.a")).first()
+    assert tuple(row) == ("a+b%2A~%C3%A4%2F%3F", "TIT2", "v", None, "12345678", "   7", "a", None)
+    with pytest.raises(Exception, match="no count: 1x"):
+        spark.range(1).select(T.digits_or_fail(F.lit("1x"), "count")).collect()
+    sites = ["android://HASH==@com.Foo.bar/", "androidapp://com.foo", " WWW.x.org/a", ""]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in sites], "u string").select(T.site(F.col("u"))).collect()] == ["app:com.foo.bar", "app:com.foo", "x.org", ""]
 
 
 def test_text_functions(spark):
