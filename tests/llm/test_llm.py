@@ -44,6 +44,45 @@ def test_components(spark, docs, real):
     assert {r.doc_id for r in jaccard_join.keep_one_of_each(docs).collect()} == {1, 4, 5, 6, 7, 9, 10}  # 11 holds BASE twice: 56 of 64 shingles
 
 
+def test_components_of_random_near_copies(spark, monkeypatch):
+    """Texts with equal prefixes and sizes, chains, stars, and buckets of every kind, also with the exact steps alone."""
+    g = np.random.default_rng(7)
+    texts, i = {}, 0
+    for n in (6, 7, 12, 25, 60, 90):
+        for family in range(4):
+            base = [f"f{n}x{family}y{j}" for j in range(n)]
+            for _ in range(12):
+                t = list(base)
+                for _ in range(int(g.integers(0, 3))):
+                    t[int(g.integers(0, n))] = f"z{g.integers(0, 3)}"
+                if g.random() < 0.3:
+                    t = t[: n - int(g.integers(0, 3))]
+                texts[i] = " ".join(t)
+                i += 1
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute.components(texts)
+    for rounds, linear, probe in ((8, 16, 4_000_000), (0, 16, 4_000_000), (2, 0, 4_000_000), (2, 0, 10)):
+        monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+        monkeypatch.setattr(jaccard_join, "LINEAR", linear)
+        monkeypatch.setattr(jaccard_join, "MAX_PROBE", probe)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(d).collect()} == want
+
+
+def test_group_of_many_sets_with_one_prefix(spark):
+    """Sets that agree in size and in their coldest shingles, and differ in hot ones: one group of several classes."""
+    hot = [f"h{i}" for i in range(30)]
+    cold = [f"c{i}" for i in range(400)]
+    tail = lambda i: [hot[(i + j) % 30] for j in range(10)]
+    mine = {i: " ".join(cold + tail(i)) for i in range(24)}
+    # All that the 24 texts differ in is common elsewhere, so it comes last in the order.
+    filler = {1000 + 60 * i + k: " ".join(cold[-4:] + tail(i) + [f"u{i}v{k}w{j}" for j in range(20)]) for i in range(24) for k in range(60)}
+    texts = mine | filler
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = jaccard_join._signatures(d, 5, 80, jaccard_join._repeats(d, 5, 22)).where("doc_id < 1000")
+    assert signed.groupBy("gid").agg(F.count_distinct("k1").alias("c")).agg(F.max("c")).first()[0] > 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(d).collect()} == brute.components(texts)
+
+
 def test_repeats(spark, docs, real):
     for d, texts in ((docs, TEXTS), (real, {r.doc_id: r.text for r in real.collect()})):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removal_digest(d).collect()} == brute.repeats(texts)
