@@ -97,3 +97,16 @@ def batches_of(events: DataFrame, by: list[str], order: list[str], size: int = 5
 def unbatched(batches: DataFrame, by: list[str], event: str) -> DataFrame:
     """One row for each event of the bodies; ``event`` is its record type. A body that isn't an array gives none."""
     return batches.select(*by, "batch", F.explode(F.from_json("body", f"array<struct<{event}>>")).alias("e")).select(*by, "batch", "e.*")
+
+
+def poll(spark: SparkSession, path: str, schema, state: str) -> DataFrame:
+    """Rows of the files that have come since the last poll with this state folder; empty if none have.
+
+    The state is a stream's checkpoint, so no file is taken twice, and two polls can't overlap.
+    """
+    out = shared_folder(spark, "poll")
+    rows = spark.readStream.schema(schema).parquet(path)
+    query = rows.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    took = any(p["numInputRows"] for p in query.recentProgress)
+    return spark.read.schema(schema).parquet(out) if took else spark.createDataFrame([], schema)
