@@ -234,28 +234,32 @@ def _unpack(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _class_bigrams(contexts: DataFrame, classes: np.ndarray, width: int) -> np.ndarray:
-    """Counts of class pairs; from one small row for each block."""
+    """Counts of class pairs, from the blocks' counts of classes before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros((width, width), np.int64)
         for batch in batches:
-            out = []
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 before, _ = _unpack(packed, width)
                 own = classes[block * BLOCK : (block + 1) * BLOCK]
-                pairs = np.zeros((width, width), np.int64)
                 np.add.at(pairs.T, own, before[: len(own)])
-                out.append(pairs.tobytes())
-            yield pa.record_batch({"pairs": pa.array(out, pa.binary())})
+        yield pa.record_batch({"pairs": pa.array([pairs.tobytes()], pa.binary())})
 
     return _matrix(contexts.transform(map_arrow, run, "pairs binary"), width)
 
 
 def _matrix(rows: DataFrame, width: int) -> np.ndarray:
-    """Sum of the packed matrices of the column ``pairs``: one for each block or task."""
-    out = np.zeros((width, width), np.int64)
-    for (p,) in rows.select("pairs").toLocalIterator():
-        out += np.frombuffer(p, np.int64).reshape(width, width)
-    return out
+    """Sum of the packed matrices of the column ``pairs``, in FIRST_SUMS parts first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                total += np.frombuffer(packed, np.int64)
+        yield pa.record_batch({"pairs": pa.array([total.tobytes()], pa.binary())})
+
+    parts = rows.select("pairs").repartition(FIRST_SUMS).transform(map_arrow, add, "pairs binary").collect()
+    return sum((np.frombuffer(r.pairs, np.int64).reshape(width, width) for r in parts), np.zeros((width, width), np.int64))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -271,20 +275,26 @@ def likelihood(pairs: np.ndarray) -> float:
 def exchange_block(before: np.ndarray, after: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """New classes of a block's items, moved one after the other; the end's class is fixed."""
     n, own = pairs.astype(float), own.copy()
-    free = len(n) - 1
+    value, free = _xlogx(n), len(n) - 1
+
+    def add(c: int, le: np.ndarray, ri: np.ndarray) -> None:
+        n[c] += ri
+        n[:, c] += le
+        np.maximum(n, 0, out=n)
+        value[c], value[:, c] = _xlogx(n[c]), _xlogx(n[:, c])
+
     for i in np.argsort(-before.sum(axis=1), kind="stable"):
         le, ri = before[i].astype(float), after[i].astype(float)
         if own[i] == free or not le.sum():
             continue
-        n[own[i]] -= ri
-        n[:, own[i]] -= le
-        np.maximum(n, 0, out=n)
+        add(own[i], -le, -ri)
         rows, cols = n.sum(axis=1), n.sum(axis=0)
-        gain = (_xlogx(n + ri) - _xlogx(n)).sum(axis=1) + (_xlogx(n.T + le) - _xlogx(n.T)).sum(axis=1)
+        # Only classes beside the item change what the likelihood gains.
+        x, y = np.flatnonzero(ri), np.flatnonzero(le)
+        gain = (_xlogx(n[:, x] + ri[x]) - value[:, x]).sum(axis=1) + (_xlogx(n[y] + le[y, None]) - value[y]).sum(axis=0)
         gain -= _xlogx(rows + ri.sum()) - _xlogx(rows) + _xlogx(cols + le.sum()) - _xlogx(cols)
         own[i] = int(np.argmax(gain[:free]))
-        n[own[i]] += ri
-        n[:, own[i]] += le
+        add(own[i], le, ri)
     return own
 
 
@@ -301,7 +311,8 @@ def _exchange(contexts: DataFrame, classes: np.ndarray, pairs: np.ndarray) -> np
             yield pa.record_batch({"block": batch.column(0), "classes": pa.array(new, pa.binary())})
 
     out = classes.copy()
-    for block, own in contexts.repartition("block").transform(map_arrow, run, "block int, classes binary").collect():
+    tasks = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small blocks aren't put into one task
+    for block, own in contexts.repartition(tasks, "block").transform(map_arrow, run, "block int, classes binary").collect():
         own = np.frombuffer(own, np.int64)
         out[block * BLOCK : block * BLOCK + len(own)] = own
     return out
