@@ -206,9 +206,11 @@ def _contexts(encoded: DataFrame, item_of: np.ndarray, items: int, class_of: np.
         both = both.reshape(2, blocks, BLOCK * width)
         for b in range(blocks):
             if both[:, b].any():
-                yield pa.record_batch({"block": pa.array([b], pa.int32()), "packed": pa.array([both[:, b].astype(np.int32).tobytes()], pa.binary())})
+                # In as few bytes as the block's largest count needs; how many tells the length.
+                counts = both[:, b].astype(np.min_scalar_type(int(both[:, b].max())))
+                yield pa.record_batch({"block": pa.array([b], pa.int32()), "packed": pa.array([counts.tobytes()], pa.binary())})
 
-    def add(batches: Iterator[pa.RecordBatch], kind: type = np.int64) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -217,14 +219,14 @@ def _contexts(encoded: DataFrame, item_of: np.ndarray, items: int, class_of: np.
                     at = None
                 if at is None:
                     at, total = block, np.zeros(2 * BLOCK * width, np.int64)
-                total += np.frombuffer(packed, kind)
+                total += np.frombuffer(packed, f"u{len(packed) // len(total)}").astype(np.int64)
         if at is not None:
             yield pa.record_batch({"block": pa.array([at], pa.int32()), "packed": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, packed binary"
     parts = encoded.select("low", "high").transform(map_arrow, run, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FIRST_SUMS)))
     # A tree: the tasks' counts are summed in FIRST_SUMS groups, then these. Blocks stream by in order: a task holds one.
-    first = parts.repartition("block", "part").sortWithinPartitions("block").select("block", "packed").transform(map_arrow, lambda b: add(b, np.int32), schema)
+    first = parts.repartition("block", "part").sortWithinPartitions("block").select("block", "packed").transform(map_arrow, add, schema)
     return durable(first.repartition("block").sortWithinPartitions("block").transform(map_arrow, add, schema), "contexts")
 
 
