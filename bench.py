@@ -1,4 +1,4 @@
-"""Times the headline queries once each and prints one JSON line."""
+"""Times the headline queries once each and prints one JSON line; with --duckdb, the SQL of the same queries in DuckDB instead."""
 
 import json
 import os
@@ -11,16 +11,30 @@ from lathe.tables import session
 HEADLINE = ("series_last_mean_max", "irate_last_two", "topk_per_instant", "two_sided_verdict", "bom_rollup_total", "bom_scale_total", "survivor_argmax", "keep_first_exact", "multiset_diff", "stream_dedupe")
 
 
-def main() -> None:
-    sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), int(os.environ.get("BENCH_CPUS", "8"))
+def spark_runs(sf_dir: str, cpus: int):
     spark = session("bench", f"local[{cpus}]", cpus)
     spark.sparkContext.setLogLevel("ERROR")
+    return {name: lambda q=catalogue.queries()[name]: q(spark, sf_dir).write.format("noop").mode("overwrite").save() for name in HEADLINE}
+
+
+def duckdb_runs(sf_dir: str, cpus: int):
+    import duckdb
+
+    c = duckdb.connect(config={"threads": cpus})
+    for t in catalogue.TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return {name: lambda q=catalogue.oracle_sql()[name]: c.sql(q).fetchall() for name in HEADLINE}
+
+
+def main() -> None:
+    sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), int(os.environ.get("BENCH_CPUS", "8"))
+    duck = "--duckdb" in sys.argv
     times = {}
-    for name in HEADLINE:
+    for name, run in (duckdb_runs if duck else spark_runs)(sf_dir, cpus).items():
         began = time.time()
-        catalogue.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        run()
         times[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline queries, total" + (", DuckDB" if duck else ""), "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     sys.stdout.flush()
 
 
