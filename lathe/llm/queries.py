@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import brown_lm, decision_list, divergence, host_reputation, imatch, jaccard_join, license_rules, mixing, packing, substring_dedup, warc_derive
+from lathe.llm import brown_lm, decision_list, decontamination, divergence, host_reputation, imatch, jaccard_join, license_rules, mixing, packing, substring_dedup, warc_derive
 from lathe.llm.common import load
 
 #: Rules of the URL query.
@@ -62,8 +62,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_brown_lm, op2_host_reputation, op3_jaccard_join, op4_mixing, op5_license_rules, op6_warc_derive, op7_packing, op8_imatch, op9_substring_dedup, op10_decision_list, op12_divergence)
+    own = (op1_brown_lm, op2_host_reputation, op3_jaccard_join, op4_mixing, op5_license_rules, op6_warc_derive, op7_packing, op8_imatch, op9_substring_dedup, op10_decision_list, op12_divergence, op13_decontamination)
     return {f.__name__: f for f in own}
 
 
@@ -111,6 +115,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_host_reputation": _reputation_sql(),
         "op5_license_rules": license_rules.scan_sql(),
         "op12_divergence": divergence.audit_sql(),
+        "op13_decontamination": decontamination.contamination_sql(),
         "op9_substring_dedup": """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
 place AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),

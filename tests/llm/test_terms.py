@@ -1,9 +1,13 @@
 """The operators on terms and spellings: small tables of odd rows, and the test tables against plain versions."""
 
+import hashlib
+import re
+
 import duckdb
+import numpy as np
 import pytest
 
-from lathe.llm import divergence, queries
+from lathe.llm import decontamination, divergence, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,8 +49,89 @@ def test_sql_of_terms(spark):
     c = duckdb.connect()
     for t in ("documents", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    for name in ("op12_divergence",):
+    for name in ("op12_divergence", "op13_decontamination"):
         got = queries.queries()[name](spark, SF)
         want = c.sql(queries.oracle_sql()[name])
         assert got.columns == want.columns
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def _words(text):
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def _windows(items, k=10):
+    out = {}
+    for item, text in items:
+        w = _words(text)
+        for i in range(max(1, len(w) - k + 1) if w else 0):
+            out.setdefault(tuple(w[i : i + k]), set()).add(item)
+    return out
+
+
+def _contamination(docs, items):
+    windows, out = _windows(items), []
+    for doc, text in docs:
+        w, hit, named = _words(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if (x := tuple(w[i : i + n])) in windows:
+                    hit |= set(range(i, i + n))
+                    named |= {str(y) for y in windows[x] if y is not None}
+        out.append((doc, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def _proximity(docs, items, slop):
+    """By the docstring: each term at most ``slop`` from its place, seen from every posting of the rarest."""
+    windows, texts = _windows(items), [_words(t) for _, t in docs]
+    count = {}
+    for w in texts:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = set()
+    for x, named in windows.items():
+        off = min(range(len(x)), key=lambda i: (count.get(x[i], 0), i))
+        for (doc, _), w in zip(docs, texts, strict=True):
+            for at in [i for i, y in enumerate(w) if y == x[off]]:
+                if all(any(0 <= p < len(w) and w[p] == y for p in range(at - off + j - slop, at - off + j + slop + 1)) for j, y in enumerate(x)):
+                    out |= {(doc, str(n), at - off, len(x)) for n in named}
+    return out
+
+
+PASSAGE = " ".join(f"p{i}" for i in range(14))
+ITEMS = [(1, PASSAGE), (2, "Short one"), (3, None), (4, ""), (5, "--- !"), (6, PASSAGE.replace("p13", "q")), (7, "a a a a a a a a a a a"), (6, "word"), (8, "Short, ONE!"), (9, "École漢字 É")]
+TEXTS = [
+    (1, "x " + PASSAGE.upper() + "."), (2, PASSAGE[:30]), (3, None), (4, ""), (5, "short-one word short one"), (6, "a " * 12 + "b " + "a " * 9), (7, "École漢字-É"), (8, "école漢字 É"),
+    (9, "y " * 30_000 + PASSAGE + " " + PASSAGE), (1, "x " + PASSAGE), (None, PASSAGE), (10, PASSAGE.replace("p5", "p5 extra")), (11, PASSAGE.replace("p3 p4", "p4 p3")),
+]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 12])
+def test_contamination_of_odd_rows(spark, monkeypatch, most):
+    """Null and empty texts and items, short items, repeats within a window, repeated rows, long texts cut into pieces, several blocks of windows."""
+    monkeypatch.setattr(decontamination, "MAX_TERMS", most)
+    monkeypatch.setattr(decontamination, "PIECE", 1000)
+    docs = spark.createDataFrame([(i, t, "w", 1) for i, t in TEXTS], "doc_id long, text string, w string, start int").repartition(3)
+    items = spark.createDataFrame([(i, t, "d") for i, t in ITEMS], "item_id long, text string, doc string")
+    got = lambda d, i: sorted(map(tuple, decontamination.contamination(d, i).collect()), key=repr)
+    assert got(docs, items) == _contamination(TEXTS, ITEMS)
+    if most > 100:
+        assert got(docs, items.where("false")) == _contamination(TEXTS, [])
+        assert got(docs.where("false"), items) == []
+        assert got(docs, items.withColumn("item_id", items.item_id.cast("string").substr(9, 1))) == _contamination(TEXTS, [("", t) for _, t in ITEMS])
+        unnamed = got(docs, items.selectExpr("CAST(NULL AS LONG) AS item_id", "text"))
+        assert unnamed == _contamination(TEXTS, [(None, t) for _, t in ITEMS])
+
+
+@pytest.mark.parametrize("slop", [0, 1, 4])
+def test_matches_near_their_places(spark, slop):
+    g = np.random.default_rng(3)
+    texts = TEXTS[:-5] + [(20 + i, " ".join(f"p{x}" for x in g.permutation(14)[: g.integers(9, 15)])) for i in range(40)] + [(9, PASSAGE.replace("p7", "p7 z z"))] + TEXTS[-2:]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {tuple(r) for r in decontamination.proximity_matches(docs, items, slop=slop).collect()}
+    assert got == _proximity(texts, ITEMS, slop)
+    if not slop:
+        assert got == {tuple(r) for r in decontamination.phrase_matches(docs, items).collect()}
