@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import brown_lm, decision_list, decontamination, divergence, host_reputation, imatch, jaccard_join, license_rules, mixing, packing, substring_dedup, warc_derive
+from lathe.llm import brown_lm, decision_list, decontamination, divergence, host_reputation, imatch, jaccard_join, license_rules, mixing, packing, spelling_variants, substring_dedup, warc_derive
 from lathe.llm.common import load
 
 #: Rules of the URL query.
@@ -58,6 +58,10 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(load(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(load(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_brown_lm, op2_host_reputation, op3_jaccard_join, op4_mixing, op5_license_rules, op6_warc_derive, op7_packing, op8_imatch, op9_substring_dedup, op10_decision_list, op12_divergence, op13_decontamination)
+    own = (op1_brown_lm, op2_host_reputation, op3_jaccard_join, op4_mixing, op5_license_rules, op6_warc_derive, op7_packing, op8_imatch, op9_substring_dedup, op10_decision_list, op11_spelling_variants, op12_divergence, op13_decontamination)
     return {f.__name__: f for f in own}
 
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
-from lathe.llm import decontamination, divergence, queries
+from lathe.llm import decontamination, divergence, queries, spelling_variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,3 +137,88 @@ def test_matches_near_their_places(spark, slop):
     assert got == _proximity(texts, ITEMS, slop)
     if not slop:
         assert got == {tuple(r) for r in decontamination.phrase_matches(docs, items).collect()}
+
+
+def _counts(docs):
+    n = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    return {w: c for w, c in n.items() if len(w) >= 6 and c >= 5}
+
+
+def _variants(n):
+    """By patterns with one gap: equal patterns are exchanges, a pattern without its gap that is a word is an addition."""
+    gaps, near = {}, {w: set() for w in n}
+    for w in n:
+        for i in range(len(w)):
+            gaps.setdefault((i, w[:i], w[i + 1 :]), []).append(w)
+            if (shorter := w[:i] + w[i + 1 :]) in n:
+                near[w].add(shorter)
+                near[shorter].add(w)
+    for ws in gaps.values():
+        for w in ws:
+            near[w] |= set(ws) - {w}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda u: (-n[u], u), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n.get(form[w])) for w in n)
+
+
+def _sorted(rows):
+    return sorted(map(tuple, rows))
+
+
+def test_spelling_of_the_test_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = _counts([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = spelling_variants.spelling_variants(docs)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    got = _sorted(got.collect())
+    assert got == _variants(n)
+    assert any(r[1] for r in got) and max(r[4] for r in got) > 3
+
+
+def test_spelling_of_odd_rows(spark):
+    """Null texts and ids, repeated rows, runs of other letters around, capital letters beyond A-Z, a letter dropped at every place."""
+    runs = "garden gardén GARDEN GardeN Éclairs éclairs straße× naïveté12abcdef ﬁnance x_longword-longword".split()
+    rows = [(i % 7 if i % 5 else None, " ".join(runs * (i % 3 + 1))) for i in range(40)] + [(3, None), (4, ""), (None, None), (5, "garden " * 900)] * 2
+    rows += [(1000 + i, "variation variation") for i in range(600)]
+    docs = spark.createDataFrame([(*r, "w", 1, 2) for r in rows], "doc_id long, text string, word string, n int, place int").repartition(3)
+    got = _sorted(spelling_variants.word_counts(docs).collect())
+    assert got == sorted(_counts(rows).items())
+    assert _sorted(spelling_variants.spelling_variants(docs).collect()) == _variants(_counts(rows))
+    assert spelling_variants.spelling_variants(docs.where("false")).collect() == []
+
+
+def test_spelling_of_close_words(spark):
+    """Few letters, so that exchanges, additions, runs of one letter, anagrams and ties meet; chains of forms; long words."""
+    g = np.random.default_rng(5)
+    n = {"".join("abé"[x] for x in g.integers(0, 3, g.integers(1, 7))): int(5 ** g.integers(0, 6)) for _ in range(500)}
+    n |= {"x" * 30_000: 1, "x" * 29_999: 30, "x" * 15_000 + "y" + "x" * 14_999: 7, "alone": 4, "": 2} | {"chain"[: i + 1] + "zz": 10**i for i in range(5)}
+    counts = spark.createDataFrame(sorted(n.items()), "word string, n long")
+    assert _sorted(spelling_variants.variant_groups(counts).collect()) == _variants(n)
+
+
+def test_keys_shift_by_one_letter():
+    key, value = spelling_variants.anagram_key, lambda c: spelling_variants.letter_value(ord(c))
+    assert key("listen") == key("silent") != key("listed")
+    assert key("listed") - key("listen") == value("d") - value("n") and key("listens") - key("listen") == value("s")
+    assert len({value(chr(c)) for c in range(256)}) == 256
+
+
+@pytest.mark.parametrize("row, right", [((2, 1, 1, 1), True), ((2, 0, 0, 1), False), ((3, -1, 0, 1), True), ((3, -1, 2, 1), False)])
+def test_groups_are_compared_letter_by_letter(spark, row, right):
+    words = spark.createDataFrame([(1, "abc"), (2, "axc"), (3, "zabc")], "place long, word string")
+    rows = spark.createDataFrame([row], "place long, slot int, at int, base long")
+    if right:
+        return spelling_variants.verify_order(rows, words)
+    with pytest.raises(RuntimeError, match="equal hashes"):
+        spelling_variants.verify_order(rows, words)
