@@ -40,8 +40,9 @@ def _lower(text: Column) -> Column:
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term) with ``n`` matches and ``docs`` documents."""
     texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), _lower(F.col("text")).alias("text"))
-    found = texts.select("lang", "source", F.sort_array(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term")).where(F.size("term") > 0)
-    each = found.select("lang", "source", F.inline(F.arrays_zip("term", F.concat(F.array(F.lit("")), "term").alias("before")))).where("term IS NOT NULL")
+    found = texts.select("lang", "source", F.sort_array(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("term"))
+    # The outer form, as Spark would put a filter on the array before the plain one, and match every text again for it.
+    each = found.select("lang", "source", F.inline_outer(F.arrays_zip("term", F.concat(F.array(F.lit("")), "term").alias("before")))).where("term IS NOT NULL")
     return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum((F.col("term") != F.col("before")).cast("long")).alias("docs"))
 
 
