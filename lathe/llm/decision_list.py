@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import gram_hashes, packed, small_batches
+from lathe.llm.common import packed, small_batches
 
 #: Labelled rows that the list is learned from, at most.
 SAMPLE = 20_000
@@ -46,6 +46,15 @@ _STOPS = np.zeros(256, bool)
 _STOPS[list(b".,;:")] = True
 
 
+def _repeated_triples(words: list[bytes]) -> np.ndarray:
+    """Where runs of three words that occur twice or more begin; the words themselves are compared, as numbers by first use."""
+    numbers: dict[bytes, int] = {}
+    n = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    _, pairs = np.unique(n[:-1] * len(numbers) + n[1:], return_inverse=True)
+    _, where, count = np.unique(pairs[:-1] * len(numbers) + n[2:], return_inverse=True, return_counts=True)
+    return np.flatnonzero(count[where] > 1)
+
+
 def text_stats(text: bytes | None) -> tuple[int, ...]:
     """The values of STATS for one text."""
     words = text.split() if text else []
@@ -56,8 +65,7 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
     lines = [line for line in text.split(b"\n") if line.strip(b" \t\n\r\x0b\x0c")]
     repeated = 0
     if len(words) > 3:
-        _, where, count = np.unique(gram_hashes(words, 3), return_inverse=True, return_counts=True)
-        at = np.flatnonzero(count[where] > 1)
+        at = _repeated_triples(words)
         if len(at):
             covered = np.zeros(len(words), bool)
             for i in range(3):
