@@ -40,7 +40,10 @@ from lathe.llm.common import durable, map_arrow, small, utf8
 MAX_TERMS = 1_000_000
 
 #: Bytes of text cut into words at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
+
+#: Postings of an Arrow batch, at least; a piece of text adds some to it.
+BATCH = 1 << 15
 
 #: Ranks of a window's terms whose lists are intersected one after the other; the rest follow at once.
 FIRST_RANKS = (2, 3)
@@ -108,7 +111,7 @@ def build_index(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
                     at = np.flatnonzero(found >= 0)
                     out.append((found[at], np.full(len(at), doc, np.int64), (at + n).astype(np.int32)))
                     n, held = n + len(words), held + len(at)
-                    if held > PIECE:
+                    if held > BATCH:
                         yield postings(out)
                         out, held = [], 0
                 counts.append(n)
