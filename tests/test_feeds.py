@@ -54,4 +54,5 @@ def test_batch_that_failed_is_read_again(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="division"):
         query.awaitTermination()
     ring.publish(_events(spark, range(20, 25)), feed, "seq")
-    assert _run(spark, tmp_path) == (2, [(i, f"e{i}") for i in range(5, 25)])
+    assert _run(spark, tmp_path, after=4) == (1, [(i, f"e{i}") for i in range(5, 20)])
+    assert _run(spark, tmp_path, after=4) == (1, [(i, f"e{i}") for i in range(5, 25)])
