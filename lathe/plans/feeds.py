@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lathe.plans.registry import query
 from lathe.shared import shared_folder
 from lathe.sources import ring
+from lathe.streaming import settle
 from lathe.tables import load
 
 
@@ -51,3 +52,19 @@ def ring_now(spark, d):
     events = load(spark, d, "events").select("event_id", "event_type")
     held = ring.tail(spark, _feed(spark, events), events.schema, "event_id", ring=4000, stream=False)
     return held.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""WITH l AS (SELECT o_custkey, min(o_orderkey) FILTER (o_orderkey % 2 = 0) AS early, min(o_orderkey) AS any_ FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+SELECT c_custkey, c_mktsegment, coalesce(early, any_) AS line, any_ IS NOT NULL AS logged FROM customer LEFT JOIN l ON c_custkey = o_custkey""")
+def settled_lines(spark, d):
+    """Customers wait for their orders: some are there, some come a batch later, and the rest time out."""
+    base, files = shared_folder(spark, "settle"), 4
+    events = load(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    lines = load(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("line"))
+    events.repartition(files).write.parquet(f"{base}/events")
+    for late in (0, 1):  # the older files are the first batch
+        lines.where(F.col("line") % 2 == late).repartition(files).write.mode("append").parquet(f"{base}/lines")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{base}/{name}")
+    stream = settle.settled(read("events", events.schema), read("lines", lines.schema), ["c_custkey"], "line")
+    settle.run_until_settled(stream, f"{base}/out", f"{base}/state", 120)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -1,9 +1,12 @@
 """Streaming sources and stateful streams: cursors, rings, restarts, settling."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lathe.sources import ring
+from lathe.streaming import settle
 
 SCHEMA = "seq long, text string, at timestamp"
 
@@ -56,3 +59,34 @@ def test_batch_that_failed_is_read_again(spark, tmp_path, monkeypatch):
     ring.publish(_events(spark, range(20, 25)), feed, "seq")
     assert _run(spark, tmp_path, after=4) == (1, [(i, f"e{i}") for i in range(5, 20)])
     assert _run(spark, tmp_path, after=4) == (1, [(i, f"e{i}") for i in range(5, 25)])
+
+
+def test_events_settle_or_time_out(spark, tmp_path):
+    """A line before its event, with it, after it in time, after the deadline, and never; the least of several lines counts."""
+    base, schemas = f"file://{tmp_path}", {"events": "key string, event long", "lines": "key string, line long"}
+
+    def put(name, *rows):
+        spark.createDataFrame(rows, schemas[name]).coalesce(1).write.mode("append").parquet(f"{base}/{name}")
+
+    def stream():
+        read = lambda name: spark.readStream.schema(schemas[name]).parquet(f"{base}/{name}")
+        return settle.settled(read("events"), read("lines"), ["key"], "line", 6000)
+
+    put("lines", ("first", 7), ("both", 9), ("both", 8), ("unread", None))
+    put("events", ("both", 1), ("late", 2), ("late", 3), ("never", 4), (None, 5), ("unread", 6))
+    with settle.rocksdb(spark):
+        query = stream().writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(processingTime="100 milliseconds").start()
+        idle = settle.wait_until_idle(query, 0, 60)
+        put("lines", ("late", 30), ("late", 20))
+        put("events", ("first", 7))
+        settle.wait_until_idle(query, max(idle, time.time()), 60)
+        query.stop()  # state and timers are in the checkpoint
+    settle.run_until_settled(stream(), f"{base}/out", f"{base}/state", 6000)
+    put("lines", ("never", 1))
+    put("events", ("first", 8), ("never", 9))
+    settle.run_until_settled(stream(), f"{base}/out", f"{base}/state", 0)
+    got = {r.event: (r.key, r.line, r.logged) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {
+        1: ("both", 8, True), 2: ("late", 20, True), 3: ("late", 20, True), 4: ("never", None, False), 5: (None, None, False), 6: ("unread", None, False),
+        7: ("first", 7, True), 8: ("first", 7, True), 9: ("never", 1, True),
+    }
