@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lathe.plans.registry import query
 from lathe.shared import shared_folder
-from lathe.sources import ring
+from lathe.sources import paged, ring
 from lathe.streaming import settle
 from lathe.tables import load
 
@@ -68,3 +68,22 @@ def settled_lines(spark, d):
     stream = settle.settled(read("events", events.schema), read("lines", lines.schema), ["c_custkey"], "line")
     settle.run_until_settled(stream, f"{base}/out", f"{base}/state", 120)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def paged_scan(spark, d):
+    """A table behind pages: three of its fields, and the filter in the request."""
+    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority")
+    url = paged.store_pages(orders, shared_folder(spark, "pages"), F.asc("o_orderkey"), limit=200)
+    rows = paged.table_records(spark, url, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double", limit=200, pages=20)
+    return rows.where("o_orderstatus = 'F' AND o_totalprice > 100000").drop("o_orderstatus")
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS n, coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1""")
+def linked_scan(spark, d):
+    """The records linked with some parents, by one request for each batch of parents."""
+    lines = load(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("quantity"))
+    url = paged.store_links(lines.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", shared_folder(spark, "links"), 1000)
+    urgent = load(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    found = paged.linked_records(urgent, "o_orderkey", url, "quantity long", 1000)
+    return urgent.join(found, "o_orderkey", "left").groupBy("o_orderkey").agg(F.count("quantity").alias("n"), F.coalesce(F.sum("quantity"), F.lit(0)).cast("long").alias("quantity"))
