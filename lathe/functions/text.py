@@ -13,8 +13,9 @@ def ascii_lower(s: Column) -> Column:
 
 
 def strip(s: Column) -> Column:
-    """Trim all white space, not only spaces; null is empty."""
-    return F.regexp_replace(F.coalesce(s, F.lit("")), r"^\s+|\s+$", "")
+    """Trim all white space, that of Unicode and the four ASCII separators included; null is empty."""
+    space = r"[\s\x1C-\x1F\x85\p{Z}]+"
+    return F.regexp_replace(F.coalesce(s, F.lit("")), rf"\A{space}|{space}\z", "")
 
 
 def digits_or_zero(s: Column) -> Column:

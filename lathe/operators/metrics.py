@@ -31,6 +31,24 @@ def group_rates(rates: DataFrame, by: list[str]) -> DataFrame:
     return rates.where("rate IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.avg("rate").alias("mean"), F.sum("rate").alias("sum"))
 
 
+def count_groups(df: DataFrame, by: list[str], inner: list[str]) -> DataFrame:
+    """(by, value): how many groups of the labels ``inner`` there are in each group of ``by``."""
+    return df.select(*by, *inner).distinct().groupBy(*by).agg(F.count("*").cast("double").alias("value"))
+
+
+def mean_of_sums(rates: DataFrame, by: list[str], inner: list[str]) -> DataFrame:
+    """(by, value): the mean over the groups of ``inner`` of the sums of their rates; series without a rate are left out."""
+    sums = rates.where("rate IS NOT NULL").groupBy(*by, *inner).agg(F.sum("rate").alias("s"))
+    return sums.groupBy(*by).agg(F.avg("s").alias("value"))
+
+
+def busy_share(samples: DataFrame, rates: DataFrame, host: str, cpu: str, mode: str, idle: str) -> DataFrame:
+    """(host, value): (cpus - mean over modes of the summed idle rates) * 100 / cpus; cpus are counted from all samples."""
+    cpus = count_groups(samples, [host], [cpu])
+    rest = vector_op(cpus, mean_of_sums(rates.where(F.col(mode) == idle), [host], [mode]), [host], lambda n, s: (n - s) * 100)
+    return vector_op(rest, cpus, [host], lambda a, n: F.try_divide(a, n))
+
+
 def vector_op(left: DataFrame, right: DataFrame, labels: list[str], op) -> DataFrame:
     """op(left, right) of (labels, value) on identical label sets; one without a partner is dropped, two alike on a side are an error."""
     once = lambda df, name: df.groupBy(*labels).agg(F.when(F.count("*") > 1, F.raise_error(F.lit("several series have these labels")).cast("double")).otherwise(F.first("value")).alias(name))

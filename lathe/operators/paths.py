@@ -64,8 +64,10 @@ def plan_moves(files: DataFrame, limit: float = 10.0) -> DataFrame:
 
     A name of its own is kept or moved to its canonical directory. Of several, all are ambiguous
     if their durations differ by more than ``limit``; else the one of highest bitrate, then size
-    (the first path of equal ones) is kept or moved, and the others are quarantined.
+    (the first path of equal ones) is kept or moved, and the others are quarantined. A null path is ambiguous.
     """
+    unnamed = files.where("path IS NULL").select("path", F.lit(None).cast("string").alias("target"), F.lit("ambiguous").alias("decision"))
+    files = files.where("path IS NOT NULL")
     dirs = canonical_dirs(files, "path")
     rows = files.select("path", "duration", "bitrate", "size", dirname(F.col("path")).alias("dir"), basename(F.col("path")).alias("name"))
     rows = rows.join(dirs, "dir", "left").withColumn("canonical", F.coalesce("canonical", F.lit(""))).withColumn("key", F.lower("name"))
@@ -75,4 +77,4 @@ def plan_moves(files: DataFrame, limit: float = 10.0) -> DataFrame:
     rows = rows.join(group, ["canonical", "key"]).withColumn("target", joined(F.col("canonical"), F.col("best.name")))
     stays = F.when(F.col("path") == F.col("target"), "keep").otherwise("move")
     decision = F.when(F.col("spread") > limit, "ambiguous").when(F.col("path") == F.col("best.path"), stays).otherwise("quarantine")
-    return rows.select("path", F.when(F.col("spread") > limit, F.col("path")).otherwise(F.col("target")).alias("target"), decision.alias("decision"))
+    return rows.select("path", F.when(F.col("spread") > limit, F.col("path")).otherwise(F.col("target")).alias("target"), decision.alias("decision")).unionByName(unnamed)

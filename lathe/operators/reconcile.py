@@ -85,9 +85,10 @@ def any_failed(df: DataFrame, failed: Column) -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"), F.count_if(bad).alias("n_failed"), F.count("*").alias("n"))
 
 
-def reconciled(df: DataFrame, column: str, parts: list[str]) -> DataFrame:
-    """One row: how many rows each decision has, all rows, and whether the decisions make them up."""
-    counts = df.agg(*(F.count_if(F.col(column) == p).alias(f"n_{p}") for p in parts), F.count("*").alias("n_all"))
+def reconciled(df: DataFrame, column: str, parts: list[str], listing: DataFrame) -> DataFrame:
+    """One row: how many rows each decision has, the rows of the listing they were made for, and whether the decisions make those up."""
+    counts = df.agg(*(F.count_if(F.col(column) == p).alias(f"n_{p}") for p in parts))
+    counts = counts.join(F.broadcast(listing.agg(F.count("*").alias("n_all"))), F.lit(True))
     return counts.withColumn("ok", sum((F.col(f"n_{p}") for p in parts), F.lit(0)) == F.col("n_all"))
 
 

@@ -10,7 +10,7 @@ from lathe.functions import text as T
 from lathe.operators import bom, dedup, metrics, order, paths, reconcile
 from lathe.plans import feeds, formats, records, reports, servers, streams  # noqa: F401  they register their queries
 from lathe.plans.registry import TABLES, oracle_sql, queries, query  # noqa: F401
-from lathe.shared import shared_folder
+from lathe.shared import durable, shared_folder
 from lathe.streaming import tail
 from lathe.tables import load, timed_events
 
@@ -36,12 +36,14 @@ def keep_first_exact(spark, d):
     return dedup.keep_first(load(spark, d, "documents"), ["text"], ["doc_id"]).select("doc_id", "lang", "source")
 
 
-@query("""WITH f AS (SELECT user_id, event_type, nullif(round(value), 7) AS v, min(event_id) AS id, count(*) AS c FROM events GROUP BY ALL),
+@query("""WITH f AS (SELECT user_id, event_type, CASE WHEN round(value) = 7 THEN '' ELSE CAST(round(value) AS VARCHAR) END AS v, min(event_id) AS id, count(*) AS c FROM events GROUP BY ALL),
 s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY id) AS n FROM f)
-SELECT CAST(sum(c) AS BIGINT) AS n_in, count(*) AS n_kept, CAST(sum(c) - count(*) AS BIGINT) AS n_exact, count(*) FILTER (n > 1) AS n_conflicts, count(*) FILTER (v IS NULL) AS n_blank FROM s""")
+SELECT CAST(sum(c) AS BIGINT) AS n_in, count(*) AS n_kept, CAST(sum(c) - count(*) AS BIGINT) AS n_exact, count(*) FILTER (n > 1) AS n_conflicts, count(*) FILTER (v = '') AS n_blank FROM s""")
 def dedup_counters(spark, d):
-    """Values of 7 are blank."""
-    return dedup.dedup_counters(load(spark, d, "events").withColumn("v", F.nullif(F.round("value"), F.lit(7.0))), ["user_id", "event_type"], "v", "event_id")
+    """Values of 7 are blank; others come with white space of all kinds around them."""
+    around = F.element_at(F.array(*map(F.lit, ("", " ", "\t", "\n", "\u00a0"))), (F.col("event_id") % 5 + 1).cast("int"))
+    value = F.when(F.round("value") == 7, around).otherwise(F.concat(around, F.round("value").cast("string"), around))
+    return dedup.dedup_counters(load(spark, d, "events").withColumn("v", value), ["user_id", "event_type"], "v")
 
 
 _CASED = "CASE WHEN doc_id % 2 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END"
@@ -69,6 +71,17 @@ def survivor_argmax(spark, d):
     return dedup.survivor(load(spark, d, "part"), ["p_brand"], best, "p_retailprice", 97).select("p_partkey", "p_brand", "decision")
 
 
+@query("""WITH h AS (SELECT DISTINCT CASE WHEN page_id % 3 = 1 THEN '' ELSE regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\\.', '') END AS site, page_id % 4 AS u FROM pages WHERE page_id % 2 = 0),
+n AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)), '^www\\.', '') AS site, page_id % 5 AS u, page_id % 2 AS p FROM pages)
+SELECT page_id, EXISTS (SELECT 1 FROM h WHERE h.site = n.site AND h.u = n.u) OR row_number() OVER (PARTITION BY site, u, p, EXISTS (SELECT 1 FROM h WHERE h.site = n.site AND h.u = n.u) ORDER BY page_id) > 1 AS skipped FROM n""")
+def merge_logins(spark, d):
+    """An export merged into a vault whose items have several addresses: what is there, or came before, is skipped."""
+    p = load(spark, d, "pages")
+    vault = p.where("page_id % 2 = 0").select(F.when(F.col("page_id") % 3 == 1, F.array(F.lit(""))).otherwise(F.array("url", F.concat("url", F.lit("?again")))).alias("uris"), F.concat(F.lit(" U"), F.col("page_id") % 4).alias("username"))
+    new = p.select(F.col("page_id").alias("seq"), "url", F.concat(F.lit("u"), F.col("page_id") % 5, F.lit("\t")).alias("username"), F.concat(F.lit("p"), F.col("page_id") % 2, F.lit("\n")).alias("password"))
+    return dedup.merge_logins(vault, new).select(F.col("seq").alias("page_id"), "skipped")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def anti_merge(spark, d):
     present = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -219,9 +232,10 @@ def tree_plan(spark, d):
     return paths.plan_moves(_files(spark, d))
 
 
-@query(f"{_MOVES} SELECT count(*) FILTER (decision = 'keep') AS n_keep, count(*) FILTER (decision = 'move') AS n_move, count(*) FILTER (decision = 'quarantine') AS n_quarantine, count(*) FILTER (decision = 'ambiguous') AS n_ambiguous, count(*) AS n_all, true AS ok FROM m")
+@query(f"{_MOVES} SELECT count(*) FILTER (decision = 'keep') AS n_keep, count(*) FILTER (decision = 'move') AS n_move, count(*) FILTER (decision = 'quarantine') AS n_quarantine, count(*) FILTER (decision = 'ambiguous') AS n_ambiguous, (SELECT count(*) FROM f) AS n_all, count(*) FILTER (decision IN ('keep', 'move', 'quarantine', 'ambiguous')) = (SELECT count(*) FROM f) AS ok FROM m")
 def tree_invariant(spark, d):
-    return reconcile.reconciled(paths.plan_moves(_files(spark, d)), "decision", ["keep", "move", "quarantine", "ambiguous"])
+    files = durable(_files(spark, d), "files")
+    return reconcile.reconciled(paths.plan_moves(files), "decision", ["keep", "move", "quarantine", "ambiguous"], files)
 
 
 _MOVED = "SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS src, regexp_extract(target, '^(.*)/[^/]*$', 1) AS dst, count(*) AS n FROM m WHERE decision = 'move' GROUP BY 1, 2"

@@ -102,14 +102,19 @@ def rates_by_group(spark, d):
     return out.select("host", "event_type", "n", F.round("mean", 6).alias("mean"), F.round("sum", 6).alias("sum"))
 
 
-@query(f"WITH {_RATES}, a AS (SELECT host, avg(rate) AS v FROM r WHERE event_type = 'click' GROUP BY 1), b AS (SELECT host, sum(rate) AS v FROM r WHERE event_type IN ('click', 'view') GROUP BY 1) SELECT host, round(100 - a.v / nullif(b.v, 0) * 100, 6) AS busy FROM a JOIN b USING (host)")
+@query(f"""WITH {_RATES}, cpus AS (SELECT host, count(*) AS n FROM (SELECT user_id % 5 AS host, user_id FROM events GROUP BY ALL) GROUP BY 1),
+idle AS (SELECT host, avg(s) AS s FROM (SELECT host, event_type, sum(rate) AS s FROM r WHERE event_type = 'click' AND rate IS NOT NULL GROUP BY ALL) GROUP BY 1)
+SELECT host, round((n - s) * 100 / n, 6) AS busy FROM cpus JOIN idle USING (host)""")
 def busy_percent(spark, d):
-    """One hundred less the share of one rate in another, on identical label sets."""
-    rates = _rates(spark, d)
-    idle = metrics.group_rates(rates.where("event_type = 'click'"), ["host"]).select("host", F.col("mean").alias("value"))
-    every = metrics.group_rates(rates.where("event_type IN ('click', 'view')"), ["host"]).select("host", F.col("sum").alias("value"))
-    out = metrics.vector_op(idle, every, ["host"], lambda a, b: 100 - F.try_divide(a, b) * 100)
-    return out.select("host", F.round("value", 6).alias("busy"))
+    """Counted cpus less their summed idle rates, as a share of the cpus; users are cpus, clicks their idle mode."""
+    samples = load(spark, d, "events").select((F.col("user_id") % 5).alias("host"), "user_id")
+    return metrics.busy_share(samples, _rates(spark, d), "host", "user_id", "event_type", "click").select("host", F.round("value", 6).alias("busy"))
+
+
+@query(f"WITH {_RATES} SELECT host, round(avg(s), 6) AS mean FROM (SELECT host, event_type, sum(rate) AS s FROM r WHERE rate IS NOT NULL GROUP BY ALL) GROUP BY 1")
+def mean_of_sums(spark, d):
+    """Rates added up by two labels, then averaged over one of them."""
+    return metrics.mean_of_sums(_rates(spark, d), ["host"], ["event_type"]).select("host", F.round("value", 6).alias("mean"))
 
 
 @query("""WITH m AS (SELECT max(ts) AS newest FROM events) SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS at, count(*) AS n, round(avg(value), 6) AS mean FROM events, m WHERE ts >= newest - INTERVAL 6 HOUR GROUP BY ALL""")

@@ -13,17 +13,24 @@ from lathe.streaming import tail
 def test_keep_first_and_conflicts(spark):
     df = spark.createDataFrame([(1, "u", "a", "p"), (2, "u", "a", "p"), (3, "u", "a", "q"), (4, "v", None, "p")], "seq int, url string, user string, pw string")
     assert [r.seq for r in dedup.keep_first(df, ["url", "user"], ["seq"]).orderBy("seq").collect()] == [1, 4]
-    assert tuple(dedup.dedup_counters(df, ["url", "user"], "pw", "seq").first()) == (4, 3, 1, 1, 0)
+    assert tuple(dedup.dedup_counters(df, ["url", "user"], "pw").first()) == (4, 3, 1, 1, 0)
     more = spark.createDataFrame([(5, "u ", "a", "  "), (6, "w", "b", None), (7, "w", "b", "")], "seq int, url string, user string, pw string")
-    assert tuple(dedup.dedup_counters(df.union(more), ["url", "user"], "pw", "seq").first()) == (7, 5, 2, 2, 2)
-    assert tuple(dedup.dedup_counters(df.where("false"), ["url", "user"], "pw", "seq").first()) == (0, 0, 0, 0, 0)
+    assert tuple(dedup.dedup_counters(df.union(more), ["url", "user"], "pw").first()) == (7, 5, 2, 2, 2)
+    assert tuple(dedup.dedup_counters(df.where("false"), ["url", "user"], "pw").first()) == (0, 0, 0, 0, 0)
     assert dedup.keep_first(df.where("false"), ["url"], ["seq"]).count() == 0
+    spaces = spark.createDataFrame([("x", "u\t", "p"), ("x", "u", "p"), ("x", "u", "p\n"), ("\u2003x", "\x1cu", "\u00a0p")], "url string, user string, pw string")
+    assert tuple(dedup.dedup_counters(spaces, ["url", "user"], "pw").first()) == (4, 1, 3, 0, 0)
 
 
 def test_survivor_range_is_strict(spark):
     df = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 10.0), ("b", 3, 0.0), ("b", 4, 10.0001), ("c", 5, 1.0), ("c", 6, 1.0)], "g string, id int, x double")
     out = {r.id: r.decision for r in dedup.survivor(df, ["g"], [("x", True), ("id", False)], "x", 10.0).collect()}
     assert out == {1: "quarantine", 2: "keep", 3: "ambiguous", 4: "ambiguous", 5: "keep", 6: "quarantine"}
+    rows = [(None, 1, 3.0), (None, 2, 9.0), ("t", 3, 5.0), ("t", 4, 5.0), ("n", 5, None), ("n", 6, 1.0), ("e", 7, None)]
+    out = dedup.survivor(spark.createDataFrame(rows, "g string, id int, x double"), ["g"], [("x", True)], "x", 10.0, ["id"])
+    assert {r.id: r.decision for r in out.collect()} == {1: "quarantine", 2: "keep", 3: "keep", 4: "quarantine", 5: "quarantine", 6: "keep", 7: "keep"}
+    twice = dedup.survivor(spark.createDataFrame([("a", 1, 1.0)] * 3, "g string, id int, x double"), ["g"], [("x", True)], "x", 10.0)
+    assert sorted(r.decision for r in twice.collect()) == ["keep", "quarantine", "quarantine"]
 
 
 def test_count_verdicts(spark):
@@ -64,8 +71,13 @@ def test_plan_of_moves(spark):
         "M/a.mp3": ("M/A.mp3", "quarantine"), "m/A.mp3": ("M/A.mp3", "move"), "M/b.mp3": ("M/b.mp3", "ambiguous"), "m/b.mp3": ("m/b.mp3", "ambiguous"), "M/c.mp3": ("M/c.mp3", "keep"),
         "m/d.mp3": ("M/d.mp3", "move"), "top": ("top", "keep"), "M/e": ("M/e", "keep"), "m/e": ("M/e", "quarantine"),
     }
-    assert tuple(reconcile.reconciled(plan, "decision", ["keep", "move"]).first()) == (3, 2, 9, False)
-    assert reconcile.reconciled(plan, "decision", ["keep", "move", "quarantine", "ambiguous"]).first().ok
+    listing = spark.createDataFrame(rows, "path string, duration int, bitrate int, size int")
+    parts = ["keep", "move", "quarantine", "ambiguous"]
+    assert tuple(reconcile.reconciled(plan, "decision", ["keep", "move"], listing).first()) == (3, 2, 9, False)
+    assert reconcile.reconciled(plan, "decision", parts, listing).first().ok
+    assert not reconcile.reconciled(plan.where("path <> 'top'"), "decision", parts, listing).first().ok
+    more = listing.union(spark.createDataFrame([(None, 1, 1, 1)] * 2, listing.schema))
+    assert tuple(reconcile.reconciled(paths.plan_moves(more), "decision", parts, more).first()) == (3, 2, 2, 4, 11, True)
 
 
 def test_places(spark):
@@ -210,3 +222,18 @@ def test_more_sources(spark, tmp_path):
     ledger = spark.createDataFrame([("a", 3)], "table string, n long")
     files.write_ledger(ledger, f"{tmp_path}/l")
     assert [tuple(r) for r in files.read_ledger(spark, f"{tmp_path}/l").collect()] == [("a", 3)]
+
+
+def test_merge_of_logins(spark):
+    vault = spark.createDataFrame([(["https://www.A.com/x", "b.org"], " Me "), ([], "me"), ([None], None), (["http://c.net"], None)], "uris array<string>, username string")
+    rows = [(1, "a.com", "ME", "p"), (2, "https://b.org/login", "me", "p"), (3, "b.org", "you", "p"), (4, "www.b.org", "You\t", "p\n"), (5, "b.org", "you", "q"), (6, None, None, "p"), (7, "c.net", "", "x"), (8, "d.net", None, None), (9, "d.net", "", "")]
+    out = dedup.merge_logins(vault, spark.createDataFrame(rows, "seq int, url string, username string, password string"))
+    assert {r.seq for r in out.where("skipped").collect()} == {1, 2, 4, 6, 7, 9}
+    assert out.columns == ["seq", "url", "username", "password", "skipped"]
+
+
+def test_busy_share_counts_cpus(spark):
+    samples = spark.createDataFrame([("h", c, m) for c in (0, 1, 2) for m in ("idle", "user")] + [("lone", 0, "user")], "host string, cpu int, mode string")
+    rates = spark.createDataFrame([("h", 0, "idle", 0.5), ("h", 1, "idle", 0.25), ("h", 2, "idle", None), ("h", 0, "user", 0.1)], "host string, cpu int, mode string, rate double")
+    assert [tuple(r) for r in metrics.busy_share(samples, rates, "host", "cpu", "mode", "idle").collect()] == [("h", 75.0)]
+    assert {tuple(r) for r in metrics.count_groups(samples, ["host"], ["cpu"]).collect()} == {("h", 3.0), ("lone", 1.0)}
