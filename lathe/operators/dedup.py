@@ -55,8 +55,8 @@ def anti_merge(new: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame
 def merge_logins(present: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of ``new`` (seq, url, username, password, ...) that bring a login, with ``skipped`` for the rest.
 
-    ``present`` has items (uris, username): each of an item's addresses, or the empty one if it has none that
-    say anything, makes a pair of site and lower-cased name. A new row is skipped if its pair is present, or if
+    ``present`` has items (uris, username): each of an item's addresses makes a pair of site and lower-cased
+    name; an empty address has the empty site, an item without addresses makes none. A new row is skipped if its pair is present, or if
     an earlier row, by ``seq``, has its pair and password. Names and passwords are stripped.
     """
     name = lambda c: F.lower(strip(F.col(c)))

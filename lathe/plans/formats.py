@@ -62,26 +62,38 @@ def ledger_round_trip(spark, d):
     return files.read_ledger(spark, path)
 
 
-@query("SELECT 'lang-' || lang AS tag, count(*) AS n_lines, max(n) AS longest FROM (SELECT lang, unnest(list_transform(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: length(x))) AS n FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+@query("SELECT 'lang-' || coalesce(lang, '') AS tag, count(*) AS n_lines, max(n) AS longest FROM (SELECT lang, unnest(list_transform(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: length(x))) AS n FROM documents) GROUP BY 1")
 def log_tree(spark, d):
     """A tree of dated logs: physical lines, counted and numbered per file."""
     path = shared_folder(spark, "logs")
-    rows = load(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("lang-"), "lang").alias("tag"), F.replace("text", F.lit("\r"), F.lit(" ")).alias("value"))
-    for tag in ("de", "en", "es", "fr"):  # the languages of the table, a folder each
-        rows.where(F.col("tag") == f"lang-{tag}").select("value").write.text(f"{path}/lang-{tag}/2024/01/02")
-    lines = files.numbered_lines(spark, path).select(F.regexp_extract("file", r"/([^/]+)/2024/01/02/", 1).alias("tag"), "file", "line_no", F.length("raw").alias("n"))
+    rows = load(spark, d, "documents").select(F.concat(F.lit("lang-"), F.coalesce("lang", F.lit(""))).alias("tag"), F.replace("text", F.lit("\r"), F.lit(" ")).alias("value"))
+    rows.write.partitionBy("tag").text(path)
+    lines = files.numbered_lines(spark, path).select(F.regexp_extract("file", r"/tag=([^/]+)/", 1).alias("tag"), "file", "line_no", F.length("raw").alias("n"))
     # Numbers run from 1 without gaps: the highest ones add up to the lines.
     last = lines.groupBy("tag", "file").agg(F.max("line_no").alias("last"), F.max("n").alias("n"))
     return last.groupBy("tag").agg(F.sum("last").alias("n_lines"), F.max("n").cast("bigint").alias("longest"))
 
 
-@query("SELECT event_id AS id, event_type AS kind, CAST('2024-01-02 03:04:05' AS TIMESTAMP) AS at FROM events")
+@query("""SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d') AS day, CAST(row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d'), user_id % 10 ORDER BY event_id) AS INTEGER) AS line_no FROM events""")
+def dated_logs(spark, d):
+    """A tree of logs by tag, day and target: its tags, days and targets as columns, its physical lines numbered."""
+    path = shared_folder(spark, "dated")
+    e = load(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), F.concat(F.lit("u"), F.col("user_id") % 10).alias("target"), F.struct("event_id", "user_id").alias("order"), F.concat_ws(" ", "user_id", "event_id").alias("line"))
+    files.write_logs(e, "event_type", "day", "target", "line", "order", path)
+    rows = files.read_logs(spark, path, "*.txt")
+    part = lambda i: F.split("raw", " ").getItem(i).cast("long")
+    return rows.select(part(0).alias("user_id"), part(1).alias("event_id"), F.col("tag").alias("event_type"), F.col("file_date").cast("string").alias("day"), "line_no")
+
+
+@query("""SELECT event_id AS id, event_type AS kind, CAST('2024-01-02 03:04:05' AS TIMESTAMP) AS at, true AS intact FROM events WHERE user_id % 7 <> 3
+UNION ALL SELECT NULL, NULL, CAST('2024-01-02 03:04:05' AS TIMESTAMP), false FROM (SELECT DISTINCT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 50 FROM events WHERE user_id % 7 = 3)""")
 def telemetry_read(spark, d):
-    """Log lines that hold JSON arrays of events, fifty at most."""
+    """Log lines that hold JSON arrays of events; those of some users are cut, which shows."""
     path = shared_folder(spark, "telemetry")
     batches = tail.batches_of(load(spark, d, "events").select("user_id", F.col("event_id").alias("id"), F.col("event_type").alias("kind")), ["user_id"], ["id"])
-    files.write_lines(batches.select(F.concat(F.lit("x client-event at=2024-01-02T03:04:05Z batch="), "body").alias("line")), "line", path)
-    return files.read_telemetry(spark, path, "id: bigint, kind: string").select("id", "kind", F.col("at").cast("timestamp_ntz").alias("at"))
+    body = F.when(F.col("user_id") % 7 == 3, F.substring("body", F.lit(1), F.length("body") - 4)).otherwise(F.col("body"))
+    files.write_lines(batches.select(F.concat(F.lit("x client-event at=2024-01-02T03:04:05Z batch="), body).alias("line")), "line", path)
+    return files.read_telemetry(spark, path, "id: bigint, kind: string").select("id", "kind", F.col("at").cast("timestamp_ntz").alias("at"), "intact")
 
 
 @query("SELECT 'r' || r_regionkey AS name, r_name AS value FROM region WHERE r_regionkey <> 2")
@@ -101,12 +113,26 @@ def tree_scan(spark, d):
     return files.scan_tree(spark, path, "*.parquet").where("size > 0").groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'first' AS poll, count(*) AS n FROM events UNION ALL SELECT 'second', 0")
+@query("""SELECT 'first' AS poll, count(*) AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'unread', count(*) FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT 'quiet', count(*) FROM events WHERE event_id < 0 UNION ALL SELECT 'new', count(*) FROM events WHERE event_id % 2 = 1""")
 def polled_twice(spark, d):
-    """A second poll finds nothing new, which is an answer too."""
-    schema, state = load(spark, d, "events").schema, shared_folder(spark, "poll-state")
-    polls = [tail.poll(spark, f"{d}/events.parquet*", schema, state).agg(F.count("*").alias("n")).select(F.lit(name).alias("poll"), "n") for name in ("first", "second")]
-    return polls[0].union(polls[1])
+    """A poll that isn't acknowledged comes again; one that finds nothing new says so at its deadline; new rows alone come next."""
+    events, folder, state = load(spark, d, "events").select("event_id", "user_id"), shared_folder(spark, "polled"), shared_folder(spark, "poll-state")
+    out = []
+
+    def look(name, seen, wait_s=0.0):
+        rows, number = tail.poll(spark, folder, events.schema, state, wait_s)
+        out.append((name, rows.count()))
+        if seen:
+            tail.acknowledge(spark, state, number)
+
+    events.where("event_id % 2 = 0").write.parquet(folder)
+    look("first", False)
+    look("unread", True)
+    look("quiet", True, 0.5)
+    events.where("event_id % 2 = 1").write.mode("append").parquet(folder)
+    look("new", True, 5)
+    return spark.createDataFrame(out, "poll string, n long")
 
 
 @query("""SELECT c_custkey, c_mktsegment AS stripped, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS digits, CASE WHEN c_custkey % 3 = 0 THEN 'none' ELSE c_mktsegment END AS filled, c_mktsegment || ' äß€' AS decoded,

@@ -37,6 +37,21 @@ def changed_import(spark, d):
     """Of a second listing, only files that are new or changed since the first are imported."""
     listing = load(spark, d, "pages").select(F.col("page_id").alias("path"), F.length("html").alias("size"), F.md5("html").alias("stamp"))
     state = shared_folder(spark, "state")
-    tail.import_changed(listing.where("path % 4 <> 1"), state)
+    tail.import_changed(listing.where("path % 4 <> 1"), state, lambda changed: None)
     again = listing.withColumn("stamp", F.when(F.col("path") % 10 == 3, F.lit("new")).otherwise(F.col("stamp")))
-    return tail.import_changed(again, state).select("path")
+    out = shared_folder(spark, "imported")
+    tail.import_changed(again, state, lambda changed: changed.select("path").write.parquet(out))
+    return spark.read.schema("path long").parquet(out)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS run, CASE WHEN event_id % 3 = 0 THEN 30 WHEN event_id % 2 = 0 THEN 20 ELSE 10 END * event_id AS value FROM events")
+def repeated_requery(spark, d):
+    """Three runs that read overlapping rows again, as batches of a stream; the newest reading of each row stays."""
+    base, files = shared_folder(spark, "requery"), 4
+    events = load(spark, d, "events").select("event_id")
+    for run, rows in enumerate((events, events.where("event_id % 2 = 0"), events.where("event_id % 3 = 0"))):
+        rows.select("event_id", F.lit(run).alias("run"), (F.col("event_id") * (10 * run + 10)).alias("value")).repartition(files).write.mode("append").parquet(f"{base}/in")
+    schema = "event_id long, run int, value long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
+    tail.upsert_stream(stream, ["event_id"], [F.desc("run")], f"{base}/table", f"{base}/state")
+    return tail.upserted(spark, f"{base}/table", schema)

@@ -50,10 +50,20 @@ def numbered_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
     return lines.join(blocks, ["file", "block"]).select("file", (here + F.col("before")).cast("int").alias("line_no"), "raw")
 
 
-def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """tag, file_date, target, line_no (from 1), raw of a tree <root>/tag/yyyy/mm/dd/target.log."""
-    part = lambda i: F.regexp_extract("file", r"/([^/]+)/(\d{4}/\d{2}/\d{2})/([^/]+)\.log$", i)
-    return numbered_lines(spark, root, "*.log").select(part(1).alias("tag"), F.to_date(part(2), "yyyy/MM/dd").alias("file_date"), part(3).alias("target"), "line_no", "raw")
+def write_logs(df: DataFrame, tag: str, day: str, target: str, line: str, order: str, root: str) -> None:
+    """A tree <root>/tag=/year=/month=/day=/target= with one file of lines, in order, for each tag, day (a date) and target."""
+    part = lambda name, form: F.date_format(day, form).alias(name)
+    by = ["tag", "year", "month", "day", "target"]
+    rows = df.select(F.col(tag).alias("tag"), part("year", "yyyy"), part("month", "MM"), part("day", "dd"), F.col(target).alias("target"), F.col(line).alias("value"), F.col(order).alias("_o"))
+    rows.repartition(*by).sortWithinPartitions(*by, "_o").drop("_o").write.partitionBy(*by).text(root)
+
+
+def read_logs(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
+    """tag, file_date, target, line_no (from 1), raw of a tree <root>/tag/yyyy/mm/dd/target.log, or of one that ``write_logs`` has made (``*.txt``)."""
+    tree = r"/(?:tag=)?([^/]+)/(?:year=)?(\d{4})/(?:month=)?(\d{2})/(?:day=)?(\d{2})/(?:target=([^/]+)/[^/]+|([^/]+)\.log)$"
+    part = lambda i: F.regexp_extract("file", tree, i)
+    day = F.to_date(F.concat_ws("-", part(2), part(3), part(4)), "yyyy-MM-dd")
+    return numbered_lines(spark, root, glob).select(part(1).alias("tag"), day.alias("file_date"), F.concat(part(5), part(6)).alias("target"), "line_no", "raw")
 
 
 def write_documents(df: DataFrame, name: str, doc: str, path: str) -> None:
@@ -92,7 +102,15 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_telemetry(spark: SparkSession, path: str, event: str) -> DataFrame:
-    """(at, one row an event) of lines ``client-event at=<time> batch=<JSON array>``; ``event`` is its record type."""
+    """(at, one row an event, intact, raw) of lines ``client-event at=<time> batch=<JSON array>``; ``event`` is its record type.
+
+    A line whose body is cut or no JSON array of records is a row without an event, ``intact`` false and the body in ``raw``;
+    an empty array gives no row.
+    """
     part = lambda i: F.regexp_extract("value", r"client-event at=(\S+) batch=(.*)$", i)
     lines = spark.read.text(path).where(F.col("value").contains("client-event at="))
-    return lines.select(F.try_to_timestamp(part(1)).alias("at"), F.explode(F.from_json(part(2), f"array<struct<{event}>>")).alias("e")).select("at", "e.*")
+    whole = part(2).rlike(r"^\s*\[") & F.try_parse_json(part(2)).isNotNull()
+    body = F.when(whole, F.from_json(part(2), f"array<struct<{event}>>"))
+    rows = lines.select(F.try_to_timestamp(part(1)).alias("at"), part(2).alias("raw"), body.alias("body")).where("body IS NULL OR size(body) > 0")
+    rows = rows.select("at", F.explode_outer("body").alias("e"), F.col("body").isNotNull().alias("intact"), "raw")
+    return rows.select("at", "e.*", "intact", F.when(~F.col("intact"), F.col("raw")).alias("raw"))

@@ -1,5 +1,7 @@
 """Ties, nulls, repeats and empty inputs of the library's operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,8 +111,62 @@ def test_events(spark, tmp_path):
     assert sorted((r.u, r.batch) for r in batches.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)] and tail.unbatched(batches, ["u"], "id: bigint").count() == 120
     files_ = spark.createDataFrame([("a", 1, "s"), ("b", 2, "t")], "path string, size long, stamp string")
     state = f"{tmp_path}/state"
-    assert tail.import_changed(files_, state).count() == 2 and tail.import_changed(files_, state).count() == 0
-    assert [r.path for r in tail.import_changed(files_.withColumn("stamp", F.lit("t")), state).collect()] == ["a"]
+    got = []
+    take = lambda changed: got.append(sorted(r.path for r in changed.collect()))
+    with pytest.raises(ZeroDivisionError):  # the import fails, so the state stays
+        tail.import_changed(files_, state, lambda changed: 1 / 0)
+    for listing in (files_, files_, files_.withColumn("stamp", F.lit("t"))):
+        tail.import_changed(listing, state, take)
+    assert got == [["a", "b"], [], ["a"]]
+
+
+def test_import_that_dies_after_writing_its_state(spark, tmp_path, monkeypatch):
+    listing, state, got = spark.createDataFrame([("a", 1, "s")], "path string, size long, stamp string"), f"{tmp_path}/state", []
+    take = lambda changed: got.append(changed.count())
+    with monkeypatch.context() as m:
+        m.setattr(tail, "_point", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tail.import_changed(listing, state, take)
+    tail.import_changed(listing, state, take)
+    tail.import_changed(listing, state, take)
+    assert got == [1, 1, 0]
+
+
+def test_poll_waits_and_loses_nothing(spark, tmp_path, monkeypatch):
+    folder, state, one = f"{tmp_path}/in", f"{tmp_path}/state", spark.range(3)
+    one.where("false").write.parquet(folder)
+    began = time.monotonic()
+    rows, number = tail.poll(spark, folder, "id long", state, wait_s=1)
+    assert rows.count() == 0 and time.monotonic() - began >= 1
+    tail.acknowledge(spark, state, number)
+    one.write.mode("append").parquet(folder)
+    with monkeypatch.context() as m:  # the driver dies after the batch is committed and before it is read
+        m.setattr(tail, "_rows_after", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            tail.poll(spark, folder, "id long", state)
+    rows, number = tail.poll(spark, folder, "id long", state)
+    assert rows.count() == 3
+    spark.range(3, 5).write.mode("append").parquet(folder)
+    rows, number = tail.poll(spark, folder, "id long", state)  # what isn't acknowledged comes with what is new
+    assert sorted(r.id for r in rows.collect()) == [0, 1, 2, 3, 4]
+    tail.acknowledge(spark, state, number)
+    assert tail.poll(spark, folder, "id long", state)[0].count() == 0
+
+
+def test_upserts_survive_a_batch_that_died(spark, tmp_path, monkeypatch):
+    base, schema = f"file://{tmp_path}", "k long, run int"
+    stream = lambda: spark.readStream.schema(schema).parquet(f"{base}/in")
+    run = lambda: tail.upsert_stream(stream(), ["k"], [F.desc("run")], f"{base}/table", f"{base}/state")
+    spark.range(4).select(F.col("id").alias("k"), F.lit(0).alias("run")).write.parquet(f"{base}/in")
+    run()
+    spark.range(2, 6).select(F.col("id").alias("k"), F.lit(1).alias("run")).write.mode("append").parquet(f"{base}/in")
+    with monkeypatch.context() as m:
+        m.setattr(tail, "_point", lambda *a: 1 / 0)
+        with pytest.raises(Exception, match="division"):
+            run()
+    assert {r.k: r.run for r in tail.upserted(spark, f"{base}/table", schema).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+    run()
+    assert {r.k: r.run for r in tail.upserted(spark, f"{base}/table", schema).collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
 
 
 def test_late_rows_are_an_error(spark, tmp_path):
@@ -217,8 +273,9 @@ def test_more_sources(spark, tmp_path):
     assert [tuple(r) for r in files.read_fixture(spark, f"{tmp_path}/t", ["deploy", "host", "port", "expect"]).collect()] == [("web", "host", "80", "open")]
     (tmp_path / "j").write_text('[{"a": 1},\n {"a": 2}]')
     assert sorted(r.a for r in files.read_json_array(spark, f"{tmp_path}/j", "a int").collect()) == [1, 2]
-    (tmp_path / "e").write_text('client-event at=2024-01-02T03:04:05Z batch=[{"k":1},{"k":2}]\nother\n')
-    assert sorted(r.k for r in files.read_telemetry(spark, f"{tmp_path}/e", "k: int").collect()) == [1, 2]
+    (tmp_path / "e").write_text('client-event at=2024-01-02T03:04:05Z batch=[{"k":1},{"k":2}]\nother\nclient-event at=x batch=[{"k":3},{"k\nclient-event at=x batch={"k":4}\nclient-event at=x batch=[]\n')
+    got = [(r.k, r.intact, r.raw) for r in files.read_telemetry(spark, f"{tmp_path}/e", "k: int").collect()]
+    assert sorted(got, key=str) == [(1, True, None), (2, True, None), (None, False, '[{"k":3},{"k'), (None, False, '{"k":4}')]
     ledger = spark.createDataFrame([("a", 3)], "table string, n long")
     files.write_ledger(ledger, f"{tmp_path}/l")
     assert [tuple(r) for r in files.read_ledger(spark, f"{tmp_path}/l").collect()] == [("a", 3)]
