@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lathe.functions import nested as N
 from lathe.functions import text as T
 from lathe.operators import bom, dedup, metrics, order, paths, reconcile
-from lathe.plans import feeds, formats, records, reports, servers, streams  # noqa: F401  they register their queries
+from lathe.plans import feeds, formats, records, reports, servers, streams, trees  # noqa: F401  they register their queries
 from lathe.plans.registry import TABLES, oracle_sql, queries, query  # noqa: F401
 from lathe.shared import durable, shared_folder
 from lathe.streaming import tail
