@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def non_empty(items: Column) -> Column:
@@ -95,3 +98,26 @@ def any_of(items: Column, value: str) -> Column:
 def has_word(words: Column, word: Column) -> Column:
     """Whether a list of words, separated by spaces, has the whole word."""
     return F.array_contains(F.split(words, " "), word)
+
+
+def pruned(value: Column, kind: DataType) -> Column:
+    """The value without what is empty, on every level: null elements, empty lists and maps, and records of nothing but those become null."""
+    if isinstance(kind, StructType):
+        fields = [pruned(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        some = reduce(lambda a, b: a | b, (f.isNotNull() for f in fields), F.lit(False))
+        return F.when(some, F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        kept = F.filter(F.transform(value, lambda x: pruned(x, kind.elementType)), lambda x: x.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if isinstance(kind, MapType):
+        kept = F.map_filter(F.transform_values(value, lambda k, v: pruned(v, kind.valueType)), lambda k, v: v.isNotNull())
+        return F.when(F.cardinality(kept) > 0, kept)
+    return value
+
+
+def member_facts(df: DataFrame, context: list[str], members: str, facts: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(context, place, fact, detail): for each nested member what is true of it, with its parent's columns; ``detail`` is what a fact's
+    function gives, and null is no fact. Places count from 0."""
+    each = df.select(*context, F.posexplode(members).alias("place", "_m"))
+    said = F.array(*(F.struct(F.lit(name).alias("fact"), f(F.col("_m")).cast("string").alias("detail")) for name, f in facts.items()))
+    return each.select(*context, "place", F.explode(F.filter(said, lambda x: x["detail"].isNotNull())).alias("_f")).select(*context, "place", "_f.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lathe.functions import nested as N
 from lathe.operators import lines, sync
 from lathe.plans.registry import query
 from lathe.shared import shared_folder
-from lathe.sources import vcard
+from lathe.sources import files, vcard
 from lathe.tables import load
 
 _FILES = "SELECT o_orderkey, o_orderkey % 40 AS size, o_orderkey % 7 AS stamp FROM orders"
@@ -78,3 +79,38 @@ def vcard_round_trip(spark, d):
     of = lambda name: vcard.property_of(F.col("fields"), name)
     cards = vcard.read_vcards(spark, path, "*.txt", 500)
     return cards.select(of("UID").cast("long").alias("c_custkey"), of("FN").alias("c_mktsegment"), of("NOTE").alias("note"))
+
+
+@query("""SELECT n_nationkey || '.sql' AS path, CASE WHEN n_nationkey % 5 = 0 THEN 'empty' WHEN n_nationkey % 3 = 0 THEN 'truncated' ELSE 'complete' END AS verdict, CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 100 END AS n_read FROM nation""")
+def dump_verdicts(spark, d):
+    """Dumps of customers by nation, of which some were cut and some are empty: only their ends are read."""
+    path = shared_folder(spark, "dumps")
+    k = F.col("n_nationkey")
+    rows = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("INSERT "), "c_custkey"))), "\n").alias("body"))
+    doc = F.concat_ws("\n", F.repeat(F.lit("-- head"), 20), "body", F.when(k % 3 != 0, F.lit("-- Dump completed")))
+    dumps = load(spark, d, "nation").select("n_nationkey").join(rows, "n_nationkey", "left")
+    files.write_named(dumps.select(F.concat(k, F.lit(".sql")).alias("name"), F.when(k % 5 == 0, "").otherwise(doc).alias("doc")), path)
+    return files.tail_verdicts(spark, path, "Dump completed", "*.sql").select("path", "verdict", "n_read")
+
+
+_NOTE = "array_to_string(list_filter([CASE WHEN role <> 'user' THEN '\"role\":\"' || role || '\"' END, CASE WHEN turn % 3 = 0 THEN '\"tags\":[\"' || role || '\"]' END], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, {_NOTE} AS note FROM conversations), p AS (SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 2 = 0 THEN '"turn":' || turn END, CASE WHEN note <> '' THEN '"note":{{' || note || '}}' END], lambda x: x IS NOT NULL), ',') AS one FROM m)
+SELECT conv_id, '[' || string_agg('{{' || one || '}}', ',' ORDER BY turn) FILTER (one <> '') || ']' AS doc FROM p GROUP BY 1""")
+def pruned_records(spark, d):
+    """Nested records without empty lists and absent fields, on every level."""
+    note = F.struct(F.nullif("role", F.lit("user")).alias("role"), F.when(F.col("turn") % 3 == 0, F.array("role")).otherwise(F.array().cast("array<string>")).alias("tags"))
+    turns = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct(F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("turn"), note.alias("note")).alias("m")))).alias("ms"))
+    members = turns.select("conv_id", F.col("ms.m").alias("members"))
+    return members.select("conv_id", F.to_json(N.pruned(F.col("members"), members.schema["members"].dataType)).alias("doc"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations)
+SELECT conv_id, n, CAST(place AS INTEGER) AS place, 'long' AS fact, CAST(length(text) AS VARCHAR) AS detail FROM c WHERE length(text) > 200
+UNION ALL SELECT conv_id, n, CAST(place AS INTEGER), 'answers', role FROM c WHERE role = 'assistant'""")
+def member_facts(spark, d):
+    """What is true of the members of nested records, with columns of their parents."""
+    c = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"), F.count("*").alias("n"))
+    facts = {"long": lambda m: F.when(F.length(m["text"]) > 200, F.length(m["text"])), "answers": lambda m: F.when(m["role"] == "assistant", m["role"])}
+    return N.member_facts(c, ["conv_id", "n"], "ms", facts)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatchcase as fnmatch
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +119,61 @@ def read_telemetry(spark: SparkSession, path: str, event: str) -> DataFrame:
     rows = lines.select(F.try_to_timestamp(part(1)).alias("at"), part(2).alias("raw"), body.alias("body")).where("body IS NULL OR size(body) > 0")
     rows = rows.select("at", F.explode_outer("body").alias("e"), F.col("body").isNotNull().alias("intact"), "raw")
     return rows.select("at", "e.*", "intact", F.when(~F.col("intact"), F.col("raw")).alias("raw"))
+
+
+def write_named(docs: DataFrame, folder: str) -> None:
+    """Each (name, doc) as a file of its own; a task that is run again replaces its files."""
+
+    def put(rows) -> None:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for r in rows:
+            with fs.open_output_stream(f"{root}/{r.name}") as file:
+                file.write(r.doc.encode())
+
+    docs.foreachPartition(put)
+
+
+def list_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, size) of every file below a folder, empty ones too, which Spark's own readers pass over.
+
+    The driver lists the folder itself, tasks what is below each of its subfolders.
+    """
+    fs, base = pafs.FileSystem.from_uri(root)
+    top = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    start = [(i.base_name, i.size) for i in top if i.type is not pafs.FileType.NotFound]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                infos = [(name, size)] if size is not None else [(i.path[len(base.rstrip("/")) + 1 :], i.size) for i in fs.get_file_info(pafs.FileSelector(f"{base}/{name}", recursive=True)) if i.is_file]
+                kept = [(p, n) for p, n in infos if fnmatch(p.rsplit("/", 1)[-1], glob)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["path", "size"])
+
+    names = spark.createDataFrame(start, "path string, size long")
+    return names.repartition(max(1, min(len(start), 200))).mapInArrow(walk, "path string, size long")
+
+
+def tail_verdicts(spark: SparkSession, root: str, marker: str, glob: str = "*", last: int = 100) -> DataFrame:
+    """(path, size, verdict, n_read): ``complete`` if the marker is in a file's last bytes, else ``truncated``, or ``empty``.
+
+    Only the last ``last`` bytes of a file are read, whatever its size.
+    """
+    wanted, top = marker.encode(), root.rstrip("/")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdicts, read = [], []
+            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, name = pafs.FileSystem.from_uri(f"{top}/{path}")
+                end = b""
+                if size:
+                    with fs.open_input_file(name) as file:
+                        file.seek(max(0, size - last))
+                        end = file.read(last)
+                verdicts.append("complete" if wanted in end else "truncated" if size else "empty")
+                read.append(len(end))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.string()), pa.array(read, pa.int64())], ["path", "size", "verdict", "n_read"])
+
+    return list_tree(spark, root, glob).mapInArrow(look, "path string, size long, verdict string, n_read long")

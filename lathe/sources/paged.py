@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lathe.operators.order import with_place
+from lathe.sources.files import write_named
 
 _COMPARE = {EqualTo: ("eq", pc.equal), GreaterThan: ("gt", pc.greater), GreaterThanOrEqual: ("gte", pc.greater_equal), LessThan: ("lt", pc.less), LessThanOrEqual: ("lte", pc.less_equal)}
 TRIES = 4
@@ -172,26 +173,13 @@ def linked_records(parents: DataFrame, key: str, url: str, schema: str, size: in
     return batches.mapInArrow(run, out)
 
 
-def _store(docs: DataFrame, folder: str) -> None:
-    """Each (name, doc) as a file of its own; a task that is run again replaces its files."""
-
-    def put(rows) -> None:
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        for r in rows:
-            with fs.open_output_stream(f"{root}/{r.name}") as file:
-                file.write(r.doc.encode())
-
-    docs.foreachPartition(put)
-
-
 def store_pages(df: DataFrame, folder: str, *order: Column, limit: int = 1000) -> str:
     """Keep a table as pages, in a total order; the URL to read them by."""
     total = df.count()
     rows = with_place(df, *order).select(F.floor((F.col("place") - 1) / limit).alias("page"), "place", F.struct(*df.columns).alias("row"))
     pages = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("place", "row"))).alias("rows"))
     doc = F.to_json(F.struct(F.col("rows.row").alias("list"), F.struct(F.lit(total).alias("totalRows")).alias("pageInfo")))
-    _store(pages.select(F.format_string("%d.json", "page").alias("name"), doc.alias("doc")), folder)
+    write_named(pages.select(F.format_string("%d.json", "page").alias("name"), doc.alias("doc")), folder)
     return folder + "/{page}.json"
 
 
@@ -200,5 +188,5 @@ def store_links(df: DataFrame, key: str, folder: str, size: int = 1000) -> str:
     rest = [c for c in df.columns if c != key]
     by = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("links"))
     docs = by.groupBy(F.floor(F.col(key) / size).alias("batch")).agg(F.to_json(F.struct(F.collect_list(F.struct(key, "links")).alias("list"))).alias("doc"))
-    _store(docs.select(F.format_string("%d.json", "batch").alias("name"), "doc"), folder)
+    write_named(docs.select(F.format_string("%d.json", "batch").alias("name"), "doc"), folder)
     return folder + "/{batch}.json"

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lathe.functions import nested as N
 from lathe.operators import lines, sync
 from lathe.sources import files, vcard
 
@@ -116,3 +117,27 @@ def test_cards_are_folded_and_come_back(spark, tmp_path):
     of = lambda name: vcard.property_of(F.col("fields"), name)
     back = vcard.read_vcards(spark, f"{tmp_path}/out", "*.txt").select(of("UID").cast("int"), of("NOTE")).collect()
     assert sorted(map(tuple, back), key=lambda r: r[0]) == list(enumerate(texts))
+
+
+def test_ends_of_files(spark, tmp_path):
+    for name, body in (("whole.sql", b"x" * 5_000_000 + b"\n-- Dump completed on x\n"), ("cut.sql", b"Dump completed" + b"y" * 300), ("none.sql", b""), ("small.sql", b"Dump completed"), ("other.txt", b"z")):
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "one.sql").write_bytes(b"")
+    got = {r.path: (r.size > 0, r.verdict, r.n_read) for r in files.tail_verdicts(spark, f"file://{tmp_path}", "Dump completed", "*.sql").collect()}
+    assert got == {"whole.sql": (True, "complete", 100), "cut.sql": (True, "truncated", 100), "none.sql": (False, "empty", 0), "deep/er/one.sql": (False, "empty", 0), "small.sql": (True, "complete", 14)}
+
+
+def test_pruned_on_every_level(spark):
+    schema = "a struct<x: int, y: array<struct<z: string, w: array<int>>>>, m map<string, array<int>>, k int"
+    rows = [((None, [(None, []), ("s", [])]), {"p": [], "q": [1]}, 1), ((None, [(None, [])]), {"p": []}, None), (None, None, 2), ((3, []), {}, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = [r[0] for r in df.select(F.to_json(N.pruned(F.struct(*df.columns), df.schema))).collect()]
+    assert got == ['{"a":{"y":[{"z":"s"}]},"m":{"q":[1]},"k":1}', None, '{"k":2}', '{"a":{"x":3}}']
+
+
+def test_facts_of_members(spark):
+    df = spark.createDataFrame([("app", [("v1", True), ("v2", False), (None, True)]), ("bare", []), ("none", None)], "name string, vols array<struct<path: string, host: boolean>>")
+    facts = {"host": lambda m: F.when(m["host"], m["path"]), "named": lambda m: F.when(m["path"].isNotNull(), F.lit("yes"))}
+    got = {tuple(r) for r in N.member_facts(df, ["name"], "vols", facts).collect()}
+    assert got == {("app", 0, "host", "v1"), ("app", 0, "named", "yes"), ("app", 1, "named", "yes")}
