@@ -9,8 +9,9 @@ present classes, and blocks of words then exchange against those counts in paral
 
 Every word met twice or more gets a class from its own contexts, whatever its rank:
 
-1. The ``frequent`` most frequent words exchange in rounds, until a round raises the mean
-   log10 probability of a token by less than GAIN. All other words stand in for one another
+1. The ``frequent`` most frequent words exchange in rounds, until PATIENCE rounds in a row
+   have each raised the best mean log10 probability of a token by less than GAIN; the best
+   round counts. All other words stand in for one another
    by spelling meanwhile (BUCKETS items by the hash of the last three bytes).
 2. The rest of the ``lexicon`` exchanges once against the classes found.
 3. The words beyond it, of any number, come from a table of (word, classes beside it, count)
@@ -51,8 +52,9 @@ FREQUENT = 1 << 15
 LEXICON = 1 << 17
 BUCKETS = 512
 BLOCK = 256
-#: A round that raises the mean log10 probability of a token by less is the last; and the most rounds.
-GAIN, MOST_ROUNDS = 0.002, 12
+#: So many rounds in a row that raise the best mean log10 probability of a token by less end the training. There is no
+#: limit to rounds: the mean is bounded, so it can't rise by GAIN for ever.
+GAIN, PATIENCE = 0.002, 2
 #: Weight of the class unigram in a class transition, in counts.
 BACKOFF = 8.0
 #: Distinct words that a task counts before it hands them on.
@@ -419,22 +421,22 @@ class BrownModel:
         return np.log10(s + 0.5) - self.log_mass[self.bucket_class] - np.log10(2 * s + 1)
 
 
-def train(encoded: DataFrame, lexicon: Lexicon, classes: int = CLASSES, gain: float = GAIN, most_rounds: int = MOST_ROUNDS) -> BrownModel:
-    """A model of the encoded training documents."""
+def train(encoded: DataFrame, lexicon: Lexicon, classes: int = CLASSES, gain: float = GAIN, patience: int = PATIENCE, most_rounds: int | None = None) -> BrownModel:
+    """A model of the encoded training documents; ``most_rounds`` is for those who want fewer than it takes."""
     width, n = classes + 1, len(lexicon.words)
     item_of = lexicon.item_of()
     items = lexicon.frequent + BUCKETS + 1
     cls = np.arange(items) % classes
     cls[-1] = classes
-    best, rounds = None, 0
+    best, rounds, idle = None, 0, 0
     while True:
         contexts = _contexts(encoded, item_of, items, cls[item_of], classes)
         pairs = _class_bigrams(contexts, cls, width)
         value = likelihood(pairs)
-        enough = best is not None and value < best[0] + gain
+        idle = idle + 1 if best is not None and value < best[0] + gain else 0
         if best is None or value > best[0]:
             best = value, cls, pairs
-        if enough or rounds == most_rounds:
+        if idle == patience or rounds == most_rounds:
             break
         cls = _exchange(contexts, cls, pairs)
         rounds += 1

@@ -151,7 +151,9 @@ def test_brown_rounds_stop_when_they_gain_little(real, monkeypatch):
     monkeypatch.setattr(brown_lm, "likelihood", lambda pairs, f=brown_lm.likelihood: seen.append(f(pairs)) or seen[-1])
     d = real.select("doc_id", "text").withColumn("held_out", brown_lm.held_out())
     _, model = brown_lm.fit(d)
-    assert len(seen) == model.rounds + 1 and all(b >= a + brown_lm.GAIN for a, b in zip(seen[:-2], seen[1:-1])) and (seen[-1] < seen[-2] + brown_lm.GAIN or model.rounds == brown_lm.MOST_ROUNDS)
+    small = [b < max(seen[: i + 1]) + brown_lm.GAIN for i, b in enumerate(seen[1:])]
+    n = brown_lm.PATIENCE
+    assert len(seen) == model.rounds + 1 and all(small[-n:]) and not any(all(small[i : i + n]) for i in range(len(small) - n))
 
 
 def test_brown_without_training_and_repeated_rows(spark):
