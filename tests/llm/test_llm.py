@@ -61,7 +61,7 @@ def test_components_of_random_near_copies(spark, monkeypatch):
                 i += 1
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     want = brute.components(texts)
-    for rounds, linear, probe in ((8, 16, 4_000_000), (0, 16, 4_000_000), (2, 0, 10)):
+    for rounds, linear, probe in ((8, 16, 4_000_000), (0, 16, 4_000_000), (2, 0, 4_000_000), (1, 0, 1500)):
         monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
         monkeypatch.setattr(jaccard_join, "LINEAR", linear)
         monkeypatch.setattr(jaccard_join, "MAX_PROBE", probe)
