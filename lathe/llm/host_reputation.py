@@ -59,6 +59,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower_ascii(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
+#: Hosts that are IP addresses, of either kind.
+ADDRESS = r"^(?:[0-9]{1,3}(?:[.][0-9]{1,3}){3}|\[.*\])$"
+
+
 def read_public_suffixes(spark: SparkSession, path: str) -> DataFrame:
     """(rule) of a public suffix list in its published form: a rule a line, ``//`` before remarks."""
     rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
@@ -70,7 +74,8 @@ def domain_and_suffix(hosts: DataFrame, suffixes: DataFrame | tuple[str, ...] =
 
     ``suffixes`` are such rules, or a table with one in each row of its first column: plain
     (``co.uk``), with any label in front (``*.ck``), or an exception (``!www.ck``, whose suffix
-    is ``ck``). An exception prevails, else the longest rule; a port isn't part of the name.
+    is ``ck``). An exception prevails, else the longest rule; a port isn't part of the name. An
+    IP address is its own domain, and the suffix of all of them is ``address``: its numbers are no labels.
     """
     rules = suffixes if isinstance(suffixes, DataFrame) else hosts.sparkSession.createDataFrame([(s,) for s in suffixes], "rule string")
     rules = rules.select(F.lower(F.trim(F.col(rules.columns[0]))).alias("rule")).distinct()
@@ -86,7 +91,10 @@ def domain_and_suffix(hosts: DataFrame, suffixes: DataFrame | tuple[str, ...] =
     tried = hosts.select("host", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), tries))).alias("t")).select("host", "t.*")
     best = tried.join(rules, "rule").groupBy("host").agg(F.max(F.struct("exception", "k")).alias("best"))
     found = hosts.join(best, "host", "left").withColumn("_name", name).withColumn("_k", F.coalesce("best.k", F.lit(1)))
-    return found.withColumn("domain", F.expr("substring_index(_name, '.', -(_k + 1))")).withColumn("suffix", F.expr("substring_index(_name, '.', -_k)")).drop("best", "_name", "_k")
+    address = F.col("_name").rlike(ADDRESS)
+    domain, suffix = F.expr("substring_index(_name, '.', -(_k + 1))"), F.expr("substring_index(_name, '.', -_k)")
+    found = found.withColumn("domain", F.when(address, F.col("_name")).otherwise(domain)).withColumn("suffix", F.when(address, "address").otherwise(suffix))
+    return found.drop("best", "_name", "_k")
 
 
 def matched_rule(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -97,8 +97,8 @@ p AS (SELECT page_id, coalesce({lower}, '') AS host, coalesce(regexp_extract(sub
   regexp_extract(url, '^[^:]*://[^/?#]*/[a-z]+/([0-9]+)', 1) AS number FROM cut),
 o AS (SELECT host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM p JOIN labels ON number = CAST(doc_id AS VARCHAR) WHERE number <> '' GROUP BY host),
 h0 AS (SELECT p.host, CAST(coalesce(any_value(n), 0) AS DOUBLE) AS n, CAST(coalesce(any_value(bad), 0) AS DOUBLE) AS bad, string_split(p.host, '.') AS l FROM p LEFT JOIN o ON p.host = o.host GROUP BY p.host),
-h AS (SELECT host, n, bad, CASE WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
-  CASE WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h0),
+h AS (SELECT host, n, bad, CASE WHEN regexp_matches(host, '{host_reputation.ADDRESS}') THEN host WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+  CASE WHEN regexp_matches(host, '{host_reputation.ADDRESS}') THEN 'address' WHEN array_to_string(l[-2:], '.') IN ({two}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h0),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 total AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) AS m FROM s),
