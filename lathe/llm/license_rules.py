@@ -225,27 +225,33 @@ def _run(sentence: str) -> str:
     return sentence.replace(" ", "[ |]").replace("*", SLOT)
 
 
-def sentence_ids(text: Column, sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES) -> tuple[Column, Column]:
-    """(number of pieces with a letter or digit, the sequence: identifiers of known sentences, '?' for other pieces); no sequence if nothing is known."""
+def pieces_of(text: Column) -> Column:
+    """Normalised pieces with a letter or digit."""
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    said = F.filter(F.transform(F.split(text, SENTENCE_END), plain), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), plain), lambda s: s != "")
+
+
+def sequence_of(joined: Column, sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES) -> Column:
+    """Of pieces with a bar before and after each: identifiers of known sentences, '?' for other pieces; nothing if nothing is known."""
     longest_first = sorted({s for _, s in sentences}, key=lambda s: (-len(s), s))
     known_run = r"\|(?:" + "|".join(map(_run, longest_first)) + r")(?=\|)"
-    joined = F.concat(F.lit("|"), F.array_join(said, "|"), F.lit("|"))
     known, names = F.array(*(F.lit(s) for _, s in sentences)), F.array(*(F.lit(i) for i, _ in sentences))
     slotted = [s for s in longest_first if "*" in s]
 
-    def name(run: Column) -> Column:
+    def written(run: Column) -> Column:
+        """The words of a run; of a sentence whose slots are filled, as the table has it."""
         words = F.trim(F.translate(run, "|", " "))
-        for s in slotted:  # a sentence with its slots filled is looked up as it is written in the table
-            words = F.when(words.rlike("^" + s.replace("*", SLOT) + "$"), F.lit(s)).otherwise(words)
+        for s in slotted:
+            words = F.regexp_replace(words, "^" + s.replace("*", SLOT) + "$", s)
+        return words
+
+    def name(words: Column) -> Column:
         at = F.array_position(known, words).cast("int")
         return F.when(at > 0, F.element_at(names, at)).when(words.rlike(NEUTRAL), "").otherwise("?")
 
     pieces = F.regexp_extract_all(joined, F.lit(known_run + r"|\|[^|]+(?=\|)"), F.lit(0))
     # Few texts hold a known sentence; only theirs are taken apart.
-    ids = F.when(joined.rlike(known_run), F.filter(F.transform(pieces, name), lambda i: i != ""))
-    return F.coalesce(F.size(said), F.lit(0)), F.coalesce(ids, F.array().cast("array<string>"))
+    return F.when(joined.rlike(known_run), F.filter(F.transform(F.transform(pieces, written), name), lambda i: i != ""))
 
 
 def spdx_licences(text: Column) -> Column:
@@ -267,11 +273,14 @@ def spdx_licences(text: Column) -> Column:
 def scan_licences(docs: DataFrame, sentences: tuple[tuple[str, str], ...] = ALL_SENTENCES, rules: tuple[tuple[str, tuple[str, ...]], ...] = ALL_RULES) -> DataFrame:
     """doc_id, n_sentences, identifiers (joined), licences (joined, null if none), n_unmatched."""
     text = F.col("text").cast("string")
-    n, ids = sentence_ids(text, sentences)
-    out = docs.select("doc_id", F.struct(n.alias("n"), ids.alias("ids")).alias("f"), F.coalesce(spdx_licences(text), F.array().cast("array<string>")).alias("spdx"))
+    nothing = F.array().cast("array<string>")
+    # A step a projection, so that the pieces are made once.
+    out = docs.select("doc_id", pieces_of(text).alias("said"), F.coalesce(spdx_licences(text), nothing).alias("spdx"))
+    out = out.select("doc_id", "spdx", F.coalesce(F.size("said"), F.lit(0)).alias("n"), F.concat(F.lit("|"), F.array_join("said", "|"), F.lit("|")).alias("joined"))
+    out = out.select("doc_id", "spdx", "n", F.coalesce(sequence_of(F.col("joined"), sentences), nothing).alias("ids"))
     mark = lambda x: F.when(x == "?", x).otherwise(F.concat(F.lit("<"), x, F.lit(">")))
-    known = F.filter("f.ids", lambda x: x != "?")
-    out = out.select("doc_id", "spdx", F.col("f.n").cast("long").alias("n_sentences"), F.array_join(known, " ").alias("identifiers"), F.array_join(F.transform("f.ids", mark), "").alias("rest"))
+    known = F.filter("ids", lambda x: x != "?")
+    out = out.select("doc_id", "spdx", F.col("n").cast("long").alias("n_sentences"), F.array_join(known, " ").alias("identifiers"), F.array_join(F.transform("ids", mark), "").alias("rest"))
     # Most documents hold no known sentence; for the others the rules are tried in order.
     acc = F.struct(F.col("rest").alias("rest"), F.array().cast("array<string>").alias("found"))
     table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{i}>" for i in seq)).alias("seq")) for name, seq in rules))
