@@ -158,3 +158,8 @@ def request_rules(request: Column) -> dict[str, Column]:
         "no text": ~kind("text").isin("STRING", "VOID"), "empty": text == "", "too long": F.length(text) > LONGEST_TEXT, "control": text.rlike(r"[\x00-\x1f\x7f]"),
         "target": target.rlike("[, ]"), "network": F.contains(network, F.lit("/")), "action": ~kind("is_action").isin("BOOLEAN", "VOID"),
     }
+
+
+def first_field(line: Column, prefix: str) -> Column:
+    """Of a line that begins with a prefix the first field, fields being divided by spaces and tabs; null for other lines."""
+    return F.when(line.startswith(prefix), F.regexp_extract(line, r"^[ \t]*([^ \t]*)", 1))

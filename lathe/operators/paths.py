@@ -34,6 +34,22 @@ def joined(directory: Column, name: Column) -> Column:
     return F.when(directory == "", name).otherwise(F.concat(directory, F.lit("/"), name))
 
 
+def relative(path: Column, start: Column) -> Column:
+    """The way from a folder to a path, both seen from one root: up as often as needed, then down; ``.`` for the folder itself.
+
+    Empty parts and ``.`` don't count; ``..`` in the input isn't resolved.
+    A null side gives null.
+    """
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    a, b = parts(path), parts(start)
+    shorter = F.least(F.size(a), F.size(b))
+    alike = F.when(shorter > 0, F.transform(F.sequence(F.lit(0), shorter - 1), lambda i: F.get(a, i) == F.get(b, i))).otherwise(F.array().cast("array<boolean>"))
+    unlike = F.array_position(alike, False).cast("int")
+    common = F.when(unlike > 0, unlike - 1).otherwise(shorter)
+    way = F.concat(F.array_repeat(F.lit(".."), F.size(b) - common), F.slice(a, common + 1, F.greatest(F.size(a), F.lit(1))))
+    return F.when(path.isNotNull() & start.isNotNull(), F.when(F.size(way) > 0, F.array_join(way, "/")).otherwise(F.lit(".")))
+
+
 def stem(path: Column) -> Column:
     """The name without an extension of three characters and its point."""
     return F.regexp_replace(basename(path), r"\.[^./]{3}$", "")

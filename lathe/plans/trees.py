@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lathe.functions import nested as N
-from lathe.operators import lines, sync
+from lathe.functions import text as T
+from lathe.operators import lines, paths, sync
 from lathe.plans.registry import query
 from lathe.shared import shared_folder
 from lathe.sources import files, vcard
@@ -114,3 +115,19 @@ def member_facts(spark, d):
     c = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"), F.count("*").alias("n"))
     facts = {"long": lambda m: F.when(F.length(m["text"]) > 200, F.length(m["text"])), "answers": lambda m: F.when(m["role"] == "assistant", m["role"])}
     return N.member_facts(c, ["conv_id", "n"], "ms", facts)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 = o_orderkey % 3 THEN CASE WHEN o_orderkey % 5 = 0 THEN '.' ELSE CAST(o_orderkey AS VARCHAR) END
+WHEN o_orderkey % 5 = 0 THEN '../' || o_custkey % 3 ELSE '../' || o_custkey % 3 || '/' || o_orderkey END AS way FROM orders""")
+def relative_paths(spark, d):
+    """The way from one folder to a file of another."""
+    o = load(spark, d, "orders")
+    path = F.concat(F.lit("a/"), F.col("o_custkey") % 3, F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("//./"), "o_orderkey")).otherwise(""))
+    return o.select("o_orderkey", paths.relative(path, F.concat(F.lit("./a/"), F.col("o_orderkey") % 3, F.lit("/"))).alias("way"))
+
+
+@query("""SELECT doc_id, line_no, regexp_extract(line, '^[^ \t]*') AS field FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no FROM documents) WHERE starts_with(line, 'E')""")
+def first_fields(spark, d):
+    """The first field of lines that begin with a mark."""
+    each = load(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return each.select("doc_id", (F.col("i") + 1).alias("line_no"), T.first_field(F.col("line"), "E").alias("field")).where("field IS NOT NULL")

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lathe.functions import nested as N
-from lathe.operators import lines, sync
+from lathe.functions import text as T
+from lathe.operators import lines, paths, sync
 from lathe.sources import files, vcard
 
 LIST = "path string, size int, stamp int"
@@ -141,3 +142,15 @@ def test_facts_of_members(spark):
     facts = {"host": lambda m: F.when(m["host"], m["path"]), "named": lambda m: F.when(m["path"].isNotNull(), F.lit("yes"))}
     got = {tuple(r) for r in N.member_facts(df, ["name"], "vols", facts).collect()}
     assert got == {("app", 0, "host", "v1"), ("app", 0, "named", "yes"), ("app", 1, "named", "yes")}
+
+
+def test_relative_paths(spark):
+    import os.path
+
+    pairs = [("a/b/c", "a"), ("a/b/c", "a/b/c"), ("a", "a/b"), ("x/y", "a/b"), ("a/b", ""), ("", "a"), ("/m/./n//o", "/m/p"), ("a/bb", "a/b"), (None, "a")]
+    df = spark.createDataFrame(pairs, "p string, s string")
+    want = [os.path.relpath("/" + p.lstrip("/"), "/" + s.lstrip("/")) if p is not None else None for p, s in pairs]
+    got = [r[0] for r in df.select(paths.relative(F.col("p"), F.col("s"))).collect()]
+    assert got == want
+    lines_ = spark.createDataFrame([("#x a",), ("#x\tb c",), ("y",), (" #x",), (None,), ("#x",)], "l string")
+    assert [r[0] for r in lines_.select(T.first_field(F.col("l"), "#x")).collect()] == ["#x", "#x", None, None, None, "#x"]
