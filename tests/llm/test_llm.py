@@ -331,8 +331,27 @@ def test_mixing_of_equal_rows_and_clashing_names(spark):
     assert mixed.columns == d.columns and mixed.count() == sum(r.copies for r in got)
 
 
-def test_mixing_keeps_expectations(spark, monkeypatch):
-    """Over many seeds, a document's mean number of copies is its target over its size."""
+def test_mixing_keeps_expectations(spark):
+    """Over four thousand seeds each document's mean number of extra copies is its fraction, and every seed keeps the words' sum."""
+    sizes, p, seeds = [50, 20, 20, 7, 3, 1], [0.3, 0.8, 0.5, 0.1, 0.9, 0.4], 4000
+    unit = {"row": "bigint", "doc_id": "bigint", "size": "bigint", "salt": "bigint", "p": "double"}
+    assert set(unit) == set(mixing.UNIT)
+    values = [{"row": F.lit(i), "doc_id": F.lit(i), "size": F.lit(n), "salt": F.col("id"), "p": F.lit(x)} for i, (n, x) in enumerate(zip(sizes, p, strict=True))]
+    items = F.array(*(F.struct(*(v[k].cast(unit[k]).alias(k) for k in mixing.UNIT)) for v in values))
+    start = F.struct(F.element_at("items", 1).alias("carry"), F.expr("CAST(array() AS array<struct<row: bigint, extra: int>>)").alias("done"))
+    folded = spark.range(seeds).select(items.alias("items")).select(F.aggregate(F.slice("items", 2, len(sizes)), start, mixing._meet(1)).alias("r")).collect()
+    total, one = np.zeros(len(sizes)), np.zeros(len(sizes))
+    for (r,) in folded:
+        one[r.carry.row] = r.carry.p
+        for d in r.done:
+            one[d.row] = d.extra
+        assert abs(np.dot(one, sizes) - np.dot(p, sizes)) < 1e-6
+        total += one
+    error = np.sqrt(np.array(p) * (1 - np.array(p)) / seeds)
+    assert np.all(np.abs(total / seeds - p) < 4.5 * error), total / seeds
+
+
+def test_mixing_sources_come_near_their_targets(spark, monkeypatch):
     rows = [(i, "w " * (3 + i * i % 37), "a" if i % 5 else "b") for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     total: Counter = Counter()
