@@ -126,8 +126,13 @@ def json_base64(doc: Column, path: str) -> Column:
     return F.decode(F.unbase64(F.get_json_object(doc, path)), "UTF-8")
 
 
-def first_field(line: Column) -> Column:
-    """What stands before the first white space, that in front left out."""
+def first_field(line: Column, prefix: str | None = None) -> Column:
+    """What stands before the first white space, that in front left out.
+
+    With a prefix, of a line that begins with it the first field, fields being divided by spaces and tabs; null for other lines.
+    """
+    if prefix is not None:
+        return F.when(line.startswith(prefix), F.regexp_extract(line, r"^[ \t]*([^ \t]*)", 1))
     return F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+", 2)[0]
 
 
@@ -158,8 +163,3 @@ def request_rules(request: Column) -> dict[str, Column]:
         "no text": ~kind("text").isin("STRING", "VOID"), "empty": text == "", "too long": F.length(text) > LONGEST_TEXT, "control": text.rlike(r"[\x00-\x1f\x7f]"),
         "target": target.rlike("[, ]"), "network": F.contains(network, F.lit("/")), "action": ~kind("is_action").isin("BOOLEAN", "VOID"),
     }
-
-
-def first_field(line: Column, prefix: str) -> Column:
-    """Of a line that begins with a prefix the first field, fields being divided by spaces and tabs; null for other lines."""
-    return F.when(line.startswith(prefix), F.regexp_extract(line, r"^[ \t]*([^ \t]*)", 1))

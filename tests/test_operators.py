@@ -294,3 +294,8 @@ def test_busy_share_counts_cpus(spark):
     rates = spark.createDataFrame([("h", 0, "idle", 0.5), ("h", 1, "idle", 0.25), ("h", 2, "idle", None), ("h", 0, "user", 0.1)], "host string, cpu int, mode string, rate double")
     assert [tuple(r) for r in metrics.busy_share(samples, rates, "host", "cpu", "mode", "idle").collect()] == [("h", 75.0)]
     assert {tuple(r) for r in metrics.count_groups(samples, ["host"], ["cpu"]).collect()} == {("h", 3.0), ("lone", 1.0)}
+
+
+def test_first_field_with_and_without_a_prefix(spark):
+    df = spark.createDataFrame([(" \n a\tb",), ("E1 x",), (" E1",), ("",), (" ",), (None,)], "l string")
+    assert [tuple(r) for r in df.select(T.first_field(F.col("l")), T.first_field(F.col("l"), "E")).collect()] == [("a", None), ("E1", "E1"), ("E1", None), ("", None), ("", None), (None, None)]
