@@ -2,9 +2,9 @@
 
 A feed is a folder of Parquet files, one subfolder for each start of its producer (``epoch=<n>``), with a
 sequence column that grows within an epoch. A reader's cursor is (epoch, seq). It gets the events past
-its cursor, but at most the newest ``ring`` numbers, which is all a producer promises to hold. A cursor
-that can't be placed, because it is ahead of the producer or of another epoch, gets the whole ring
-once: an event offered twice is refused downstream by its key, and one that is skipped is lost.
+its cursor; of a producer that promises to hold no more than its newest ``ring`` numbers at most those, without
+such a promise all that the feed holds. A cursor that can't be placed, because it is ahead of the producer or of
+another epoch, gets all that is held once: an event offered twice is refused downstream by its key, and one that is skipped is lost.
 
     spark.dataSource.register(RingSource)
     spark.readStream.format("ring").schema(...).option("path", feed).option("after", 500).load()
@@ -28,14 +28,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-RING = 1_000_000
-
 
 @dataclass
 class Slice(InputPartition):
     path: str
     group: int
-    low: int
+    low: int | None
     high: int
 
 
@@ -47,7 +45,7 @@ def publish(events: DataFrame, feed: str, seq: str, epoch: int = 0) -> None:
 class _Feed:
     def __init__(self, options: dict, schema):
         self.folder, self.seq, self.schema = options["path"], options.get("seq", "seq"), schema
-        self.ring, self.after = int(options.get("ring", RING)), options.get("after")
+        self.ring, self.after = int(options["ring"]) if "ring" in options else None, options.get("after")
         self._footers: dict[str, list[tuple[int, int]]] = {}
 
     def _groups(self, fs, path: str) -> list[tuple[int, int]]:
@@ -78,11 +76,11 @@ class _Feed:
         return {"epoch": self.newest()["epoch"], "seq": int(self.after)}
 
     def slices(self, start: dict, end: dict) -> list[Slice]:
-        oldest = end["seq"] - self.ring
         lost = start["epoch"] != end["epoch"] or start["seq"] > end["seq"]
-        low = oldest if lost else max(start["seq"], oldest)
+        bounds = ([] if self.ring is None else [end["seq"] - self.ring]) + ([] if lost else [start["seq"]])
+        low = max(bounds, default=None)
         _, files = self.files(end["epoch"])
-        return [Slice(p, i, low, end["seq"]) for p, groups in sorted(files.items()) for i, (least, most) in enumerate(groups) if most > low and least <= end["seq"]]
+        return [Slice(p, i, low, end["seq"]) for p, groups in sorted(files.items()) for i, (least, most) in enumerate(groups) if (low is None or most > low) and least <= end["seq"]]
 
     def rows(self, part: Slice):
         fs, _ = pafs.FileSystem.from_uri(self.folder)
@@ -90,7 +88,8 @@ class _Feed:
         file = pq.ParquetFile(fs.open_input_file(part.path), coerce_int96_timestamp_unit="us")
         for batch in file.iter_batches(10_000, row_groups=[part.group], columns=list(dict.fromkeys([*names, self.seq]))):
             n = batch.column(self.seq)
-            kept = batch.filter(pc.and_(pc.greater(n, part.low), pc.less_equal(n, part.high)))
+            past = pc.less_equal(n, part.high)
+            kept = batch.filter(past if part.low is None else pc.and_(pc.greater(n, part.low), past))
             yield pa.RecordBatch.from_arrays([kept.column(f.name).cast(f.type) for f in wanted], names)
 
 
@@ -123,7 +122,7 @@ class RingReader(DataSourceReader):
 
 
 class RingSource(DataSource):
-    """Options: path; seq, the sequence column; after, the cursor (without one, all the ring has); ring, how many numbers are held."""
+    """Options: path; seq, the sequence column; after, the cursor (without one, all the ring has); ring, how many numbers are held (without one, all)."""
 
     @classmethod
     def name(cls) -> str:
@@ -139,11 +138,13 @@ class RingSource(DataSource):
         return RingReader(self.options, schema)
 
 
-def tail(spark: SparkSession, feed: str, schema, seq: str = "seq", after: int | None = None, ring: int = RING, stream: bool = True) -> DataFrame:
+def tail(spark: SparkSession, feed: str, schema, seq: str = "seq", after: int | None = None, ring: int | None = None, stream: bool = True) -> DataFrame:
     """The events of a feed past a cursor, as a stream or as they stand now."""
     spark.dataSource.register(RingSource)
-    reader = (spark.readStream if stream else spark.read).format("ring").schema(schema).option("path", feed).option("seq", seq).option("ring", ring)
-    return (reader if after is None else reader.option("after", after)).load()
+    reader = (spark.readStream if stream else spark.read).format("ring").schema(schema).option("path", feed).option("seq", seq)
+    for name, given in (("after", after), ("ring", ring)):
+        reader = reader if given is None else reader.option(name, given)
+    return reader.load()
 
 
 def stored_rows(spark: SparkSession, stored: str, schema: StructType | str) -> DataFrame:

@@ -32,6 +32,16 @@ def test_ring_follows_its_producer(spark, tmp_path):
     assert _run(spark, tmp_path, ring=100) == (1, [(0, "new0"), (1, "new1"), (2, "new2"), *((i, f"e{i}") for i in range(7, 13))])
 
 
+def test_a_feed_without_a_ring_is_held_whole(spark, tmp_path):
+    """However far its numbers reach: from a cursor, and after a restart."""
+    feed, far = f"file://{tmp_path}/feed", lambda text: _events(spark, range(4), text).withColumn("seq", F.col("seq") * 1_000_000)
+    ring.publish(far("e"), feed, "seq")
+    assert sorted(r.text for r in ring.tail(spark, feed, SCHEMA, after=999_999, stream=False).collect()) == ["e1", "e2", "e3"]
+    assert _run(spark, tmp_path) == (1, [(i * 1_000_000, f"e{i}") for i in range(4)])
+    ring.publish(far("new"), feed, "seq", epoch=1)
+    assert _run(spark, tmp_path) == (1, [(i * 1_000_000, f"{w}{i}") for i in range(4) for w in ("e", "new")])
+
+
 def test_ring_is_bounded_and_replays_once(spark, tmp_path):
     feed = f"file://{tmp_path}/feed"
     ring.publish(_events(spark, range(50)), feed, "seq")
