@@ -100,3 +100,25 @@ def test_events_settle_or_time_out(spark, tmp_path):
         1: ("both", 8, True), 2: ("late", 20, True), 3: ("late", 20, True), 4: ("never", None, False), 5: (None, None, False), 6: ("unread", None, False),
         7: ("first", 7, True), 8: ("first", 7, True), 9: ("never", 1, True),
     }
+
+
+def test_settled_state_is_kept_by_buckets(spark, tmp_path, monkeypatch):
+    """Many keys, NaN, zeros and null among them, take no more state rows than two a bucket."""
+    monkeypatch.setattr(settle, "BUCKETS", 4)
+    base, odd = f"file://{tmp_path}", [float("nan"), 0.0, None]
+    spark.createDataFrame([(float(i), i) for i in range(1, 60)] + [(k, 100 + i) for i, k in enumerate(odd)], "key double, event long").coalesce(1).write.parquet(f"{base}/events")
+    spark.createDataFrame([(float(i), i * 10) for i in range(2, 60, 2)] + [(k, 7) for k in (float("nan"), -0.0, None)], "key double, line long").coalesce(1).write.parquet(f"{base}/lines")
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{base}/{name}")
+    stream = settle.settled(read("events", "key double, event long"), read("lines", "key double, line long"), ["key"], "line", 500)
+    most, wait = [], settle.wait_until_idle
+
+    def watched(query, *args):
+        began = wait(query, *args)
+        most.extend(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+        return began
+
+    monkeypatch.setattr(settle, "wait_until_idle", watched)
+    settle.run_until_settled(stream, f"{base}/out", f"{base}/state", 500)
+    got = {r.event: (r.line, r.logged) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {i: (None, False) if i % 2 else (i * 10, True) for i in range(1, 60)} | {100 + i: (7, True) for i in range(3)}
+    assert 0 < max(most) <= 8
