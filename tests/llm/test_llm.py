@@ -68,6 +68,46 @@ def test_components_of_random_near_copies(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(d).collect()} == want
 
 
+def test_components_with_large_buckets_and_more_star_rounds(spark, monkeypatch):
+    """Groups of a bucket's main label meet the others alone; heavy buckets have rounds of their own."""
+    g = np.random.default_rng(11)
+    texts = {}
+    for family in range(3):
+        base = [f"f{family}y{j}" for j in range(60)]
+        for i in range(40):
+            t = list(base)
+            for _ in range(int(g.integers(0, 9))):
+                t[int(g.integers(0, 60))] = f"z{g.integers(0, 5)}"
+            texts[100 * family + i] = " ".join(t)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute.components(texts)
+    assert len({c for _, c in want.values()}) > 6
+    for rounds, linear, few in ((8, 1, 1_000_000), (8, 4, 0), (1, 1, 0)):
+        monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
+        monkeypatch.setattr(jaccard_join, "LINEAR", linear)
+        monkeypatch.setattr(jaccard_join, "FEW", few, raising=False)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(d).collect()} == want
+
+
+def test_star_rounds_that_find_nothing_stop(spark, monkeypatch):
+    """Sets that share a prefix and are not similar: one more round, not all of them, whatever is left to probe."""
+    low = next(w for w in (f"a{i} b c d e" for i in range(1000)) if jaccard_join.shingle_set(w.encode())[0] < 1 << 60)
+    texts = {i: f"{low} u{i}" for i in range(100)}  # no task sees the common shingle twice, so it stands first in most prefixes
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartitionByRange(100, "doc_id")
+    weighed, heavy = [], jaccard_join._heavy
+
+    def recorded(*x):
+        found = heavy(*x)
+        weighed.append(found[2])
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_heavy", recorded)
+    monkeypatch.setattr(jaccard_join, "MAX_PROBE", 40)
+    monkeypatch.setattr(jaccard_join, "FEW", 10, raising=False)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(d).collect()} == brute.components(texts)
+    assert weighed[0] > 40 and len(weighed) <= 2
+
+
 def test_group_of_many_sets_with_one_prefix(spark):
     """Sets that agree in size and in their coldest shingles, and differ in hot ones: one group of several classes."""
     hot = [f"h{i}" for i in range(30)]
